@@ -50,3 +50,11 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def worker_cache() -> dict:
+    """A dict that outlives a task in its Python worker."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("parlance_worker_cache", types.ModuleType("parlance_worker_cache")).__dict__

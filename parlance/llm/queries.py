@@ -9,18 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, simhash
+from parlance.llm import chat, language_id, line_dedup, packing, simhash
 from parlance.llm.common import table
 
 #: Two added rows whose texts hold escapes and marks.
 HARD_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    placed = packing.place(pieces, docs.count())
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kept = line_dedup.drop_boilerplate(pages, line_dedup.url_host(F.col("url")), line_dedup.html_lines(F.col("html")))
+    return kept.select("page_id", "site", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
@@ -41,6 +60,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS k, page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://([^/?#:]+)', 1) AS site,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', '', 'g'),
+      '(?i)</?(p|div|li|ul|ol|br|h[1-6]|tr|td|th|table|article|nav|header|footer|section|title|head|body|html|main|aside)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM pages
+), n AS (SELECT site, count(*) AS pages FROM p GROUP BY site),
+seen AS (SELECT DISTINCT k, site, unnest(lines) AS line FROM p),
+common AS (
+  SELECT seen.site, line FROM seen JOIN n USING (site) GROUP BY seen.site, line, pages
+  HAVING count(*) >= 5 AND count(*) * 100 > pages * 10
+), one AS (
+  SELECT k, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, site FROM p
+), kept AS (
+  SELECT k, string_agg(one.line, chr(10) ORDER BY i) AS text, count(*) AS n
+  FROM one LEFT JOIN common c ON one.site = c.site AND one.line = c.line WHERE c.line IS NULL GROUP BY k
+)
+SELECT page_id, site, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(kept.n, 0))::BIGINT AS n_dropped, coalesce(text, '') AS text
+FROM p LEFT JOIN kept USING (k)
+"""
+
 OP10_SQL = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -63,5 +105,8 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op4_simhash": op4_simhash, "op10_chat": op10_chat}
-ORACLE_SQL = {"op10_chat": OP10_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_line_dedup, op4_simhash, op9_language_id, op10_chat)
+}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL}
