@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, language_id, line_dedup, packing, simhash
+from parlance.llm import chat, language_id, line_dedup, packing, simhash, suffix_dedup
 from parlance.llm.common import table
 
 #: Two added rows whose texts hold escapes and marks.
@@ -34,6 +34,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs)
@@ -107,6 +112,6 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op4_simhash, op9_language_id, op10_chat)
+    for f in (op1_packing, op2_line_dedup, op4_simhash, op7_suffix_array, op9_language_id, op10_chat)
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL}
