@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, language_id, line_dedup, packing, simhash, suffix_dedup
+from parlance.llm import chat, fingerprints, language_id, line_dedup, packing, simhash, suffix_dedup
 from parlance.llm.common import table
 
 #: Two added rows whose texts hold escapes and marks.
@@ -39,6 +39,22 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    changed = pairs.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), "fp",
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        fingerprints.edited(F.col("text"), F.col("next_text")).alias("edited"),
+    )
+    both = fingerprints.with_fingerprint(changed.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fp")
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.hex_digits(F.col("fp")).alias("fingerprint"),
+        fingerprints.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), "near_next",
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs)
@@ -112,6 +128,6 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op4_simhash, op7_suffix_array, op9_language_id, op10_chat)
+    for f in (op1_packing, op2_line_dedup, op4_simhash, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat)
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL}
