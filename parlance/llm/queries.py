@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, fingerprints, language_id, line_dedup, packing, simhash, suffix_dedup
+from parlance.llm import ann, chat, fingerprints, language_id, line_dedup, packing, simhash, suffix_dedup
 from parlance.llm.common import table
 
 #: Two added rows whose texts hold escapes and marks.
@@ -29,6 +29,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "site", "n_lines", "n_dropped", F.array_join("kept_lines", "\n").alias("text"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return ann.search(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -128,6 +133,6 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op4_simhash, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat)
+    for f in (op1_packing, op2_line_dedup, op3_ann, op4_simhash, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat)
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL}
