@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, chat, fingerprints, language_id, line_dedup, packing, simhash, suffix_dedup
+from parlance.llm import ann, chat, fingerprints, language_id, line_dedup, packing, sentencepiece_codec, simhash, suffix_dedup, token_counts
 from parlance.llm.common import table
 
 #: Two added rows whose texts hold escapes and marks.
@@ -39,6 +39,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -133,6 +145,6 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_ann, op4_simhash, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat)
+    for f in (op1_packing, op2_line_dedup, op3_ann, op4_simhash, op5_token_counts, op6_sentencepiece, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat)
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL}
