@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -58,3 +59,12 @@ def worker_cache() -> dict:
     import types
 
     return sys.modules.setdefault("parlance_worker_cache", types.ModuleType("parlance_worker_cache")).__dict__
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="parlance-")
+    path = f"{base.rstrip('/')}/parlance-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

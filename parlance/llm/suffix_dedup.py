@@ -38,7 +38,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import shuffle_width, text_or_empty
@@ -262,6 +262,11 @@ def joined(notes: pa.Table, kind: int, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(picked.column(column).to_pylist()), dtype)
 
 
+def whole_characters(kept: Column) -> Column:
+    """Kept bytes as text, without characters that lost some of their bytes."""
+    return F.pandas_udf(lambda s: s.map(lambda b: b.decode("utf-8", "ignore")), "string")(kept)
+
+
 def repeated_spans(docs: DataFrame, span_groups: int | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, spans (start, end), kept (binary)."""
     spark = docs.sparkSession
