@@ -1,4 +1,578 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries over the tables of a folder, and the SQL they are checked against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.config import DEFAULT
+from parlance.functions import text
+from parlance.jobs.oracle import CHAIN, fold, log2
+from parlance.jobs.report import Report
+from parlance.operators import lexicon, messages, movement, people, topics, units
+from parlance.sources import corpus, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Speakers taken out by the subtraction lenses.
+SILENT = ("u1", "u2", "u3")
+
+
+def query(sql: str | None = None, chain: bool = True):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (CHAIN if chain else "") + sql
+        return f
+
+    return register
+
+
+def report(spark: SparkSession, d: str) -> Report:
+    return Report(tables.messages(spark, d), *tables.reference(spark, d))
+
+
+# ---- collection and history ------------------------------------------------
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+  '(^|[^A-Za-z0-9_-])sk-[A-Za-z0-9_-]{20,}', '\1[credential redacted]', 'g'),
+  '(^|[^A-Za-z0-9_])gh[oprsu]_[A-Za-z0-9]{20,}', '\1[credential redacted]', 'g'),
+  '(^|[^A-Za-z0-9_-])xox[baprs]-[A-Za-z0-9-]{10,}', '\1[credential redacted]', 'g'),
+  '(^|[^A-Za-z0-9_-])AIza[0-9A-Za-z_-]{30,}', '\1[credential redacted]', 'g'),
+  '(^|[^A-Za-z0-9_-])[MN][A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{20,}', '\1[credential redacted]', 'g')) AS message_sha256
+FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' sk-' || repeat('a', 24) WHEN 1 THEN ' ghp_' || repeat('Z9', 12) || ' end' ELSE ' xoxb-' || repeat('1-', 8) END AS t FROM documents)""", chain=False)
+def redact_credentials(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    secret = F.when(k == 0, F.concat(F.lit(" sk-"), F.repeat(F.lit("a"), 24))).when(k == 1, F.concat(F.lit(" ghp_"), F.repeat(F.lit("Z9"), 12), F.lit(" end"))).otherwise(F.concat(F.lit(" xoxb-"), F.repeat(F.lit("1-"), 8)))
+    docs = tables.table(spark, d, "documents")
+    return docs.select("doc_id", F.sha2(text.redact(F.concat(F.coalesce("text", F.lit("")), secret)), 256).alias("message_sha256"))
+
+
+@query("""SELECT 'discord:' || conv_id || '-' || turn AS id, 'discord:' || conv_id AS server_id, 'discord:' || role AS user_id,
+  CASE WHEN role = 'assistant' THEN 'Helper' ELSE role END AS "user", role = 'system' AS is_bot,
+  CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE '7' END AS type,
+  sha256('to @Nick ' || conv_id || ', @Second Person and <@999> ' || coalesce(text, '')) AS message_sha256,
+  CASE WHEN turn > 0 THEN 'discord:' || conv_id || '-' || (turn - 1) END AS reply_to, CASE WHEN turn > 2 THEN 1 ELSE 0 END AS reactions FROM conversations""", chain=False)
+def normalize_messages(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("conv_id").cast("string")
+    member = lambda i, nick, name: F.struct(F.lit(i).alias("id"), F.lit("x").alias("username"), name.alias("global_name"), F.struct(nick.alias("nick")).alias("member"))
+    none = F.lit(None).cast("string")
+    raw = tables.table(spark, d, "conversations").select(
+        F.concat(c, F.lit("-"), "turn").alias("id"), c.alias("guild_id"), F.lit("g").alias("guild_name"), F.lit("1").alias("channel_id"), F.lit("room").alias("channel_name"),
+        F.lit("1").alias("target_id"), none.alias("thread_id"), none.alias("thread_name"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        F.element_at(F.array(F.lit(0), F.lit(19), F.lit(7)), (F.col("turn") % 3 + 1).cast("int")).alias("type"),
+        F.concat(F.lit("to <@42>, <@!84> and <@999> "), F.coalesce("text", F.lit(""))).alias("content"),
+        F.struct(F.col("role").alias("id"), F.col("role").alias("username"), F.when(F.col("role") == "assistant", "Helper").alias("global_name"), (F.col("role") == "system").alias("bot")).alias("author"),
+        F.array(member("42", F.concat(F.lit("Nick "), c), none), member("84", none, F.lit("Second Person"))).alias("mentions"),
+        F.struct(F.when(F.col("turn") > 0, F.concat(c, F.lit("-"), F.col("turn") - 1)).alias("message_id")).alias("message_reference"),
+        F.array().cast("array<struct<filename:string,url:string,size:bigint>>").alias("attachments"),
+        F.when(F.col("turn") > 2, F.array(F.struct(F.struct(F.lit("x").alias("name")).alias("emoji"), F.lit(1).cast("long").alias("count")))).alias("reactions"),
+    )
+    rows = corpus.normalize(raw)
+    return rows.select("id", "server_id", "user_id", "user", "is_bot", "type", F.sha2("message", 256).alias("message_sha256"), "reply_to", F.coalesce(F.size("reactions"), F.lit(0)).alias("reactions"))
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS messages, min(id) AS first_id FROM msg GROUP BY 1")
+def month_partitions(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.messages(spark, d).withColumn("month", corpus.month_of(F.col("timestamp")))
+    return rows.groupBy("month").agg(F.count("*").alias("messages"), F.min("id").alias("first_id"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m') AS month, count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 = 0) AS added,
+  count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0) AS updated, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2) AS unchanged,
+  count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 = 0) + count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0) > 0 AS touched
+FROM msg GROUP BY 1 HAVING count(*) FILTER (WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0) > 0""")
+def corpus_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Receipt of an upsert: two thirds are stored, every second comes again, half of these changed."""
+    n = F.substring_index("id", ":", -1).cast("long")
+    rows = tables.messages(spark, d).withColumn("attachments", F.array().cast("array<struct<name:string,url:string,bytes:bigint,file:string>>"))
+    stored = rows.where(n % 3 != 0).withColumn("month", corpus.month_of(F.col("timestamp")))
+    incoming = rows.where(n % 2 == 0).withColumn("message", F.when(n % 4 == 0, F.concat("message", F.lit(" edited"))).otherwise(F.col("message"))).withColumn("seq", n)
+    receipt = corpus.merge(stored, incoming)[1]
+    return receipt.select("month", *[F.col(c).cast("long").alias(c) for c in ("added", "updated", "unchanged")], "touched")
+
+
+@query("""SELECT id, min(month) AS month, count(*) AS copies FROM (
+  SELECT id, strftime(ts, '%Y-%m') AS month FROM msg UNION ALL SELECT id, strftime(ts + INTERVAL 40 DAY, '%Y-%m') FROM msg WHERE doc_id % 5 = 0) GROUP BY 1""")
+def history_read(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that stand in two months are read once, from the earlier one."""
+    rows = tables.messages(spark, d)
+    later = F.date_format(F.timestamp_add("DAY", F.lit(40), F.to_timestamp("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    again = rows.where(F.substring_index("id", ":", -1).cast("long") % 5 == 0).withColumn("timestamp", later)
+    stored = rows.unionByName(again).withColumn("month", corpus.month_of(F.col("timestamp")))
+    copies = stored.groupBy("id").agg(F.count("*").alias("copies"))
+    return corpus.unique_history(stored).select("id", "month").join(copies, "id")
+
+
+@query("""SELECT server_id, count(*) AS message_count, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last
+FROM msg WHERE ts >= TIMESTAMP '2024-07-29' - INTERVAL 720 HOUR GROUP BY 1""")
+def rolling_feed(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.feed_summary(corpus.rolling_feed(tables.messages(spark, d), "2024-07-29 00:00:00", 720))
+
+
+@query(r"""SELECT id, url, local, CASE WHEN regexp_matches(lower(local), '\.(png|jpe?g|gif|webp)$') THEN 'image' WHEN regexp_matches(lower(local), '\.(mp4|webm|mov)$') THEN 'video' ELSE 'file' END AS kind, bytes <= 50 * 1e6 AS fits
+FROM (SELECT id, url, bytes, part[-2] || '-' || right(regexp_replace(part[-1], '[^A-Za-z0-9_.\-]', '_', 'g'), 80) AS local FROM (
+  SELECT page_id::VARCHAR AS id, 'https://cdn.example.org/attachments/' || page_id || '/my file-' || (page_id % 7) || list_value('.png', '.MP4', '.txt')[page_id % 3 + 1] AS url, page_id * 100000 AS bytes,
+    string_split('/attachments/' || page_id || '/my file-' || (page_id % 7) || list_value('.png', '.MP4', '.txt')[page_id % 3 + 1], '/') AS part FROM pages))""", chain=False)
+def media_manifest(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("page_id")
+    end = F.element_at(F.array(F.lit(".png"), F.lit(".MP4"), F.lit(".txt")), (p % 3 + 1).cast("int"))
+    link = F.concat(F.lit("https://cdn.example.org/attachments/"), p, F.lit("/my%20file-"), p % 7, end, F.lit("?ex=1"))
+    none = F.lit(None).cast("string")
+    rows = tables.table(spark, d, "pages").select(p.cast("string").alias("id"), F.array(F.struct(none.alias("name"), link.alias("url"), (p * 100000).alias("bytes"), none.alias("file"))).alias("attachments"))
+    found = corpus.media_manifest(rows)
+    return found.withColumn("url", F.replace(F.regexp_replace("url", r"\?.*$", ""), F.lit("%20"), F.lit(" ")))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_id % 11 = 0 OR ts >= TIMESTAMP '2024-01-15 00:00:00'""", chain=False)
+def threads_in_window(spark: SparkSession, d: str) -> DataFrame:
+    """Events as archived threads; one stamp in eleven cannot be read and stays."""
+    stamp = F.when(F.col("event_id") % 11 == 0, "never").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    threads = tables.table(spark, d, "events").select("event_id", "event_type", stamp.alias("archive_timestamp"))
+    return corpus.threads_in_window(threads, "2024-01-15 00:00:00").select("event_id", "event_type")
+
+
+@query("""SELECT lang AS server_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 < 2 THEN doc_id::VARCHAR ELSE (doc_id - doc_id % 4)::VARCHAR END AS channel_id,
+  CASE WHEN doc_id % 4 < 2 THEN source WHEN p.doc IS NULL THEN '?' ELSE p.src END AS channel, CASE WHEN doc_id % 4 < 2 THEN NULL ELSE 't-' || source END AS thread
+FROM documents d LEFT JOIN (SELECT doc_id AS doc, lang AS l, source AS src FROM documents WHERE doc_id % 4 < 2) p ON p.doc = d.doc_id - d.doc_id % 4 AND p.l = d.lang AND d.doc_id % 4 >= 2""", chain=False)
+def read_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as channels (two of four), active and archived threads; archived ones listed twice."""
+    docs, k = tables.table(spark, d, "documents"), F.col("doc_id") % 4
+    channels = docs.where(k < 2).select(F.col("lang").alias("server_id"), F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("type"), F.col("source").alias("name"))
+    thread = lambda x: docs.where(x).select(F.col("lang").alias("server_id"), F.col("doc_id").cast("string").alias("id"), F.lit(11).alias("type"), (F.col("doc_id") - k).cast("string").alias("parent_id"), F.concat(F.lit("t-"), "source").alias("name"))
+    return corpus.read_targets(channels, thread(k == 2), thread(k >= 2))
+
+
+@query("SELECT event_id, (epoch_ms(ts) - 1420070400000) * 4194304 AS snowflake, epoch_ms(ts) AS back_ms FROM events", chain=False)
+def snowflakes(spark: SparkSession, d: str) -> DataFrame:
+    seconds = F.unix_millis(F.col("ts").cast("timestamp")) / 1000
+    rows = tables.table(spark, d, "events").select("event_id", text.snowflake(seconds).alias("snowflake"))
+    return rows.withColumn("back_ms", F.round(text.snowflake_seconds(F.col("snowflake")) * 1000).cast("long"))
+
+
+@query("""SELECT server_id, id, sha256(coalesce(message, '')) AS message_sha256 FROM msg WHERE contains(lower(message), 'stupid') OR contains(lower("user"), 'stupid')""")
+def feed_search(spark: SparkSession, d: str) -> DataFrame:
+    return messages.search(tables.messages(spark, d), "Stupid").select("server_id", "id", F.sha2(F.coalesce("message", F.lit("")), 256).alias("message_sha256"))
+
+
+@query("""SELECT server, channel, count(*) AS messages, grouping_id(server, channel)::BIGINT AS level FROM msg GROUP BY ROLLUP (server, channel)""")
+def side_bar(spark: SparkSession, d: str) -> DataFrame:
+    return messages.side_bar(tables.messages(spark, d))
+
+
+@query("SELECT server_id, count(*) AS stored, count(*) FILTER (WHERE NOT is_bot) AS eligible FROM msg GROUP BY 1")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return messages.coverage(tables.messages(spark, d))
+
+
+@query("""SELECT server_id, stored, eligible, name, row_number() OVER (ORDER BY (server_id = 'fr') DESC, stored DESC, server_id) AS place FROM (
+  SELECT server_id, count(*) AS stored, count(*) FILTER (WHERE NOT is_bot) AS eligible, arg_max(server, (ts, id)) FILTER (WHERE NOT is_bot) AS name FROM msg WHERE server_id IS NOT NULL GROUP BY 1) WHERE eligible > 0""")
+def server_index(spark: SparkSession, d: str) -> DataFrame:
+    return messages.server_index(tables.messages(spark, d), "fr")
+
+
+@query("""SELECT DISTINCT server_id, alias FROM (SELECT server_id, alias FROM alias UNION ALL SELECT lang, unnest(regexp_extract_all(lower('Defender ' || source), '[a-z][a-z''\\-]{2,}')) FROM documents)""")
+def member_aliases(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    roster = tables.table(spark, d, "documents").select(F.col("lang").alias("server_id"), F.concat(F.lit("Defender "), "source").alias("nick"), F.struct(none.alias("id"), none.alias("username"), none.alias("global_name")).alias("user"))
+    return messages.member_aliases(tables.messages(spark, d), roster)
+
+
+# ---- tokens, inventories, activity -----------------------------------------
+
+
+@query("""SELECT id, n_tokens::INT AS n_tokens, coalesce(b, 0)::INT AS n_breaks, sha256(coalesce(array_to_string(tk, ' '), '')) AS tokens_sha256
+FROM tok LEFT JOIN (SELECT id, count(*) AS b FROM t_next WHERE brk AND w2 IS NOT NULL GROUP BY 1) USING (id)""")
+def token_streams(spark: SparkSession, d: str) -> DataFrame:
+    rows = messages.tokenized(tables.messages(spark, d))
+    return rows.select("id", F.size("tokens").alias("n_tokens"), F.size(F.filter("breaks", lambda b: b)).alias("n_breaks"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+
+
+@query("SELECT id, size::INT AS size, count(*) AS n, min(pos)::INT AS first_pos, min(term) AS first_term, max(term) AS last_term FROM t_gram WHERE size > 1 GROUP BY 1, 2")
+def candidate_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    rows = messages.tokenized(tables.messages(spark, d))
+    sized = lambda n: F.transform(text.ngrams(F.col("tokens"), F.col("breaks"), n), lambda g: F.struct(F.lit(n).alias("size"), g["pos"].alias("pos"), g["term"].alias("term")))
+    one = rows.select("id", F.inline(F.concat(sized(2), sized(3))))
+    return one.groupBy("id", "size").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+
+
+TOTALS = "server_id, messages, tokens, voices, channels, first_ts, last_ts"
+
+
+@query(f"SELECT {TOTALS} FROM tot")
+def window_totals(spark: SparkSession, d: str) -> DataFrame:
+    return messages.totals(messages.tokenized(tables.messages(spark, d)))
+
+
+@query(f"SELECT {TOTALS} FROM alltot")
+def history_totals(spark: SparkSession, d: str) -> DataFrame:
+    return messages.totals(messages.tokenized(tables.messages(spark, d)), False)
+
+
+@query("SELECT server_id, week, sum(n_tokens)::BIGINT AS tokens FROM tok GROUP BY 1, 2")
+def weekly_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return messages.tokenized(tables.messages(spark, d)).groupBy("server_id", "week").agg(F.sum(F.size("tokens")).alias("tokens"))
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    return messages.term_facts(messages.tokenized(tables.messages(spark, d)))
+
+
+INVENTORY = "server_id, size::INT AS size, term, uses, voices, active_days, first_ts"
+
+
+@query(f"SELECT {INVENTORY} FROM hist WHERE size = 1")
+def history_words(spark: SparkSession, d: str) -> DataFrame:
+    return messages.inventory(facts(spark, d).where("size = 1"), False)
+
+
+@query(f"SELECT {INVENTORY} FROM hist WHERE size > 1 AND uses >= {DEFAULT.min_phrase_uses}")
+def history_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return messages.inventory(facts(spark, d).where("size > 1"), False).where(F.col("uses") >= DEFAULT.min_phrase_uses)
+
+
+@query(f"SELECT {INVENTORY} FROM inv")
+def window_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return messages.inventory(facts(spark, d), True)
+
+
+@query("SELECT server_id, speaker, size::INT AS size, sum(uses)::BIGINT AS uses, count(DISTINCT term) AS terms FROM fact WHERE is_current GROUP BY 1, 2, 3")
+def person_terms(spark: SparkSession, d: str) -> DataFrame:
+    return messages.roll_up(facts(spark, d), "speaker", "size", "term").groupBy("server_id", "speaker", "size").agg(F.sum("uses").alias("uses"), F.count("*").alias("terms"))
+
+
+@query("SELECT server_id, channel, size::INT AS size, sum(uses)::BIGINT AS uses, count(DISTINCT term) AS terms FROM fact WHERE is_current GROUP BY 1, 2, 3")
+def channel_terms(spark: SparkSession, d: str) -> DataFrame:
+    return messages.roll_up(facts(spark, d), "channel", "size", "term").groupBy("server_id", "channel", "size").agg(F.sum("uses").alias("uses"), F.count("*").alias("terms"))
+
+
+@query("SELECT server_id, day, messages, tokens, voices FROM act")
+def daily_activity(spark: SparkSession, d: str) -> DataFrame:
+    return messages.daily_activity(messages.tokenized(tables.messages(spark, d)))
+
+
+@query("""SELECT s.server_id, (c // 24)::INT AS weekday, (c % 24)::INT AS hour, coalesce(n, 0)::BIGINT AS messages FROM (SELECT DISTINCT server_id FROM tok) s CROSS JOIN (SELECT unnest(range(0, 168)) AS c)
+LEFT JOIN (SELECT server_id, (isodow(ts) - 1) * 24 + hour(ts) AS c, count(*) AS n FROM tok WHERE is_current GROUP BY 1, 2) USING (server_id, c)""")
+def heat_map(spark: SparkSession, d: str) -> DataFrame:
+    return messages.heat_map(messages.tokenized(tables.messages(spark, d)))
+
+
+@query("SELECT server_id, speaker, name, messages, tokens, active_days, channels, share FROM ppl")
+def people_activity(spark: SparkSession, d: str) -> DataFrame:
+    return messages.people_activity(messages.tokenized(tables.messages(spark, d)))
+
+
+@query(r"""SELECT 'all' AS server_id, domain, count(*) AS uses, count(DISTINCT speaker) AS voices, count(DISTINCT day) AS active_days FROM (
+  SELECT page_id % 50 AS speaker, page_id % 30 AS day, regexp_replace(regexp_extract(lower(rtrim(url, '.,;:!?)]}')), '^https?://([^/?#:]+)', 1), '^www\.', '') AS domain FROM pages) WHERE domain <> '' GROUP BY domain""", chain=False)
+def link_domains(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("page_id")
+    rows = tables.table(spark, d, "pages").select(F.lit("all").alias("server_id"), F.lit(True).alias("is_current"), (p % 50).alias("speaker"), (p % 30).alias("day"), F.concat(F.lit("see "), F.col("url"), F.lit(". <")).alias("message"))
+    return messages.link_domains(rows)
+
+
+@query("""SELECT server_id, symbol, sum(n)::BIGINT AS uses FROM (
+  SELECT 'u' || (user_id % 3) AS server_id, event_type AS symbol, event_id % 5 AS n FROM events
+  UNION ALL SELECT 'u' || (user_id % 3), 'wave', 1 FROM events UNION ALL SELECT 'u' || (user_id % 3), chr(128640), 1 FROM events WHERE event_id % 2 = 0
+  UNION ALL SELECT 'u' || (user_id % 3), 'media attachment', 1 FROM events WHERE event_id % 7 = 0) GROUP BY 1, 2""", chain=False)
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    none = F.lit(None).cast("string")
+    media = F.array(F.struct(none.alias("name"), none.alias("url"), F.lit(0).cast("long").alias("bytes"), none.alias("file")))
+    rows = tables.table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id") % 3).alias("server_id"),
+        F.concat(F.lit("hi <:wave:12> "), F.when(e % 2 == 0, "\U0001f680").otherwise("")).alias("message"),
+        F.array(F.struct(F.col("event_type").alias("emoji"), (e % 5).alias("count"))).alias("reactions"),
+        F.when(e % 7 == 0, media).otherwise(F.array().cast("array<struct<name:string,url:string,bytes:bigint,file:string>>")).alias("attachments"),
+    )
+    return messages.symbols(rows)
+
+
+# ---- scoring ---------------------------------------------------------------
+
+LEXICON = """SELECT server_id, place::INT AS place, term, uses, voices, CASE WHEN rate = 0 THEN 'not_found' ELSE 'measured' END AS reference_status,
+  CASE WHEN rate > 0 THEN round(rate * n, 4) END AS reference_expected, CASE WHEN rate > 0 THEN round(rate * 1e6, 4) END AS reference_ppm,
+  round(uses / greatest(n, 1) * 1e6, 1) AS local_ppm, CASE WHEN rate > 0 THEN round(lift, 1) END AS lift FROM lex"""
+
+
+@query(LEXICON)
+def lexicon_table(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).lexicon()
+
+
+QUERIES["lexicon"], ORACLE_SQL["lexicon"] = QUERIES.pop("lexicon_table"), ORACLE_SQL.pop("lexicon_table")
+
+
+@query("SELECT server_id, size::INT AS size, place::INT AS place, term, uses, voices, active_days, round(association, 3) AS association, round(reference_lift, 1) AS reference_lift FROM phr")
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).phrases()
+
+
+@query("SELECT server_id, term, uses, voices, active_days, association, reference_lift FROM big")
+def qualified_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).bigrams().select("server_id", "term", "uses", "voices", "active_days", "association", "reference_lift")
+
+
+@query("SELECT server_id, term, uses, round(rate * 1e6, 4) AS ppm, round(lift, 4) AS lift, reportable, about FROM voc")
+def vocabulary_rates(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).vocabulary().select("server_id", "term", "uses", F.round(F.col("rate") * 1e6, 4).alias("ppm"), F.round("lift", 4).alias("lift"), "reportable", "about")
+
+
+@query("SELECT server_id, term, kind, sum(uses)::BIGINT AS uses, count(DISTINCT speaker) AS voices, count(DISTINCT day) AS active_days, sum(documents)::BIGINT AS documents FROM ufact GROUP BY 1, 2, 3")
+def semantic_units(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    found = units.unit_facts(units.unit_rows(r.tokens, r.bigrams()))
+    return found.groupBy("server_id", "term", "kind").agg(F.sum("uses").alias("uses"), F.countDistinct("speaker").alias("voices"), F.countDistinct("day").alias("active_days"), F.sum("documents").alias("documents"))
+
+
+@query("SELECT server_id, speaker, kind, sum(uses)::BIGINT AS uses, count(DISTINCT term) AS units FROM ufact GROUP BY 1, 2, 3")
+def person_units(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    found = units.unit_facts(units.unit_rows(r.tokens, r.bigrams()))
+    return found.groupBy("server_id", "speaker", "kind").agg(F.sum("uses").alias("uses"), F.countDistinct("term").alias("units"))
+
+
+@query(f"SELECT server_id, term, arg_min(c, k) AS canonical FROM (SELECT server_id, term, unnest({fold('term')}) AS c, unnest([1, 2, 3]) AS k FROM inv WHERE size = 1) JOIN (SELECT server_id, term AS c FROM inv WHERE size = 1) USING (server_id, c) GROUP BY 1, 2")
+def plural_fold(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    return units.folded(r.observed().select("server_id", "term"), r.observed()).where("canonical <> term")
+
+
+@query("SELECT server_id, term, kind, uses, voices, documents FROM uinv")
+def unit_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).graph()["inventory"]
+
+
+@query("SELECT server_id, term, kind, uses, voices, documents, round(lift, 4) AS lift FROM node")
+def topic_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).graph()["nodes"].withColumn("lift", F.round("lift", 4))
+
+
+@query("SELECT server_id, day, l, r, documents FROM pair")
+def pair_documents(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).graph()["pairs"]
+
+
+EDGES = "server_id, l, r, documents, round(association, 6) AS association, round(weight, 6) AS weight, relation"
+
+
+@query(f"SELECT {EDGES} FROM edge")
+def semantic_edges(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).graph()["edges"].withColumns({"association": F.round("association", 6), "weight": F.round("weight", 6)})
+
+
+@query(f"SELECT {EDGES} FROM pruned")
+def pruned_edges(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).graph()["pruned"].withColumns({"association": F.round("association", 6), "weight": F.round("weight", 6)})
+
+
+@query()
+def topic_families(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).topics()[0]
+
+
+@query()
+def topic_units(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).topics()[1]
+
+
+def shares(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    g = r.graph()
+    series = topics.topic_series(r.topics(g)[1], g["canonical"], messages.daily_activity(r.tokens))
+    return topics.daily_share(topics.causal(series, ["server_id", "topic"]), "topic", ["server_id"])
+
+
+@query()
+def topic_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(spark, d)
+
+
+@query()
+def topics_of_day(spark: SparkSession, d: str) -> DataFrame:
+    return shares(spark, d).where("day_rank <= 5 and share > 0").select("server_id", "day", "day_rank", "topic", "share")
+
+
+@query()
+def dominant_units(spark: SparkSession, d: str) -> DataFrame:
+    """The visible unit with the largest share of each day, or any unit if none is visible."""
+    r = report(spark, d)
+    g = r.graph()
+    members = r.topics(g)[1].where(F.col("rank") <= DEFAULT.topic_units)
+    one = members.withColumn("topic", F.concat_ws("|", "kind", "term"))
+    series = topics.daily_share(topics.topic_series(one, g["canonical"], messages.daily_activity(r.tokens)).withColumnRenamed("value", "smooth"), "topic", ["server_id"])
+    seen = series.join(one.select("server_id", "topic", "label_visible").distinct(), ["server_id", "topic"]).where("share > 0")
+    return lexicon.ranked(seen, F.desc("label_visible"), F.desc(F.round("share", 9)), F.col("topic"), top=1, keys=("server_id", "day")).select("server_id", "day", "topic", "share")
+
+
+@query()
+def visible_edges(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    g = r.graph()
+    return topics.visible_edges(g["edges"], r.topics(g)[1])
+
+
+@query("""SELECT server_id, channel, day, round(value, 3) AS value, round(smooth, 6) AS smooth, round(CASE WHEN whole > 0 THEN smooth / whole ELSE 0 END, 6) AS share FROM (
+  SELECT *, sum(smooth) OVER (PARTITION BY server_id, day) AS whole FROM (
+    SELECT server_id, channel, day, value, (value * 0.58 + coalesce(lag(value, 1) OVER w, 0) * 0.29 + coalesce(lag(value, 2) OVER w, 0) * 0.13)
+      / CASE row_number() OVER w WHEN 1 THEN 0.58 WHEN 2 THEN 0.58 + 0.29 ELSE 0.58 + 0.29 + 0.13 END AS smooth
+    FROM (SELECT c.server_id, c.channel, a.day, coalesce(t.n, 0) / greatest(a.tokens, 1) * 10000 AS value FROM (SELECT DISTINCT server_id, channel FROM tok WHERE is_current) c JOIN act a USING (server_id)
+      LEFT JOIN (SELECT server_id, channel, day, sum(n_tokens) AS n FROM tok WHERE is_current GROUP BY 1, 2, 3) t USING (server_id, channel, day))
+    WINDOW w AS (PARTITION BY server_id, channel ORDER BY day)))""")
+def channel_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed daily share of the community's words in each channel."""
+    tokens = messages.tokenized(tables.messages(spark, d))
+    rows = tokens.where("is_current").groupBy("server_id", "channel", "day").agg(F.sum(F.size("tokens")).alias("n"))
+    axis = rows.select("server_id", "channel").distinct().join(messages.daily_activity(tokens).select("server_id", "day", "tokens"), "server_id")
+    value = F.coalesce("n", F.lit(0)) / F.greatest("tokens", F.lit(1)) * 10000
+    series = axis.join(rows, ["server_id", "channel", "day"], "left").select("server_id", "channel", "day", value.alias("value"))
+    out = topics.daily_share(topics.causal(series, ["server_id", "channel"]), "channel", ["server_id"])
+    return out.select("server_id", "channel", "day", F.round("value", 3).alias("value"), F.round("smooth", 6).alias("smooth"), F.round("share", 6).alias("share"))
+
+
+MOVE = """server_id, size::INT AS size, term, uses, voices, recent_uses, previous_uses, round(rr, 3) AS recent_rate, round(pr, 3) AS previous_rate,
+  CASE WHEN change_percent IS NULL THEN 'new' WHEN recent_uses = 0 AND previous_uses > 0 THEN 'not seen recently' WHEN change_percent >= 0 THEN change_percent || '% higher' ELSE -change_percent || '% lower' END AS change,
+  change_percent, momentum, round(association, 3) AS association, first_ts::DATE AS first_observed"""
+
+
+@query(f"SELECT {MOVE} FROM cand")
+def movement_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).moves()
+
+
+@query(f"""SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY server_id, direction ORDER BY abs(momentum) DESC, CASE WHEN direction = 'rising' THEN recent_rate ELSE previous_rate END DESC, term)::INT AS place FROM (
+  SELECT *, 0 AS r, CASE WHEN recent_rate >= 0.3 AND momentum > 0.35 THEN 'rising' WHEN previous_rate >= 0.3 AND momentum < -0.35 THEN 'fading' END AS direction FROM (SELECT {MOVE} FROM cand)) WHERE direction IS NOT NULL""")
+def movement_directed(spark: SparkSession, d: str) -> DataFrame:
+    return movement.directed(report(spark, d).moves())
+
+
+@query()
+def movement_diverse(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).movement()
+
+
+# ---- people ----------------------------------------------------------------
+
+
+@query("SELECT server_id, speaker, channel, messages FROM part")
+def participation(spark: SparkSession, d: str) -> DataFrame:
+    return people.participation(messages.tokenized(tables.messages(spark, d)))
+
+
+@query("SELECT server_id, l, r, round(weight, 6) AS weight FROM aff")
+def person_affinity(spark: SparkSession, d: str) -> DataFrame:
+    return people.affinity(people.participation(messages.tokenized(tables.messages(spark, d)))).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""SELECT server_id, l, r, round(weight, 6) AS weight FROM aff WHERE (server_id, l, r) IN (SELECT (server_id, l, r) FROM (
+  SELECT *, row_number() OVER (PARTITION BY server_id, node ORDER BY round(weight, 9) DESC, other DESC) AS k FROM (SELECT *, l AS node, r AS other FROM aff UNION ALL SELECT *, r, l FROM aff)) WHERE k <= {DEFAULT.person_links})""")
+def pruned_affinity(spark: SparkSession, d: str) -> DataFrame:
+    found = people.affinity(people.participation(messages.tokenized(tables.messages(spark, d))))
+    return topics.strongest(found, DEFAULT.person_links).withColumn("weight", F.round("weight", 6))
+
+
+def circle_rows(r: Report) -> DataFrame:
+    return people.circles(people.affinity(people.participation(r.tokens)), r.people())
+
+
+@query()
+def conversation_circles(spark: SparkSession, d: str) -> DataFrame:
+    return circle_rows(report(spark, d))
+
+
+@query()
+def circle_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Label and channels of each circle."""
+    r = report(spark, d)
+    g = r.graph()
+    groups = circle_rows(r)
+    members = r.topics(g)[1]
+    counts = g["facts"].join(groups.select("server_id", "circle", "speaker"), ["server_id", "speaker"]).groupBy("server_id", "circle", "term", "kind").agg(F.sum("uses").alias("uses"))
+    rooms = people.circle_channels(groups, people.participation(r.tokens))
+    labels = people.circle_labels(rooms, topics.topic_mix(counts, members, "circle", r.observed()))
+    return rooms.join(labels, ["server_id", "circle"])
+
+
+@query()
+def circle_language(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    groups = circle_rows(r).select("server_id", "circle", "speaker")
+    words = lexicon.roll_up_people(r.facts.where("size = 1")).join(groups, ["server_id", "speaker"])
+    counts = words.groupBy("server_id", "circle", "term").agg(F.sum("uses").alias("uses"), F.count("*").alias("voices"))
+    counts = counts.join(groups.groupBy("server_id", "circle").agg(F.count("*").alias("members")), ["server_id", "circle"])
+    sizes = groups.join(r.people().select("server_id", "speaker", "tokens"), ["server_id", "speaker"]).groupBy("server_id", "circle").agg(F.sum("tokens").alias("size"))
+    return people.distinctive(counts, "circle", sizes, r.observed(), r.lexicon(), r.totals, voices=True)
+
+
+@query("""SELECT server_id, channel, row_number() OVER (PARTITION BY server_id, channel ORDER BY score DESC, uses DESC, term)::INT AS place, term, uses, round(lift, 1) AS lift FROM (
+  SELECT *, round(ln(1 + uses) * """ + log2("lift + 1") + """ * 1.0, 9) AS score FROM (
+    SELECT c.*, ((c.uses + 0.5) / (s.size + 1000)) / ((v.uses - c.uses + 0.5) / (greatest(0, t.tokens - s.size) + 1000)) AS lift
+    FROM (SELECT server_id, channel, term, sum(uses)::BIGINT AS uses FROM fact WHERE is_current AND size = 1 GROUP BY 1, 2, 3) c
+    JOIN lex l ON l.server_id = c.server_id AND l.term = c.term JOIN inv v ON v.server_id = c.server_id AND v.term = c.term AND v.size = 1
+    JOIN (SELECT server_id, channel, sum(n_tokens) AS size FROM tok WHERE is_current GROUP BY 1, 2) s ON s.server_id = c.server_id AND s.channel = c.channel JOIN tot t ON t.server_id = c.server_id WHERE c.uses >= 3))
+QUALIFY place <= 8""")
+def channel_language(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    counts = messages.roll_up(r.facts.where("size = 1"), "channel", "term")
+    sizes = r.tokens.where("is_current").groupBy("server_id", "channel").agg(F.sum(F.size("tokens")).alias("size"))
+    return people.distinctive(counts, "channel", sizes, r.observed(), r.lexicon(), r.totals, voices=False)
+
+
+@query("""SELECT server_id, place::INT AS place, channel, messages, voices, string_agg(name, ', ' ORDER BY k) AS people FROM (
+  SELECT r.*, p.name, row_number() OVER (PARTITION BY r.server_id, r.channel ORDER BY a.messages DESC, p.name, a.speaker) AS k FROM (
+    SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY messages DESC, channel) AS place FROM (SELECT server_id, channel, sum(messages)::BIGINT AS messages, count(*) AS voices FROM part GROUP BY 1, 2) QUALIFY place <= 10
+  ) r JOIN part a USING (server_id, channel) JOIN ppl p ON p.server_id = a.server_id AND p.speaker = a.speaker QUALIFY k <= 6) GROUP BY 1, 2, 3, 4, 5""".replace("SELECT r.*", "SELECT r.server_id, r.channel, r.messages, r.voices, r.place"))
+def channel_profiles(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    return people.channel_profiles(people.participation(r.tokens), r.people())
+
+
+@query()
+def person_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topic mix of each person under a pseudonym."""
+    r = report(spark, d)
+    g = r.graph()
+    mix = topics.topic_mix(g["facts"].groupBy("server_id", "speaker", "term", "kind").agg(F.sum("uses").alias("uses")), r.topics(g)[1], "speaker", r.observed())
+    return mix.where("place <= 6").withColumn("key", people.person_key(F.col("speaker"))).drop("speaker")
+
+
+@query("""SELECT f.server_id, f.speaker, f.size::INT AS size, f.term, sum(f.uses)::BIGINT AS uses FROM fact f JOIN (SELECT server_id, 1 AS size, term FROM lex UNION ALL SELECT server_id, size, term FROM phr) s
+ON s.server_id = f.server_id AND s.size = f.size AND s.term = f.term WHERE is_current GROUP BY ALL""")
+def contributions(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    return lexicon.contributions(r.facts, r.lexicon(), r.phrases())
+
+
+def silent(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, v) for s in ("de", "en", "es", "fr") for v in SILENT], "server_id string, speaker string")
+
+
+GONE = """(SELECT server_id, size, term, sum(uses) AS gone, count(DISTINCT speaker) AS voices_gone FROM fact WHERE is_current AND speaker IN ('u1', 'u2', 'u3') GROUP BY 1, 2, 3)"""
+
+
+@query(f"""SELECT server_id, row_number() OVER (PARTITION BY server_id ORDER BY score DESC, uses DESC, term)::INT AS place, term, uses, voices, round(expected, 4) AS expected FROM (
+  SELECT *, round(ln(1 + uses) * ln(1 + voices) * {log2(f"greatest({DEFAULT.word_min_lift}, least(coalesce(lift, {DEFAULT.lift_ceiling}), {DEFAULT.lift_ceiling}))")}, 9) AS score FROM (
+    SELECT l.server_id, l.term, greatest(0, l.uses - coalesce(gone, 0))::BIGINT AS uses, greatest(0, l.voices - coalesce(voices_gone, 0))::BIGINT AS voices,
+      CASE WHEN rate > 0 THEN round(rate * n, 4) END * s.share AS expected, greatest(0, l.uses - coalesce(gone, 0)) / greatest(CASE WHEN rate > 0 THEN round(rate * n, 4) END * s.share, 1e-12) AS lift0,
+      CASE WHEN rate > 0 THEN greatest(0, l.uses - coalesce(gone, 0)) / greatest(round(rate * n, 4) * s.share, 1e-12) END AS lift
+    FROM lex l LEFT JOIN {GONE} g ON g.server_id = l.server_id AND g.size = 1 AND g.term = l.term
+    JOIN (SELECT t.server_id, greatest(1, t.tokens - coalesce(x.silent, 0)) / t.tokens AS share FROM tot t LEFT JOIN (SELECT server_id, sum(tokens) AS silent FROM ppl WHERE speaker IN ('u1', 'u2', 'u3') GROUP BY 1) x USING (server_id)) s ON s.server_id = l.server_id)
+  WHERE uses >= {DEFAULT.min_word_uses} AND voices >= 2 AND (lift IS NULL OR lift >= {DEFAULT.word_min_lift})) QUALIFY place <= 18""")
+def lexicon_lens(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    words = r.lexicon()
+    return lexicon.lexicon_lens(words, lexicon.contributions(r.facts, words, r.phrases()), r.people(), r.totals, silent(spark))
+
+
+@query(f"""SELECT server_id, row_number() OVER (PARTITION BY server_id ORDER BY score DESC, uses DESC, term)::INT AS place, size::INT AS size, term, uses, voices FROM (
+  SELECT *, round(ln(1 + uses) * ln(1 + voices) * association, 9) AS score FROM (
+    SELECT p.server_id, p.size, p.term, round(association, 3) AS association, greatest(0, p.uses - coalesce(gone, 0))::BIGINT AS uses, greatest(0, p.voices - coalesce(voices_gone, 0))::BIGINT AS voices
+    FROM phr p LEFT JOIN {GONE} g ON g.server_id = p.server_id AND g.size = p.size AND g.term = p.term)
+  WHERE uses >= {DEFAULT.min_phrase_uses} AND voices >= 2) QUALIFY place <= 16""")
+def phrase_lens(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    found = r.phrases()
+    return lexicon.phrase_lens(found, lexicon.contributions(r.facts, r.lexicon(), found), silent(spark))
