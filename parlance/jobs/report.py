@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,30 +39,44 @@ def validate(df: DataFrame) -> DataFrame:
     return df
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Compute a table that many others read, once; it goes to disk where memory ends.
+
+    A plan over kept tables stays short, and each table is planned with the
+    sizes of those before it known.
+    """
+    df = df.persist()
+    df.count()
+    return df
+
+
 class Report:
     """The tables of a report over canonical messages, each built on demand."""
 
     def __init__(self, stored: DataFrame, words: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, roster: DataFrame | None = None):
         s = self.settings = settings
         self.stored, self.reference_words, self.reference_pairs = stored, words, pairs
-        self.tokens = messages.tokenized(stored, s)
+        self.tokens = keep(messages.tokenized(stored, s))
         self.aliases = messages.member_aliases(stored, roster)
-        self.facts = messages.term_facts(self.tokens)
-        self.window, self.history = messages.inventory(self.facts, True), messages.inventory(self.facts, False)
+        self.facts = keep(messages.term_facts(self.tokens))
+        self.window, self.history = keep(messages.inventory(self.facts, True)), messages.inventory(self.facts, False)
         self.totals, self.all_totals = messages.totals(self.tokens), messages.totals(self.tokens, False)
 
     def people(self) -> DataFrame:
         return messages.people_activity(self.tokens)
 
+    @cache
     def vocabulary(self) -> DataFrame:
-        return lexicon.vocabulary(self.window, self.totals, self.reference_words, self.aliases, self.settings)
+        return keep(lexicon.vocabulary(self.window, self.totals, self.reference_words, self.aliases, self.settings))
 
+    @cache
     def lexicon(self) -> DataFrame:
         return lexicon.lexicon(self.vocabulary(), self.settings)
 
+    @cache
     def phrases(self) -> DataFrame:
         gated = lexicon.gated_phrases(self.window, self.vocabulary(), self.totals, self.settings)
-        return lexicon.phrases(gated, self.reference_pairs, self.settings)
+        return keep(lexicon.phrases(gated, self.reference_pairs, self.settings))
 
     def bigrams(self) -> DataFrame:
         return lexicon.qualified_bigrams(self.phrases(), self.settings)
@@ -71,18 +87,18 @@ class Report:
     def graph(self) -> dict[str, DataFrame]:
         """Units, nodes and edges; ``bigrams`` and ``units`` are read many times."""
         s, observed = self.settings, self.observed()
-        bigrams = self.bigrams().persist()
-        rows = units.unit_rows(self.tokens, bigrams).persist()
-        facts = units.unit_facts(rows)
-        canonical = units.canonical_facts(facts, observed)
-        inventory = units.unit_inventory(canonical, self.totals)
-        nodes = topics.nodes(inventory, self.totals, self.reference_words, self.aliases, bigrams, s).persist()
+        bigrams = self.bigrams()
+        rows = keep(units.unit_rows(self.tokens, bigrams))
+        facts = keep(units.unit_facts(rows))
+        canonical = keep(units.canonical_facts(facts, observed))
+        inventory = keep(units.unit_inventory(canonical, self.totals))
+        nodes = keep(topics.nodes(inventory, self.totals, self.reference_words, self.aliases, bigrams, s))
         surface = units.folded(facts.select("server_id", "term", "kind").distinct(), observed)
         canon = F.when(F.col("kind") == "word", F.col("canonical")).otherwise(F.col("term"))
-        keep = surface.select("server_id", "term", canon.alias("canonical")).join(nodes.select("server_id", F.col("term").alias("canonical")), ["server_id", "canonical"], "left_semi")
-        pairs = units.canonical_pairs(units.pair_documents(rows, keep, s.pair_distance), observed, bigrams)
+        pairing = surface.select("server_id", "term", canon.alias("canonical")).join(nodes.select("server_id", F.col("term").alias("canonical")), ["server_id", "canonical"], "left_semi")
+        pairs = keep(units.canonical_pairs(units.pair_documents(rows, pairing, s.pair_distance), observed, bigrams))
         days = topics.with_composition(pairs, facts, bigrams, nodes, observed)
-        edges = topics.edges(days, nodes, self.totals, s).persist()
+        edges = keep(topics.edges(days, nodes, self.totals, s))
         return {"bigrams": bigrams, "rows": rows, "facts": facts, "canonical": canonical, "inventory": inventory, "nodes": nodes, "pairs": pairs, "edges": edges, "pruned": topics.strongest(edges, s.node_links)}
 
     def topics(self, graph: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
