@@ -107,7 +107,7 @@ def tree(fps: np.ndarray, leaf: int = 8, fanout: int = 8) -> list[tuple[int, np.
         width *= fanout
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, same: bool, most: int = MAX_BITS, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(a: np.ndarray, b: np.ndarray, same: bool, most: int = MAX_BITS, chunk: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Yield index pairs of two Gray-ordered blocks that differ in ``most`` bits or fewer.
 
     Both trees are walked together.  A pair of nodes whose shared bits differ in

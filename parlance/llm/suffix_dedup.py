@@ -38,14 +38,14 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import shuffle_width, text_or_empty
 
 SPAN, GRAM = 50, 20
 #: Bytes of text in one group of documents, and in one bucket of runs.
-GROUP_BYTES, BUCKET_BYTES, SLICE = 8 << 20, 4 << 20, 1 << 20
+GROUP_BYTES, BUCKET_BYTES, SLICE = 4 << 20, 3 << 20, 1 << 19
 KIND = "kind int, g long, key long, n long, a binary, b binary, c binary, d binary, e binary"
 COPY, ENTRY, DECIDED = 0, 1, 2
 
@@ -262,19 +262,18 @@ def joined(notes: pa.Table, kind: int, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(picked.column(column).to_pylist()), dtype)
 
 
-def whole_characters(kept: Column) -> Column:
-    """Kept bytes as text, without characters that lost some of their bytes."""
-    return F.pandas_udf(lambda s: s.map(lambda b: b.decode("utf-8", "ignore")), "string")(kept)
+def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_bytes, n_removed, spans (start, end), kept (binary), carry.
 
-
-def repeated_spans(docs: DataFrame, span_groups: int | None = None) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_bytes, n_removed, spans (start, end), kept (binary)."""
+    With ``as_text``, kept is a string, and a character that lost a byte goes
+    whole.  ``carry`` is a struct of the columns so named, which travel with the texts.
+    """
     spark = docs.sparkSession
-    base = docs.where("doc_id is not null").select("doc_id", text_or_empty().cast("binary").alias("bytes"))
+    base = docs.where("doc_id is not null").select("doc_id", text_or_empty().cast("binary").alias("bytes"), F.struct(F.lit(None).cast("string").alias("_"), *carry).alias("carry"))
     total = base.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    groups = span_groups or max(shuffle_width(spark), -(-total // GROUP_BYTES))
+    groups = max(shuffle_width(spark), -(-total // GROUP_BYTES))
     buckets = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
-    dealt = base.select("doc_id", F.unhex(F.md5("bytes")).alias("digest"), "bytes", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("g"))
+    dealt = base.select("doc_id", F.unhex(F.md5("bytes")).alias("digest"), "bytes", "carry", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("g"))
 
     least = dealt.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
     copies = dealt.select("doc_id", "digest", "g").join(least, "digest").where("doc_id > least").select(
@@ -425,15 +424,16 @@ def repeated_spans(docs: DataFrame, span_groups: int | None = None) -> DataFrame
                 kept = np.frombuffer(blob, np.uint8)[~gone].tobytes()
             else:
                 edges, kept = [], blob
-            for column, value in zip(out, (group.ids[k], len(blob), len(blob) - len(kept), [{"start": s, "end": e} for s, e in edges], kept), strict=True):
+            for column, value in zip(out, (group.ids[k], len(blob), len(blob) - len(kept), [{"start": s, "end": e} for s, e in edges], kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
                 column.append(value)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), span, pa.string() if as_text else pa.binary()), strict=True)]
+        return pa.table([*columns, (group.docs if group else docs).column("carry")], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "carry"])
 
     texts = dealt.groupBy("g")
     found = texts.cogroup(copies.groupBy("g")).applyInArrow(anchors, KIND)
     several = found.groupBy("g").applyInArrow(meet, KIND)
     runs = texts.cogroup(several.unionByName(copies).groupBy("g")).applyInArrow(strings, KIND)
     marks = runs.groupBy("g").applyInArrow(sort_strings, KIND)
-    out = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    out = f"doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept {"string" if as_text else "binary"}, carry {dealt.schema['carry'].dataType.simpleString()}"
     return texts.cogroup(marks.unionByName(copies).groupBy("g")).applyInArrow(remove, out)

@@ -19,7 +19,7 @@ import numpy as np
 
 SPECIAL = "<|endoftext|>"
 #: Cached runs in one worker; the cache starts anew when full.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Runs(dict):
