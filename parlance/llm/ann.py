@@ -192,7 +192,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     kept = kept.where(F.size("vector") == common)
     asked = kept.where(queries).distinct()
     one_place = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id")
-    rows = durable(kept.withColumn("n", F.row_number().over(one_place)).where(F.col("n") <= k + 1).drop("n").distinct())
+    rows = durable(kept.withColumn("n", F.dense_rank().over(one_place)).where(F.col("n") <= k + 1).drop("n").distinct())
     total = rows.count()
     parts = 1 if total < EXACT else max(2, min(MOST_PARTS, int(total**0.5) // 4))
     router, probes = None, 1
