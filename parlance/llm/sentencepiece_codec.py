@@ -2,10 +2,10 @@
 
 Distinct pre-tokens of equal length advance together through numpy: at each
 place the hash of every substring that ends there, one for each word and piece
-length, is looked up in the sorted hashes of the pieces of that length; the best
-score and the length of its last piece are kept as arrays.  Going back along the
-lengths gives the ids of all words at once.  A word's ids are spelled out again
-and compared with the word, so that a chance hit of two hashes cannot pass.
+length, is looked up in the sorted hashes of the pieces of that length (after a table of
+their leading bits has ruled most out); the best score and the length of its last piece are kept as arrays.  Going back along the
+lengths gives the ids of all words at once.  Every piece found is compared with
+its substring, so that a chance hit of two hashes cannot pass.
 
 Encoded pre-tokens stay with the worker, bounded; documents are their ids side
 by side.  Nothing is shuffled.
@@ -37,73 +37,92 @@ AT_ONCE = 1 << 20
 class Viterbi:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.shift = np.uint64(46)
         self.power = np.array([pow(BASE, k, 1 << 64) for k in range(pieces.longest + 1)], np.uint64)
+        self.table = np.zeros((len(pieces.text), pieces.longest), np.uint32)
+        self.sizes = np.zeros(len(pieces.text), np.int64)
+        for p, i in pieces.id.items():
+            self.table[i, : len(p)], self.sizes[i] = [ord(c) for c in p], len(p)
         by_length: dict[int, list[str]] = {}
         for p in pieces.id:
             by_length.setdefault(len(p), []).append(p)
         self.keys = {}
         for n, group in by_length.items():
-            h = self.hashes(self.codes(group, n))[:, n]
+            h = self.hashes(self.codes(group, n))[n]
             o = np.argsort(h)
-            self.keys[n] = h[o], np.array([pieces.score[p] for p in group])[o], np.array([pieces.id[p] for p in group])[o]
+            some = np.zeros(1 << 18, bool)
+            some[(h >> self.shift).view(np.int64)] = True
+            self.keys[n] = h[o], np.array([pieces.score[p] for p in group])[o], np.array([pieces.id[p] for p in group])[o], some
+        self.single = np.zeros(0x110000, bool)
+        self.single[[ord(p) for p in by_length.get(1, [])]] = True
 
     @staticmethod
     def codes(words: list[str], length: int) -> np.ndarray:
         return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), length)
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        out = np.zeros((codes.shape[1] + 1, len(codes)), np.uint64)
         for k in range(codes.shape[1]):
-            out[:, k + 1] = out[:, k] * self.power[1] + codes[:, k] + np.uint64(1)
+            out[k + 1] = out[k] * self.power[1] + codes[:, k] + np.uint64(1)
         return out
 
     def equal_length(self, words: list[str], length: int) -> list[bytes]:
         n, rows = len(words), np.arange(len(words))
-        h = self.hashes(self.codes(words, length))
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back, ids = np.zeros((n, length + 1), np.int64), np.zeros((n, length + 1), np.int64)
+        codes = self.codes(words, length)
+        h = self.hashes(codes)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back, ids = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
         for end in range(1, length + 1):
+            top = best[end]
             for size in range(min(end, self.pieces.longest), 0, -1):
                 if size not in self.keys:
                     continue
-                keys, scores, piece = self.keys[size]
-                wanted = h[:, end] - h[:, end - size] * self.power[size]
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                hit = keys[at] == wanted
-                score = np.where(hit, best[:, end - size] + scores[at], -np.inf)
+                keys, scores, piece, some = self.keys[size]
+                wanted = h[end] - h[end - size] * self.power[size]
+                at = np.flatnonzero(some[(wanted >> self.shift).view(np.int64)])
+                found = np.minimum(np.searchsorted(keys, wanted[at]), len(keys) - 1)
+                hit = keys[found] == wanted[at]
+                at, found = at[hit], found[hit]
+                score = best[end - size, at] + scores[found]
+                better = score > top[at]
+                at, found = at[better], found[better]
+                top[at], back[end, at], ids[end, at] = score[better], size, piece[found]
                 if size == 1:
-                    score = np.where(hit, score, best[:, end - 1] + self.pieces.unknown)
-                better = score > best[:, end]
-                best[better, end] = score[better]
-                back[better, end] = size
-                ids[better, end] = np.where(hit, piece[at], -1)[better]
+                    alone = ~self.single[codes[:, end - 1]]
+                    if not alone.any():
+                        continue
+                    alone &= best[end - 1] + self.pieces.unknown > top
+                    top[alone], back[end, alone], ids[end, alone] = best[end - 1, alone] + self.pieces.unknown, 1, -1
         place, found = np.full(n, length), []
         while place.any():
             open_ = rows[place > 0]
             end = place[open_]
-            found.append((open_, end, ids[open_, end]))
-            place[open_] = end - back[open_, end]
+            found.append((open_, end, ids[end, open_]))
+            place[open_] = end - back[end, open_]
         row, end, piece = (np.concatenate([f[k] for f in found]) for k in range(3))
         o = np.lexsort((end, row))
         row, end, piece = row[o], end[o], piece[o]
-        cut = np.searchsorted(row, np.arange(n + 1)).tolist()
-        piece_list, end_list, out = piece.tolist(), end.tolist(), []
-        for k, word in enumerate(words):
+        self.check(codes, row, end, piece)
+        cut = (4 * np.searchsorted(row, np.arange(n + 1))).tolist()
+        blob = piece.astype("<i4").tobytes()
+        out = [blob[cut[k] : cut[k + 1]] for k in range(n)]
+        for k in np.unique(row[piece < 0]).tolist():  # words with a character that is no piece
             got: list[int] = []
-            text: list[str] = []
-            for j in range(cut[k], cut[k + 1]):
-                if piece_list[j] < 0:
-                    text.append(word[end_list[j] - 1])
-                    got += self.pieces.spell(text[-1])
-                else:
-                    text.append(self.pieces.text[piece_list[j]])
-                    got.append(piece_list[j])
-            if "".join(text) != word:
-                raise ValueError(f"two substrings share a hash: {word!r}")
-            out.append(np.array(got, "<i4").tobytes())
+            for p, e in zip(piece[cut[k] // 4 : cut[k + 1] // 4].tolist(), end[cut[k] // 4 : cut[k + 1] // 4].tolist(), strict=True):
+                got += [p] if p >= 0 else self.pieces.spell(words[k][e - 1])
+            out[k] = np.array(got, "<i4").tobytes()
         return out
 
+    def check(self, codes: np.ndarray, row: np.ndarray, end: np.ndarray, piece: np.ndarray) -> None:
+        """Every piece found must be the substring it was found for."""
+        size = self.sizes[np.maximum(piece, 0)]
+        for n in np.unique(size[piece >= 0]).tolist():
+            at = (piece >= 0) & (size == n)
+            place = end[at][:, None] - n + np.arange(n)
+            if (codes[row[at][:, None], place] != self.table[piece[at], :n]).any():
+                raise ValueError("two substrings share a hash")
+
     def encode(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word, as little-endian int32 bytes."""
         by_length: dict[int, list[str]] = {}

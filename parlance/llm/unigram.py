@@ -19,7 +19,7 @@ BLANK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 SPLIT = re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 #: Pre-tokens one worker keeps; the store starts anew when full.
-KEPT = 300_000
+KEPT = 250_000
 
 
 class Pieces:
