@@ -56,6 +56,12 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int
     """Packed presence vectors of the bounded sample: columns lang, bits."""
     key = F.xxhash64("doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
+    # A share of each language that holds the wanted rows many times over comes
+    # through, so that a language of any size is ordered at the same cost.
+    # At most ``most`` languages can be learned, so their sizes are few enough to send.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most)
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) * F.col("rows") < F.lit(4 * per_language) * (1 << 20)
+    labelled = labelled.join(F.broadcast(sizes), "lang").where(share).drop("rows")
     first = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))).where(F.col("n") <= per_language)
     chosen = first.orderBy("n", key, "doc_id").limit(most).select("doc_id").distinct()
     pack = F.pandas_udf(lambda s: s.map(lambda t: np.packbits(presence(t)).tobytes()), "binary")
