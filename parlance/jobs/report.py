@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -40,14 +41,16 @@ def validate(df: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Compute a table that many others read, once; it goes to disk where memory ends.
+    """Compute a table that many others read, once, and cut its plan off.
 
-    A plan over kept tables stays short, and each table is planned with the
-    sizes of those before it known.
+    It is checkpointed in the shared folder of ``spark.checkpoint.dir``; only
+    where that is unset (tests, one machine) a temporary folder is used.  Without
+    the cut, plans that read a table in several branches multiply.
     """
-    df = df.persist()
-    df.count()
-    return df
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
+    return df.checkpoint(eager=True)
 
 
 class Report:
@@ -55,12 +58,12 @@ class Report:
 
     def __init__(self, stored: DataFrame, words: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, roster: DataFrame | None = None):
         s = self.settings = settings
-        self.stored, self.reference_words, self.reference_pairs = stored, words, pairs
+        self.stored, self.reference_words, self.reference_pairs = stored, keep(words), keep(pairs)
         self.tokens = keep(messages.tokenized(stored, s))
-        self.aliases = messages.member_aliases(stored, roster)
+        self.aliases = keep(messages.member_aliases(stored, roster))
         self.facts = keep(messages.term_facts(self.tokens))
-        self.window, self.history = keep(messages.inventory(self.facts, True)), messages.inventory(self.facts, False)
-        self.totals, self.all_totals = messages.totals(self.tokens), messages.totals(self.tokens, False)
+        self.window, self.history = keep(messages.inventory(self.facts, True)), keep(messages.inventory(self.facts, False))
+        self.totals, self.all_totals = keep(messages.totals(self.tokens)), messages.totals(self.tokens, False)
 
     def people(self) -> DataFrame:
         return messages.people_activity(self.tokens)
@@ -87,7 +90,7 @@ class Report:
     def graph(self) -> dict[str, DataFrame]:
         """Units, nodes and edges; ``bigrams`` and ``units`` are read many times."""
         s, observed = self.settings, self.observed()
-        bigrams = self.bigrams()
+        bigrams = keep(self.bigrams())
         rows = keep(units.unit_rows(self.tokens, bigrams))
         facts = keep(units.unit_facts(rows))
         canonical = keep(units.canonical_facts(facts, observed))

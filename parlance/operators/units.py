@@ -90,15 +90,15 @@ def pair_documents(units: DataFrame, keep: DataFrame, distance: int = DEFAULT.pa
     one = units.select("id", "server_id", "day", F.inline("units")).where("content").join(keep.select("server_id", "term").distinct(), ["server_id", "term"], "left_semi")
     lists = one.groupBy("id", "server_id", "day").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term"))).alias("u"))
     u = F.col("u")
-    near = F.transform(
-        u,
-        lambda x, i: F.transform(
-            F.filter(F.slice(u, i + 2, distance), lambda y: (y["start"] - x["end"] <= distance) & (y["term"] != x["term"])),
-            lambda y: F.struct(F.least(x["term"], y["term"]).alias("l"), F.greatest(x["term"], y["term"]).alias("r")),
-        ),
-    )
-    # Counts of two: a second use of u keeps it a column of its own.
-    pairs = lists.where(F.size(u) > 1).select("server_id", "day", F.inline(F.array_distinct(F.flatten(near))))
+
+    def mate(x: Column, y: Column) -> Column:
+        fits = (y["start"] - x["end"] <= distance) & (y["term"] != x["term"])
+        return F.when(fits, F.struct(F.least(x["term"], y["term"]).alias("l"), F.greatest(x["term"], y["term"]).alias("r")))
+
+    # Units do not overlap, so at most ``distance`` of them start that near.
+    near = F.transform(u, lambda x, i: F.array(*[mate(x, F.get(u, i + k)) for k in range(1, distance + 1)]))
+    pairs = lists.where(F.size(u) > 1).select("server_id", "day", F.explode(F.array_distinct(F.flatten(near))).alias("p")).where("p is not null")
+    pairs = pairs.select("server_id", "day", "p.l", "p.r")
     return pairs.groupBy("server_id", "day", "l", "r").agg(F.count("*").alias("documents"))
 
 
