@@ -175,7 +175,7 @@ pair AS MATERIALIZED (
   WHERE a <> b AND (server_id, a) IN (SELECT (server_id, term) FROM node) AND (server_id, b) IN (SELECT (server_id, term) FROM node) GROUP BY ALL
 ),
 comp AS MATERIALIZED (
-  SELECT DISTINCT b.server_id, phrase, association, least(phrase, term) AS l, greatest(phrase, term) AS r FROM (
+  SELECT DISTINCT b.server_id, phrase, association, least(phrase, b.term) AS l, greatest(phrase, b.term) AS r FROM (
     SELECT b.server_id, b.term AS phrase, association, coalesce(c.canonical, b.w) AS term FROM (SELECT server_id, term, association, unnest(string_split(term, ' ')) AS w FROM big) b
     LEFT JOIN (SELECT server_id, term, arg_min(c, k) AS canonical FROM (
       SELECT server_id, w AS term, unnest({fold("w")}) AS c, unnest([1, 2, 3]) AS k FROM (SELECT DISTINCT server_id, unnest(string_split(term, ' ')) AS w FROM big))
@@ -232,7 +232,7 @@ pe AS MATERIALIZED (
   SELECT *, count(*) OVER (PARTITION BY server_id, channel) AS members FROM (SELECT *, sum(messages) OVER (PARTITION BY server_id, speaker) AS every FROM part) WHERE every >= 3
 ),
 aff AS MATERIALIZED (
-  SELECT l.server_id, l.speaker AS l, r.speaker AS r, sum(sqrt(l.messages * r.messages) / {log2("2 + members")}) AS weight
+  SELECT l.server_id, l.speaker AS l, r.speaker AS r, sum(sqrt(l.messages * r.messages) / {log2("2 + l.members")}) AS weight
   FROM pe l JOIN pe r ON l.server_id = r.server_id AND l.channel = r.channel AND l.speaker < r.speaker GROUP BY 1, 2, 3
 ),
 ppl AS MATERIALIZED (
