@@ -40,7 +40,7 @@ def test_atomic_units(spark):
 
 def test_trigram_needs_two_subjects(spark):
     settings = dataclasses.replace(TWOS, scaffolding=("merely", "accumulated"))
-    r = report(spark, ["merely the accumulated genetic trait selection"] * 4, settings)
+    r = report(spark, ["merely the accumulated genetic trait selection"] * 4, settings, words=(("genetic", 1000), ("the", 1000)))
     assert {x.term for x in r.phrases().collect() if x.size == 3} == {"genetic trait selection"}
 
 
