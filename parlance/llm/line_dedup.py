@@ -42,13 +42,22 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://([^/?#:]+)", 1)
 
 
-def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio_percent: int = RATIO_PERCENT, least: int = LEAST, salts: int = SALTS) -> DataFrame:
-    """Add ``site``, ``kept_lines`` (array), ``n_lines`` and ``n_dropped`` (longs)."""
+def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio_percent: int = RATIO_PERCENT, least: int = LEAST, salts: int = SALTS, overall: bool = False) -> DataFrame:
+    """Add ``site``, ``kept_lines`` (array), ``n_lines`` and ``n_dropped`` (longs).
+
+    With ``overall``, all pages are judged as one more site as well: a line that
+    is boilerplate among them is dropped on every site.
+    """
     base = pages.withColumns({"site": F.coalesce(site, F.lit("")), "kept_lines": F.coalesce(lines, F.array().cast("array<string>"))})
     totals = base.groupBy("site").agg(F.count("*").alias("pages"))
     seen = base.select("site", F.explode(F.array_distinct("kept_lines")).alias("line")).where(F.trim("line") != "")
-    counted = seen.groupBy("site", digest(F.col("line")).alias("line")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    common = counted.join(totals, "site").where(F.col("n") * 100 > F.col("pages") * ratio_percent)
+    counted = seen.groupBy("site", digest(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
+    often = (F.col("n") >= least) & (F.col("n") * 100 > F.col("pages") * ratio_percent)
+    common = counted.where(F.col("n") >= least).join(totals, "site").where(often).select("site", "line")
+    if overall:
+        pages_in_all = totals.agg(F.sum("pages").alias("pages"))
+        everywhere = counted.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= least).crossJoin(F.broadcast(pages_in_all)).where(often)
+        common = common.unionByName(totals.select("site").crossJoin(everywhere.select("line"))).distinct()
     listed = common.groupBy("site").agg(F.collect_list("line").alias("_common"))
     dealt = listed.select("site", "_common", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     salted = base.withColumn("_salt", F.pmod(F.xxhash64(F.concat_ws("\n", "kept_lines"), F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
