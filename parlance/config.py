@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from parlance.functions.words import SCAFFOLDING
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -37,7 +35,9 @@ class Settings:
     topics: int = 12
     excluded_words: tuple[str, ...] = ("lmao", "lol")
     excluded_phrases: tuple[str, ...] = ()
-    scaffolding: tuple[str, ...] = SCAFFOLDING
+    #: Words that carry talk without saying what it is about: read from a file of
+    #: words (``sources.corpus.word_list``); none by default.
+    scaffolding: tuple[str, ...] = ()
 
 
 DEFAULT = Settings()

@@ -13,7 +13,7 @@ def listed(words: tuple[str, ...]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-STOP, PLATFORM, TALK, EXCLUDED = listed(STOPWORDS), listed(PLATFORM_WORDS), listed(S.scaffolding), listed(S.excluded_words)
+STOP, PLATFORM, TALK, EXCLUDED = listed(STOPWORDS), listed(PLATFORM_WORDS), listed(S.scaffolding or ('',)), listed(S.excluded_words)
 REPORTABLE = f"(length(term) >= 3 AND term NOT IN {STOP} AND term NOT IN {PLATFORM} AND term NOT IN {EXCLUDED} AND NOT contains(term, '''') AND NOT starts_with(term, 'http'))"
 
 
@@ -227,7 +227,7 @@ cand AS MATERIALIZED (
       FROM (SELECT f.*, (last_week - week) // 7 AS age FROM fact f JOIN span USING (server_id)) GROUP BY 1, 2, 3
     ) m ON m.server_id = c.server_id AND m.size = c.size AND m.term = c.term)
 ),
-part AS MATERIALIZED (SELECT server_id, speaker, channel, count(*) AS messages FROM tok WHERE is_current GROUP BY ALL),
+part AS MATERIALIZED (SELECT server_id, speaker, channel, count(*) AS messages, min((ts, id)) AS first FROM tok WHERE is_current GROUP BY ALL),
 pe AS MATERIALIZED (
   SELECT *, count(*) OVER (PARTITION BY server_id, channel) AS members FROM (SELECT *, sum(messages) OVER (PARTITION BY server_id, speaker) AS every FROM part) WHERE every >= 3
 ),

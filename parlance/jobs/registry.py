@@ -147,9 +147,9 @@ def read_targets(spark: SparkSession, d: str) -> DataFrame:
     return corpus.read_targets(channels, thread(k == 2), thread(k >= 2))
 
 
-@query("SELECT event_id, (epoch_ms(ts) - 1420070400000) * 4194304 AS snowflake, epoch_ms(ts) AS back_ms FROM events", chain=False)
+@query("SELECT event_id, (ms - 1420070400000) * 4194304 AS snowflake, ms AS back_ms FROM (SELECT event_id, trunc(epoch_us(ts) / 1e6 * 1000)::BIGINT AS ms FROM events)", chain=False)
 def snowflakes(spark: SparkSession, d: str) -> DataFrame:
-    seconds = F.unix_millis(F.col("ts").cast("timestamp")) / 1000
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = tables.table(spark, d, "events").select("event_id", text.snowflake(seconds).alias("snowflake"))
     return rows.withColumn("back_ms", F.round(text.snowflake_seconds(F.col("snowflake")) * 1000).cast("long"))
 
@@ -195,8 +195,8 @@ def token_streams(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, size::INT AS size, count(*) AS n, min(pos)::INT AS first_pos, min(term) AS first_term, max(term) AS last_term FROM t_gram WHERE size > 1 GROUP BY 1, 2")
 def candidate_ngrams(spark: SparkSession, d: str) -> DataFrame:
     rows = messages.tokenized(tables.messages(spark, d))
-    sized = lambda n: F.transform(text.ngrams(F.col("tokens"), F.col("breaks"), n), lambda g: F.struct(F.lit(n).alias("size"), g["pos"].alias("pos"), g["term"].alias("term")))
-    one = rows.select("id", F.inline(F.concat(sized(2), sized(3))))
+    places = rows.select("id", text.places(F.col("tokens"), F.col("breaks")))
+    one = places.select("id", "pos", F.inline(F.array(*[F.struct(F.lit(n).alias("size"), text.gram(n).alias("term")) for n in (2, 3)]))).where("term is not null")
     return one.groupBy("id", "size").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
@@ -218,8 +218,9 @@ def weekly_tokens(spark: SparkSession, d: str) -> DataFrame:
     return messages.tokenized(tables.messages(spark, d)).groupBy("server_id", "week").agg(F.sum(F.size("tokens")).alias("tokens"))
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    return messages.term_facts(messages.tokenized(tables.messages(spark, d)))
+def facts(spark: SparkSession, d: str, *sizes: int, current: bool = True) -> DataFrame:
+    tokens = messages.tokenized(tables.messages(spark, d))
+    return messages.term_facts(tokens.where("is_current") if current else tokens, sizes or (1, 2, 3))
 
 
 INVENTORY = "server_id, size::INT AS size, term, uses, voices, active_days, first_ts"
@@ -227,12 +228,12 @@ INVENTORY = "server_id, size::INT AS size, term, uses, voices, active_days, firs
 
 @query(f"SELECT {INVENTORY} FROM hist WHERE size = 1")
 def history_words(spark: SparkSession, d: str) -> DataFrame:
-    return messages.inventory(facts(spark, d).where("size = 1"), False)
+    return messages.inventory(facts(spark, d, 1, current=False), False)
 
 
 @query(f"SELECT {INVENTORY} FROM hist WHERE size > 1 AND uses >= {DEFAULT.min_phrase_uses}")
 def history_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return messages.inventory(facts(spark, d).where("size > 1"), False).where(F.col("uses") >= DEFAULT.min_phrase_uses)
+    return messages.inventory(facts(spark, d, 2, 3, current=False), False).where(F.col("uses") >= DEFAULT.min_phrase_uses)
 
 
 @query(f"SELECT {INVENTORY} FROM inv")
@@ -382,7 +383,7 @@ def topic_units(spark: SparkSession, d: str) -> DataFrame:
 def shares(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
     g = r.graph()
-    series = topics.topic_series(r.topics(g)[1], g["canonical"], messages.daily_activity(r.tokens))
+    series = topics.topic_series(r.topics()[1], g["canonical"], messages.daily_activity(r.tokens))
     return topics.daily_share(topics.causal(series, ["server_id", "topic"]), "topic", ["server_id"])
 
 
@@ -401,7 +402,7 @@ def dominant_units(spark: SparkSession, d: str) -> DataFrame:
     """The visible unit with the largest share of each day, or any unit if none is visible."""
     r = report(spark, d)
     g = r.graph()
-    members = r.topics(g)[1].where(F.col("rank") <= DEFAULT.topic_units)
+    members = topics.shown_units(r.topics()[1])
     one = members.withColumn("topic", F.concat_ws("|", "kind", "term"))
     series = topics.daily_share(topics.topic_series(one, g["canonical"], messages.daily_activity(r.tokens)).withColumnRenamed("value", "smooth"), "topic", ["server_id"])
     seen = series.join(one.select("server_id", "topic", "label_visible").distinct(), ["server_id", "topic"]).where("share > 0")
@@ -410,9 +411,13 @@ def dominant_units(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def visible_edges(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).visible_edges()
+
+
+@query()
+def visible_edge_series(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
-    g = r.graph()
-    return topics.visible_edges(g["edges"], r.topics(g)[1])
+    return topics.edge_series(r.visible_edges(), r.graph()["days"], messages.daily_activity(r.tokens))
 
 
 @query("""SELECT server_id, channel, day, round(value, 3) AS value, round(smooth, 6) AS smooth, round(CASE WHEN whole > 0 THEN smooth / whole ELSE 0 END, 6) AS share FROM (
@@ -459,7 +464,7 @@ def movement_diverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT server_id, speaker, channel, messages FROM part")
 def participation(spark: SparkSession, d: str) -> DataFrame:
-    return people.participation(messages.tokenized(tables.messages(spark, d)))
+    return people.participation(messages.tokenized(tables.messages(spark, d))).drop("first")
 
 
 @query("SELECT server_id, l, r, round(weight, 6) AS weight FROM aff")
@@ -474,37 +479,33 @@ def pruned_affinity(spark: SparkSession, d: str) -> DataFrame:
     return topics.strongest(found, DEFAULT.person_links).withColumn("weight", F.round("weight", 6))
 
 
-def circle_rows(r: Report) -> DataFrame:
-    return people.circles(people.affinity(people.participation(r.tokens)), r.people())
-
-
 @query()
 def conversation_circles(spark: SparkSession, d: str) -> DataFrame:
-    return circle_rows(report(spark, d))
+    return report(spark, d).circles()
 
 
 @query()
 def circle_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Label and channels of each circle."""
     r = report(spark, d)
-    g = r.graph()
-    groups = circle_rows(r)
-    members = r.topics(g)[1]
-    counts = g["facts"].join(groups.select("server_id", "circle", "speaker"), ["server_id", "speaker"]).groupBy("server_id", "circle", "term", "kind").agg(F.sum("uses").alias("uses"))
-    rooms = people.circle_channels(groups, people.participation(r.tokens))
-    labels = people.circle_labels(rooms, topics.topic_mix(counts, members, "circle", r.observed()))
-    return rooms.join(labels, ["server_id", "circle"])
+    rooms = r.circle_channels()
+    return rooms.join(people.circle_labels(rooms, r.mix("circle", r.circles())), ["server_id", "circle"])
 
 
 @query()
-def circle_language(spark: SparkSession, d: str) -> DataFrame:
+def circle_topics(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
-    groups = circle_rows(r).select("server_id", "circle", "speaker")
-    words = lexicon.roll_up_people(r.facts.where("size = 1")).join(groups, ["server_id", "speaker"])
-    counts = words.groupBy("server_id", "circle", "term").agg(F.sum("uses").alias("uses"), F.count("*").alias("voices"))
-    counts = counts.join(groups.groupBy("server_id", "circle").agg(F.count("*").alias("members")), ["server_id", "circle"])
-    sizes = groups.join(r.people().select("server_id", "speaker", "tokens"), ["server_id", "speaker"]).groupBy("server_id", "circle").agg(F.sum("tokens").alias("size"))
-    return people.distinctive(counts, "circle", sizes, r.observed(), r.lexicon(), r.totals, voices=True)
+    return r.mix("circle", r.circles()).where("place <= 5")
+
+
+@query()
+def circle_language(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).circle_language()
+
+
+@query()
+def channel_topics(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).mix("channel").where("place <= 4")
 
 
 @query("""SELECT server_id, channel, row_number() OVER (PARTITION BY server_id, channel ORDER BY score DESC, uses DESC, term)::INT AS place, term, uses, round(lift, 1) AS lift FROM (
@@ -514,36 +515,38 @@ def circle_language(spark: SparkSession, d: str) -> DataFrame:
     JOIN lex l ON l.server_id = c.server_id AND l.term = c.term JOIN inv v ON v.server_id = c.server_id AND v.term = c.term AND v.size = 1
     JOIN (SELECT server_id, channel, sum(n_tokens) AS size FROM tok WHERE is_current GROUP BY 1, 2) s ON s.server_id = c.server_id AND s.channel = c.channel JOIN tot t ON t.server_id = c.server_id WHERE c.uses >= 3))
 QUALIFY place <= 8""")
-def channel_language(spark: SparkSession, d: str) -> DataFrame:
+def lexicon_channel_language(spark: SparkSession, d: str) -> DataFrame:
+    """Distinctive words of channels among the lexicon alone."""
     r = report(spark, d)
     counts = messages.roll_up(r.facts.where("size = 1"), "channel", "term")
-    sizes = r.tokens.where("is_current").groupBy("server_id", "channel").agg(F.sum(F.size("tokens")).alias("size"))
+    sizes = r.current.groupBy("server_id", "channel").agg(F.sum(F.size("tokens")).alias("size"))
     return people.distinctive(counts, "channel", sizes, r.observed(), r.lexicon(), r.totals, voices=False)
 
 
+@query()
+def channel_language(spark: SparkSession, d: str) -> DataFrame:
+    return report(spark, d).channel_language()
+
+
 @query("""SELECT server_id, place::INT AS place, channel, messages, voices, string_agg(name, ', ' ORDER BY k) AS people FROM (
   SELECT r.*, p.name, row_number() OVER (PARTITION BY r.server_id, r.channel ORDER BY a.messages DESC, p.name, a.speaker) AS k FROM (
-    SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY messages DESC, channel) AS place FROM (SELECT server_id, channel, sum(messages)::BIGINT AS messages, count(*) AS voices FROM part GROUP BY 1, 2) QUALIFY place <= 10
+    SELECT * EXCLUDE (first), row_number() OVER (PARTITION BY server_id ORDER BY messages DESC, first, channel) AS place FROM (SELECT server_id, channel, sum(messages)::BIGINT AS messages, count(*) AS voices, min(first) AS first FROM part GROUP BY 1, 2) QUALIFY place <= 10
   ) r JOIN part a USING (server_id, channel) JOIN ppl p ON p.server_id = a.server_id AND p.speaker = a.speaker QUALIFY k <= 6) GROUP BY 1, 2, 3, 4, 5""".replace("SELECT r.*", "SELECT r.server_id, r.channel, r.messages, r.voices, r.place"))
 def channel_profiles(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
-    return people.channel_profiles(people.participation(r.tokens), r.people())
+    return people.channel_profiles(r.here, r.people()).withColumn("people", F.array_join(F.col("people.name"), ", "))
 
 
 @query()
 def person_topics(spark: SparkSession, d: str) -> DataFrame:
     """Topic mix of each person under a pseudonym."""
-    r = report(spark, d)
-    g = r.graph()
-    mix = topics.topic_mix(g["facts"].groupBy("server_id", "speaker", "term", "kind").agg(F.sum("uses").alias("uses")), r.topics(g)[1], "speaker", r.observed())
-    return mix.where("place <= 6").withColumn("key", people.person_key(F.col("speaker"))).drop("speaker")
+    return report(spark, d).mix("speaker").where("place <= 6").withColumn("key", people.person_key(F.col("speaker"))).drop("speaker")
 
 
 @query("""SELECT f.server_id, f.speaker, f.size::INT AS size, f.term, sum(f.uses)::BIGINT AS uses FROM fact f JOIN (SELECT server_id, 1 AS size, term FROM lex UNION ALL SELECT server_id, size, term FROM phr) s
 ON s.server_id = f.server_id AND s.size = f.size AND s.term = f.term WHERE is_current GROUP BY ALL""")
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    r = report(spark, d)
-    return lexicon.contributions(r.facts, r.lexicon(), r.phrases())
+    return report(spark, d).contributions()
 
 
 def silent(spark: SparkSession) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from functools import cache
+import time
+import uuid
+from functools import cache, cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +45,14 @@ def validate(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Compute a table that many others read, once, and cut its plan off.
 
-    It is checkpointed in the shared folder of ``spark.checkpoint.dir``; only
-    where that is unset (tests, one machine) a temporary folder is used.  Without
-    the cut, plans that read a table in several branches multiply.
+    It is checkpointed in the shared folder of ``spark.checkpoint.dir``.  Only a
+    local session may go without that setting: it gets a temporary folder.
+    Without the cut, plans that read a table in several branches multiply.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
     return df.checkpoint(eager=True)
 
@@ -57,20 +61,69 @@ class Report:
     """The tables of a report over canonical messages, each built on demand."""
 
     def __init__(self, stored: DataFrame, words: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, roster: DataFrame | None = None):
-        s = self.settings = settings
-        self.stored, self.reference_words, self.reference_pairs = stored, keep(words), keep(pairs)
-        self.tokens = keep(messages.tokenized(stored, s))
-        self.aliases = keep(messages.member_aliases(stored, roster))
-        self.facts = keep(messages.term_facts(self.tokens))
-        self.window, self.history = keep(messages.inventory(self.facts, True)), keep(messages.inventory(self.facts, False))
-        self.totals, self.all_totals = keep(messages.totals(self.tokens)), messages.totals(self.tokens, False)
+        self.settings, self.stored, self.roster = settings, stored, roster
+        self._words, self._pairs = words, pairs
+
+    @cached_property
+    def reference_words(self) -> DataFrame:
+        return keep(self._words)
+
+    @cached_property
+    def reference_pairs(self) -> DataFrame:
+        return keep(self._pairs)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return keep(messages.tokenized(self.stored, self.settings))
+
+    @cached_property
+    def current(self) -> DataFrame:
+        return self.tokens.where("is_current")
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return keep(messages.member_aliases(self.stored, self.roster))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Base facts of the current window."""
+        return keep(messages.term_facts(self.current))
+
+    @cached_property
+    def window_words(self) -> DataFrame:
+        return keep(messages.inventory(messages.term_facts(self.current, (1,)), True))
+
+    @cached_property
+    def window_phrases(self) -> DataFrame:
+        """Phrases of the window that have the uses a published phrase needs."""
+        found = messages.inventory(messages.term_facts(self.current, (2, 3)), True)
+        return found.where(F.col("uses") >= self.settings.min_phrase_uses)
+
+    @cached_property
+    def weekly(self) -> DataFrame:
+        """Uses of every term by speaker and week, over the whole history."""
+        return keep(messages.weekly_facts(self.tokens))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        least = F.least(F.lit(self.settings.min_phrase_uses), F.lit(self.settings.min_word_uses))
+        found = messages.history_inventory(self.weekly)
+        return keep(found.where((F.col("size") == 1) | (F.col("uses") >= least)))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return keep(messages.totals(self.tokens))
+
+    @cached_property
+    def all_totals(self) -> DataFrame:
+        return messages.totals(self.tokens, False)
 
     def people(self) -> DataFrame:
         return messages.people_activity(self.tokens)
 
     @cache
     def vocabulary(self) -> DataFrame:
-        return keep(lexicon.vocabulary(self.window, self.totals, self.reference_words, self.aliases, self.settings))
+        return keep(lexicon.vocabulary(self.window_words, self.totals, self.reference_words, self.aliases, self.settings))
 
     @cache
     def lexicon(self) -> DataFrame:
@@ -78,15 +131,16 @@ class Report:
 
     @cache
     def phrases(self) -> DataFrame:
-        gated = lexicon.gated_phrases(self.window, self.vocabulary(), self.totals, self.settings)
+        gated = lexicon.gated_phrases(self.window_phrases, self.vocabulary(), self.totals, self.settings)
         return keep(lexicon.phrases(gated, self.reference_pairs, self.settings))
 
     def bigrams(self) -> DataFrame:
         return lexicon.qualified_bigrams(self.phrases(), self.settings)
 
     def observed(self) -> DataFrame:
-        return self.window.where("size = 1")
+        return self.window_words
 
+    @cache
     def graph(self) -> dict[str, DataFrame]:
         """Units, nodes and edges; ``bigrams`` and ``units`` are read many times."""
         s, observed = self.settings, self.observed()
@@ -101,12 +155,59 @@ class Report:
         pairing = surface.select("server_id", "term", canon.alias("canonical")).join(nodes.select("server_id", F.col("term").alias("canonical")), ["server_id", "canonical"], "left_semi")
         pairs = keep(units.canonical_pairs(units.pair_documents(rows, pairing, s.pair_distance), observed, bigrams))
         days = topics.with_composition(pairs, facts, bigrams, nodes, observed)
+        days = keep(days)
         edges = keep(topics.edges(days, nodes, self.totals, s))
-        return {"bigrams": bigrams, "rows": rows, "facts": facts, "canonical": canonical, "inventory": inventory, "nodes": nodes, "pairs": pairs, "edges": edges, "pruned": topics.strongest(edges, s.node_links)}
+        return {"days": days, "bigrams": bigrams, "rows": rows, "facts": facts, "canonical": canonical, "inventory": inventory, "nodes": nodes, "pairs": pairs, "edges": edges, "pruned": topics.strongest(edges, s.node_links)}
+
+    @cache
+    def topics(self) -> tuple[DataFrame, DataFrame]:
+        g = self.graph()
+        found, members = topics.families(g["nodes"], g["pruned"], g["canonical"], self.observed(), self.settings)
+        return keep(found), keep(members)
 
-    def topics(self, graph: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-        g = graph or self.graph()
-        return topics.families(g["nodes"], g["pruned"], g["canonical"], self.observed(), self.settings)
+    @cached_property
+    def here(self) -> DataFrame:
+        return keep(people.participation(self.tokens))
+
+    @cache
+    def circles(self) -> DataFrame:
+        return keep(people.circles(people.affinity(self.here), self.people(), self.settings))
+
+    def allowed(self) -> DataFrame:
+        return topics.allowed_words(self.lexicon(), self.topics()[1], self.settings)
+
+    def mix(self, key: str, groups: DataFrame | None = None) -> DataFrame:
+        """Topic mix by speaker, channel or a grouping of speakers."""
+        counts = people.unit_counts(self.graph()["facts"], key, groups)
+        return topics.topic_mix(counts, self.topics()[1], key, self.observed(), self.settings)
+
+    def contributions(self) -> DataFrame:
+        return lexicon.contributions(self.facts, self.lexicon(), self.phrases())
+
+    def people_table(self) -> DataFrame:
+        return people.people_table(self.people(), self.here, self.mix("speaker"), self.contributions())
+
+    def channel_language(self) -> DataFrame:
+        counts = messages.roll_up(self.facts.where("size = 1"), "channel", "term")
+        sizes = self.current.groupBy("server_id", "channel").agg(F.sum(F.size("tokens")).alias("size"))
+        return people.distinctive(counts, "channel", sizes, self.observed(), self.allowed(), self.totals, voices=False)
+
+    def circle_language(self) -> DataFrame:
+        counts, sizes = people.circle_words(self.facts, self.people(), self.circles())
+        return people.distinctive(counts, "circle", sizes, self.observed(), self.allowed(), self.totals, voices=True)
+
+    def circle_channels(self) -> DataFrame:
+        return people.circle_channels(self.circles(), self.here)
+
+    def circle_table(self) -> DataFrame:
+        rooms, mix = self.circle_channels(), self.mix("circle", self.circles())
+        return people.circle_table(self.circles(), rooms, people.circle_labels(rooms, mix), mix, self.circle_language(), self.totals)
+
+    def channel_table(self) -> DataFrame:
+        return people.channel_profiles(self.here, self.people(), self.mix("channel"), self.channel_language())
+
+    def visible_edges(self) -> DataFrame:
+        return topics.visible_edges(self.graph()["edges"], self.topics()[1], self.settings)
 
     def moves(self) -> DataFrame:
         """Movement candidates over the whole history."""
@@ -115,27 +216,46 @@ class Report:
         show = lexicon.text.reportable(F.col("term"), self.settings.excluded_words) & F.col("_alias").isNull()
         words = words.select("server_id", "term", "uses", show.alias("reportable"), lexicon.text.among(F.col("term"), self.settings.scaffolding).alias("scaffolding"), F.lit(False).alias("about"))
         gated = lexicon.gated_phrases(self.history, words, self.all_totals, self.settings)
-        return movement.candidates(self.facts, self.history, movement.periods(self.tokens, self.settings), self.aliases, gated, self.settings)
+        return movement.candidates(self.weekly, self.history, movement.periods(self.tokens, self.settings), self.aliases, gated, self.settings)
 
     def movement(self) -> DataFrame:
         return movement.diverse(movement.directed(self.moves()), self.history.where("size = 1"))
 
     def tables(self) -> dict[str, DataFrame]:
         g = self.graph()
-        found, members = self.topics(g)
-        here = people.participation(self.tokens)
-        activity = messages.daily_activity(self.tokens, self.settings)
-        series = topics.topic_series(members, g["canonical"], activity)
-        return {
+        found, members = self.topics()
+        activity = keep(messages.daily_activity(self.tokens, self.settings))
+        shown = keep(self.visible_edges())
+        raw = messages.eligible(self.stored, self.settings)
+        out = {
             "stats": self.totals, "activity": activity, "heat_map": messages.heat_map(self.tokens), "lexicon": self.lexicon(),
-            "phrases": self.phrases(), "topics": found, "units": members, "series": series,
-            "edges": topics.visible_edges(g["edges"], members, self.settings), "movement": self.movement(),
-            "people": people.pseudonymous(self.people()), "channels": people.channel_profiles(here, self.people()),
-            "servers": messages.server_index(self.stored),
+            "phrases": self.phrases(), "topics": found, "units": members, "series": topics.topic_series(members, g["canonical"], activity),
+            "edges": shown, "edge_series": topics.edge_series(shown, g["days"], activity), "movement": self.movement(),
+            "sources": messages.link_domains(raw, 20), "source_series": messages.domain_series(raw, activity),
+            "people": people.pseudonymous(self.people_table()), "circles": self.circle_table(), "channels": self.channel_table(),
+            "servers": messages.server_index(self.stored), "coverage": messages.coverage(self.stored).where("server_id is not null"),
         }
+        if {"reactions", "attachments"} <= set(self.stored.columns):
+            current = messages.eligible(self.stored, self.settings, ("reactions", "attachments")).where("is_current")
+            out["symbols"] = messages.symbols(current, 20)
+        return out
 
-    def write(self, path: str) -> None:
-        """Validate every table, then write each by community in place of the last."""
+    def write(self, path: str) -> str:
+        """Validate every table, write all to a folder of their own, then publish that folder.
+
+        A failure on the way leaves the published report as it was.  Returns the
+        folder; ``read_report`` finds the one published last.
+        """
         checked = {name: validate(df) for name, df in self.tables().items()}
+        spark, version = self.stored.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         for name, df in checked.items():
-            df.write.mode("overwrite").partitionBy("server_id").parquet(f"{path}/{name}")
+            df.write.partitionBy("server_id").parquet(f"{path}/versions/{version}/{name}")
+        # One row in one file: it is there, or it is not.
+        spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{path}/published")
+        return f"{path}/versions/{version}"
+
+
+def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the report published last."""
+    version = spark.read.schema("version STRING").json(f"{path}/published").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/versions/{version}/{name}")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.config import DEFAULT, Settings
 from parlance.functions import text
+from parlance.functions.plans import small
 
 HUMAN_TYPES = ("0", "19", "Default", "Reply")
-COMMUNITY = ["server_id"]
+#: What a feed says about the collection of a community.
+COLLECTED = (
+    "collector_generated", "channels_skipped_no_access", "member_count", "targets",
+    "public_archived_threads", "private_archived_threads", "private_archived_scope",
+)
 
 
 def is_eligible() -> Column:
@@ -18,21 +23,21 @@ def is_eligible() -> Column:
     return ~F.coalesce("is_bot", F.lit(False)) & ordinary & F.try_to_timestamp("timestamp").isNotNull()
 
 
-def eligible(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Human messages with ``ts``, ``day``, ``week``, ``speaker`` and ``is_current``.
+def eligible(messages: DataFrame, settings: Settings = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
+    """Human messages with ``ts``, ``day``, ``week``, ``speaker`` and ``is_current``; columns in ``more`` stay.
 
     The current window reaches ``days - 1`` days back from the community's last
     message, to the instant.
     """
     named = messages.where(F.col("server_id").isNotNull() & is_eligible()).select(
-        "id", "server_id", "server", "user", "message",
+        "id", "server_id", "server", "user", "message", *more,
         F.coalesce(F.nullif("channel", F.lit("")), F.lit("?")).alias("channel"),
         F.coalesce(F.nullif("user_id", F.lit("")), F.concat(F.lit("display:"), F.coalesce(F.nullif("user", F.lit("")), F.lit("?")))).alias("speaker"),
         F.try_to_timestamp("timestamp").alias("ts"),
     )
     last = named.groupBy("server_id").agg(F.max("ts").alias("last_ts"))
     return (
-        named.join(last, "server_id")
+        named.join(small(last), "server_id")
         .withColumn("is_current", F.col("ts") >= F.timestamp_add("DAY", F.lit(1 - settings.days), F.col("last_ts")))
         .withColumns({"day": F.to_date("ts"), "week": F.to_date(F.date_trunc("week", "ts"))})
     )
@@ -53,23 +58,31 @@ def member_aliases(messages: DataFrame, roster: DataFrame | None = None) -> Data
     return names.select("server_id", F.explode(text.aliases(F.col("name"))).alias("alias")).distinct()
 
 
-def occurrences(tokens: DataFrame) -> DataFrame:
+def occurrences(tokens: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """One row per word, valid bigram and valid trigram."""
-    t, b = F.col("tokens"), F.col("breaks")
-    words = F.transform(t, lambda w: F.struct(F.lit(1).alias("size"), w.alias("term")))
-    sized = lambda n: F.transform(text.ngrams(t, b, n), lambda g: F.struct(F.lit(n).alias("size"), g["term"].alias("term")))
-    grams = [sized(2), sized(3)]
     keys = ["server_id", "speaker", "channel", "day", "week", "is_current", "ts"]
-    return tokens.select(*keys, F.inline(F.concat(words, *grams)))
+    rows = tokens.select(*keys, text.places(F.col("tokens"), F.col("breaks")))
+    terms = [F.struct(F.lit(n).alias("size"), text.gram(n).alias("term")) for n in sizes]
+    return rows.select(*keys, F.inline(F.array(*terms))).where("term is not null")
 
 
-def term_facts(tokens: DataFrame) -> DataFrame:
+def term_facts(tokens: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The base facts: uses by term, speaker, channel and day.
 
     This is the one large shuffle; all inventories roll it up.
     """
     keys = ["server_id", "size", "term", "speaker", "channel", "day", "week", "is_current"]
-    return occurrences(tokens).groupBy(*keys).agg(F.count("*").alias("uses"), F.min("ts").alias("first_ts"))
+    return occurrences(tokens, sizes).groupBy(*keys).agg(F.count("*").alias("uses"), F.min("ts").alias("first_ts"))
+
+
+def weekly_facts(tokens: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Uses by term, speaker and week over the whole history."""
+    return occurrences(tokens, sizes).groupBy("server_id", "size", "term", "speaker", "week").agg(F.count("*").alias("uses"), F.min("ts").alias("first_ts"))
+
+
+def history_inventory(weekly: DataFrame) -> DataFrame:
+    """Uses, voices and first moment of each term of the history."""
+    return weekly.groupBy("server_id", "size", "term").agg(F.sum("uses").alias("uses"), F.countDistinct("speaker").alias("voices"), F.min("first_ts").alias("first_ts"))
 
 
 def inventory(facts: DataFrame, current: bool) -> DataFrame:
@@ -126,22 +139,45 @@ def people_activity(tokens: DataFrame) -> DataFrame:
     return rows.join(whole, "server_id").withColumn("share", F.round(F.col("messages") / F.greatest("all_messages", F.lit(1)), 4)).drop("all_messages")
 
 
-def link_domains(messages: DataFrame) -> DataFrame:
-    """Uses, voices and days of each link domain; needs eligible messages."""
-    links = messages.where("is_current").select("server_id", "speaker", "day", F.explode(F.regexp_extract_all("message", F.lit(f"(?i)({text.LINK})"), 1)).alias("link"))
-    named = links.withColumn("domain", text.domain(F.col("link"))).where("domain is not null")
-    return named.groupBy("server_id", "domain").agg(F.count("*").alias("uses"), F.countDistinct("speaker").alias("voices"), F.countDistinct("day").alias("active_days"))
+def message_links(messages: DataFrame) -> DataFrame:
+    """One row a link of the current window with its domain; needs eligible messages."""
+    links = messages.where("is_current").select("server_id", "speaker", "day", "ts", F.posexplode(F.regexp_extract_all("message", F.lit(f"(?i)({text.LINK})"), 1)).alias("at", "link"))
+    return links.withColumn("domain", text.domain(F.col("link"))).where("domain is not null")
+
+
+def link_domains(messages: DataFrame, top: int | None = None) -> DataFrame:
+    """Uses, voices and days of each link domain; with ``top``, of the most used (the first seen of equals)."""
+    named = message_links(messages)
+    found = named.groupBy("server_id", "domain").agg(
+        F.count("*").alias("uses"), F.countDistinct("speaker").alias("voices"), F.countDistinct("day").alias("active_days"), F.min(F.struct("ts", "at")).alias("first")
+    )
+    if top is not None:
+        order = Window.partitionBy("server_id").orderBy(F.desc("uses"), "first", "domain")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return found.drop("first")
+
+
+def domain_series(messages: DataFrame, axis: DataFrame, top: int = 20) -> DataFrame:
+    """Uses of the ``top`` domains on each day of ``axis`` (server_id, day)."""
+    shown = link_domains(messages, top).select("server_id", "domain")
+    uses = message_links(messages).groupBy("server_id", "domain", "day").agg(F.count("*").alias("n"))
+    rows = shown.join(axis.select("server_id", "day"), "server_id").join(uses, ["server_id", "domain", "day"], "left")
+    return rows.select("server_id", "domain", "day", F.coalesce("n", F.lit(0)).cast("long").alias("uses"))
 
 
-def symbols(messages: DataFrame) -> DataFrame:
-    """Custom emoji, emoji characters, reactions and media, by total."""
+def symbols(messages: DataFrame, top: int | None = None) -> DataFrame:
+    """Custom emoji, emoji characters, reactions and media, by total; with ``top``, the most used only."""
     some = F.array().cast("array<string>")
     custom = F.regexp_extract_all("message", F.lit(text.CUSTOM_EMOJI), 1)
     characters = F.regexp_extract_all("message", F.lit(f"({text.EMOJI})"), 1)
     typed = messages.select("server_id", F.explode(F.concat(F.coalesce(custom, some), F.coalesce(characters, some))).alias("symbol"), F.lit(1).cast("long").alias("n"))
     reacted = messages.select("server_id", F.inline("reactions")).select("server_id", F.coalesce(F.nullif("emoji", F.lit("")), F.lit("?")).alias("symbol"), F.coalesce("count", F.lit(0)).alias("n"))
     media = messages.where(F.size("attachments") > 0).select("server_id", F.lit("media attachment").alias("symbol"), F.lit(1).cast("long").alias("n"))
-    return typed.unionByName(reacted).unionByName(media).groupBy("server_id", "symbol").agg(F.sum("n").alias("uses"))
+    found = typed.unionByName(reacted).unionByName(media).groupBy("server_id", "symbol").agg(F.sum("n").alias("uses"))
+    if top is None:
+        return found
+    order = Window.partitionBy("server_id").orderBy(F.desc("uses"), "symbol")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
 def side_bar(messages: DataFrame) -> DataFrame:
@@ -159,14 +195,37 @@ def search(messages: DataFrame, query: str, server: str | None = None, channel:
 
 
 def coverage(messages: DataFrame) -> DataFrame:
-    """Stored and eligible records, and those without a community."""
+    """Stored and eligible records by community; those without one are counted under null."""
     return messages.groupBy("server_id").agg(F.count("*").alias("stored"), F.count_if(is_eligible()).alias("eligible"))
 
 
+def skipped_records(messages: DataFrame) -> DataFrame:
+    """How many stored records no report can use, by reason; the first that holds counts."""
+    reason = (
+        F.when(F.col("server_id").isNull() | (F.col("server_id") == ""), "no community")
+        .when(F.coalesce("is_bot", F.lit(False)), "bot")
+        .when(F.try_to_timestamp("timestamp").isNull(), "no readable moment")
+        .when(~is_eligible(), "not a message or reply")
+    )
+    return messages.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("records"))
+
+
+def collection_coverage(messages: DataFrame, servers: DataFrame) -> DataFrame:
+    """``coverage`` with what the collector says of each community.
+
+    ``servers``: the feed's (generated, channels_skipped_no_access, id,
+    member_count, coverage); ids stand there without the platform's prefix.
+    """
+    said = servers.select(
+        F.col("id").alias("bare"), F.col("generated").alias("collector_generated"), "channels_skipped_no_access", "member_count",
+        "coverage.targets", "coverage.public_archived_threads", "coverage.private_archived_threads", "coverage.private_archived_scope",
+    ).groupBy("bare").agg(*[F.max_by(c, "collector_generated").alias(c) for c in COLLECTED])
+    own = coverage(messages).where("server_id is not null").withColumn("bare", F.regexp_replace("server_id", "^discord:", ""))
+    return own.join(said, "bare", "left").drop("bare")
+
+
 def server_index(messages: DataFrame, primary: str | None = None) -> DataFrame:
     """Name of the latest eligible record, counts and place, the primary community first."""
-    from pyspark.sql import Window
-
     rows = coverage(messages).where("server_id is not null and eligible > 0")
     last = messages.where(F.col("server_id").isNotNull() & is_eligible()).groupBy("server_id").agg(
         F.max_by("server", F.struct(F.try_to_timestamp("timestamp"), "id")).alias("name")

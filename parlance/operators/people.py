@@ -20,7 +20,8 @@ def person_key(speaker: Column) -> Column:
 
 
 def participation(tokens: DataFrame) -> DataFrame:
-    return tokens.where("is_current").groupBy("server_id", "speaker", "channel").agg(F.count("*").alias("messages"))
+    """Messages of each speaker in each channel, and the first of them (moment, id)."""
+    return tokens.where("is_current").groupBy("server_id", "speaker", "channel").agg(F.count("*").alias("messages"), F.min(F.struct("ts", "id")).alias("first"))
 
 
 def affinity(participation: DataFrame, least: int = 3, salts: int = 16) -> DataFrame:
@@ -56,12 +57,59 @@ def circle_channels(circles: DataFrame, participation: DataFrame, top: int = 5)
     return ranked(rows, F.desc("score"), F.col("channel"), top=top, keys=("server_id", "circle")).select("server_id", "circle", "place", "channel", "messages")
 
 
-def circle_labels(channels: DataFrame, mix: DataFrame) -> DataFrame:
-    """#first channel · most characteristic topic (mix holds server_id, circle, topic, mentions, lift)."""
+def circle_labels(channels: DataFrame, mix: DataFrame, top: int = 5) -> DataFrame:
+    """#first channel · first part of the most characteristic topic's label.
+
+    ``mix``: (server_id, circle, label, mentions, lift, place); the ``top`` topics compete.
+    """
     score = F.round(ln1(F.col("mentions")) * (1 + F.greatest(F.lit(0.0), log2(F.greatest("lift", F.lit(1e-9))))), 9)
-    topic = mix.groupBy("server_id", "circle").agg(F.max_by("topic", F.struct(score, "topic")).alias("topic"))
+    topic = mix.where(F.col("place") <= top).groupBy("server_id", "circle").agg(F.max_by("label", F.struct(score, "label")).alias("topic"))
     first = channels.where("place = 1").select("server_id", "circle", "channel")
-    return first.join(topic, ["server_id", "circle"], "left").select("server_id", "circle", F.concat(F.lit("#"), "channel", F.lit(" · "), F.coalesce("topic", F.lit("conversation"))).alias("label"))
+    name = F.coalesce(F.substring_index("topic", " · ", 1), F.lit("conversation"))
+    return first.join(topic, ["server_id", "circle"], "left").select("server_id", "circle", F.concat(F.lit("#"), "channel", F.lit(" · "), name).alias("label"))
+
+
+def circle_words(facts: DataFrame, people: DataFrame, circles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, sizes) of each circle, as ``distinctive`` takes them."""
+    groups = circles.select("server_id", "circle", "speaker")
+    words = facts.where("is_current and size = 1").groupBy("server_id", "speaker", "term").agg(F.sum("uses").alias("uses")).join(groups, ["server_id", "speaker"])
+    counts = words.groupBy("server_id", "circle", "term").agg(F.sum("uses").alias("uses"), F.count("*").alias("voices"))
+    counts = counts.join(groups.groupBy("server_id", "circle").agg(F.count("*").alias("members")), ["server_id", "circle"])
+    sizes = groups.join(people.select("server_id", "speaker", "tokens"), ["server_id", "speaker"]).groupBy("server_id", "circle").agg(F.sum("tokens").alias("size"))
+    return counts, sizes
+
+
+def unit_counts(unit_facts: DataFrame, key: str, groups: DataFrame | None = None) -> DataFrame:
+    """(server_id, key, term, kind, uses) of surface units by speaker, channel or group of speakers."""
+    rows = unit_facts if groups is None else unit_facts.join(groups.select("server_id", key, "speaker"), ["server_id", "speaker"])
+    return rows.groupBy("server_id", key, "term", "kind").agg(F.sum("uses").alias("uses"))
+
+
+def nested(rows: DataFrame, key: str, name: str, *fields: str) -> DataFrame:
+    """Rows of each (server_id, key) as one array of structs, in the order of ``place``.
+
+    For short lists only: ``place`` is limited before.
+    """
+    item = F.struct(*fields)
+    listed = rows.groupBy("server_id", key).agg(F.array_sort(F.collect_list(F.struct("place", item.alias("item")))).alias("l"))
+    return listed.select("server_id", key, F.transform("l", lambda x: x["item"]).alias(name))
+
+
+def people_table(people: DataFrame, participation: DataFrame, mix: DataFrame, contributions: DataFrame, channels: int = 5, topics: int = 6) -> DataFrame:
+    """One row a speaker: activity, busiest channels, topics, and uses of published terms.
+
+    Ties among channels keep the order in which they were first used.
+    """
+    rooms = ranked(participation, F.desc("messages"), F.col("first"), F.col("channel"), top=channels, keys=("server_id", "speaker"))
+    rooms = nested(rooms, "speaker", "top_channels", "channel", "messages")
+    about = nested(mix.where(F.col("place") <= topics), "speaker", "topics", "topic", "label", "mentions", "share", "lift")
+    uses = lambda kind: F.map_from_entries(F.sort_array(F.collect_list(F.when(kind, F.struct("term", "uses")))))
+    said = contributions.groupBy("server_id", "speaker").agg(uses(F.col("size") == 1).alias("words"), uses(F.col("size") > 1).alias("phrases"))
+    rows = people.withColumnRenamed("channels", "n_channels")
+    for part in (rooms, about, said):
+        rows = rows.join(part, ["server_id", "speaker"], "left")
+    none = {"top_channels": F.array(), "topics": F.array(), "words": F.create_map(), "phrases": F.create_map()}
+    return rows.withColumns({c: F.coalesce(c, v.cast(rows.schema[c].dataType)) for c, v in none.items()})
 
 
 def distinctive(counts: DataFrame, key: str, sizes: DataFrame, words: DataFrame, allowed: DataFrame, totals: DataFrame, voices: bool, top: int = 8) -> DataFrame:
@@ -84,14 +132,48 @@ def distinctive(counts: DataFrame, key: str, sizes: DataFrame, words: DataFrame,
     return kept.select("server_id", key, "place", "term", "uses", *(["voices"] if voices else []), F.round("lift", 1).alias("lift"))
 
 
-def channel_profiles(participation: DataFrame, people: DataFrame, top: int = 10, shown: int = 6) -> DataFrame:
-    """The busiest channels with voices and their busiest people."""
-    rooms = participation.groupBy("server_id", "channel").agg(F.sum("messages").alias("messages"), F.count("*").alias("voices"))
-    rooms = ranked(rooms, F.desc("messages"), F.col("channel"), top=top)
+def busiest_channels(participation: DataFrame, top: int = 10) -> DataFrame:
+    """The channels with most messages; ties keep the order of their first message."""
+    rooms = participation.groupBy("server_id", "channel").agg(F.sum("messages").alias("messages"), F.count("*").alias("voices"), F.min("first").alias("first"))
+    return ranked(rooms, F.desc("messages"), F.col("first"), F.col("channel"), top=top).drop("first")
+
+
+def channel_people(rooms: DataFrame, participation: DataFrame, people: DataFrame, shown: int = 6) -> DataFrame:
+    """(server_id, channel, place, speaker, name, messages): the busiest people of each room."""
     rows = participation.join(rooms.select("server_id", "channel"), ["server_id", "channel"], "left_semi").join(people.select("server_id", "speaker", "name"), ["server_id", "speaker"])
-    best = ranked(rows, F.desc("messages"), F.col("name"), F.col("speaker"), top=shown, keys=("server_id", "channel"), name="n")
-    lists = best.groupBy("server_id", "channel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), ", ").alias("people"))
-    return rooms.join(lists, ["server_id", "channel"]).select("server_id", "place", "channel", "messages", "voices", "people")
+    best = ranked(rows, F.desc("messages"), F.col("name"), F.col("speaker"), top=shown, keys=("server_id", "channel"))
+    return best.select("server_id", "channel", "place", "speaker", "name", "messages")
+
+
+def channel_profiles(participation: DataFrame, people: DataFrame, mix: DataFrame | None = None, language: DataFrame | None = None, top: int = 10, topics: int = 4) -> DataFrame:
+    """The busiest channels with voices, busiest people, topics and distinctive words.
+
+    ``mix``: topic mix by channel; ``language``: distinctive words by channel.
+    """
+    rooms = busiest_channels(participation, top)
+    rows = rooms.join(nested(channel_people(rooms, participation, people), "channel", "people", "name", "messages"), ["server_id", "channel"])
+    if mix is not None:
+        rows = rows.join(nested(mix.where(F.col("place") <= topics), "channel", "topics", "topic", "label", "mentions", "share", "lift"), ["server_id", "channel"], "left")
+    if language is not None:
+        rows = rows.join(nested(language, "channel", "language", "term", "uses", "lift"), ["server_id", "channel"], "left")
+    return rows
+
+
+def circle_table(circles: DataFrame, channels: DataFrame, labels: DataFrame, mix: DataFrame, language: DataFrame, totals: DataFrame, topics: int = 5) -> DataFrame:
+    """One row a circle: label, messages, share, members, channels, topics and distinctive words."""
+    order = Window.partitionBy("server_id", "circle").orderBy(F.desc("messages"), "name", "speaker")
+    members = circles.withColumns({"key": person_key(F.col("speaker")), "place": F.row_number().over(order)})
+    sizes = circles.groupBy("server_id", "circle").agg(F.sum("messages").alias("messages"))
+    rows = sizes.join(totals.select("server_id", F.col("messages").alias("all_messages")), "server_id")
+    rows = rows.withColumn("share", F.round(F.col("messages") / F.greatest("all_messages", F.lit(1)), 3)).drop("all_messages").join(labels, ["server_id", "circle"], "left")
+    parts = (
+        nested(members, "circle", "members", "key", "name", "messages"), nested(channels, "circle", "channels", "channel", "messages"),
+        nested(mix.where(F.col("place") <= topics), "circle", "topics", "topic", "label", "mentions", "share", "lift"),
+        nested(language, "circle", "language", "term", "uses", "voices", "lift"),
+    )
+    for part in parts:
+        rows = rows.join(part, ["server_id", "circle"], "left")
+    return rows
 
 
 def pseudonymous(people: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def families(nodes: DataFrame, pruned: DataFrame, canonical: DataFrame, observed
     """(topics, members): the strongest families, and their units with rank.
 
     Topics: server_id, topic, label, voices, mentions, place.  Members:
-    server_id, topic, term, kind, uses, voices, lift, rank, label_visible.
+    server_id, topic, label, term, kind, uses, voices, lift, rank, label_visible.
     """
     found = communities(pruned, settings.topic_resolution)
     degree = pruned.select("server_id", F.col("l").alias("term"), "weight").unionByName(pruned.select("server_id", F.col("r").alias("term"), "weight"))
@@ -105,11 +105,11 @@ def families(nodes: DataFrame, pruned: DataFrame, canonical: DataFrame, observed
     topics = ranked(topics.withColumn("score", F.round(F.col("mentions") * ln1(F.col("voices")), 9)), F.desc("score"), F.col("label"), top=settings.topics)
     topics = topics.select("server_id", "community", text.slug(F.col("label")).alias("topic"), "label", "voices", "mentions", "place")
 
-    members = placed.join(topics.select("server_id", "community", "topic"), ["server_id", "community"])
+    members = placed.join(topics.select("server_id", "community", "topic", "label"), ["server_id", "community"])
     parts = members.where("kind = 'bigram'").select("server_id", "topic", F.explode(F.split("term", " ")).alias("term"))
     nested = folded(parts, observed).select("server_id", "topic", F.col("canonical").alias("term"), F.lit("word").alias("kind"), F.lit(True).alias("nested")).distinct()
     members = members.join(nested, ["server_id", "topic", "term", "kind"], "left").select(
-        "server_id", "topic", "term", "kind", "uses", "voices", F.round("lift", 1).alias("lift"), "rank", F.col("nested").isNull().alias("label_visible")
+        "server_id", "topic", "label", "term", "kind", "uses", "voices", F.round("lift", 1).alias("lift"), "rank", F.col("nested").isNull().alias("label_visible")
     )
     return topics.drop("community"), members
 
@@ -142,24 +142,50 @@ def daily_share(series: DataFrame, of: str, group: list[str]) -> DataFrame:
 
 def visible_edges(edges: DataFrame, members: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Edges between shown units, among the strongest of either end, by relative weight."""
-    shown = members.where(F.col("rank") <= settings.topic_units).select("server_id", "term").distinct()
+    shown = shown_units(members, settings).select("server_id", "term").distinct()
     both = edges.join(shown.withColumnRenamed("term", "l"), ["server_id", "l"], "left_semi").join(shown.withColumnRenamed("term", "r"), ["server_id", "r"], "left_semi")
     kept = strongest(both, settings.visible_links)
     top = F.max("weight").over(Window.partitionBy("server_id"))
     return kept.select("server_id", "l", "r", F.round(F.col("weight") / top, 4).alias("weight"), "documents", "relation")
 
 
-def topic_mix(counts: DataFrame, members: DataFrame, key: str, observed: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Mentions, share and lift of the topics in each subset.
+def edge_series(shown: DataFrame, days: DataFrame, activity: DataFrame) -> DataFrame:
+    """Documents of each shown edge on each day of the axis, per 1 000 messages.
 
-    ``counts``: (server_id, ``key``, term, kind, uses) of surface units.
+    ``days``: pairs by day with composition (server_id, day, l, r, seen, made).
     """
-    shown = members.where(F.col("rank") <= settings.topic_units).select("server_id", "topic", "term", "kind", F.col("uses").alias("all_uses"))
+    counts = days.select("server_id", "l", "r", "day", F.greatest("seen", "made").alias("documents"))
+    axis = shown.select("server_id", "l", "r").join(activity.select("server_id", "day", "messages"), "server_id")
+    value = F.coalesce("documents", F.lit(0)) / F.greatest("messages", F.lit(1)) * 1000
+    return axis.join(counts, ["server_id", "l", "r", "day"], "left").select("server_id", "l", "r", "day", F.round(value, 3).alias("value"))
+
+
+def shown_units(members: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return members.where(F.col("rank") <= settings.topic_units)
+
+
+def allowed_words(lexicon: DataFrame, members: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(server_id, term): words a circle or a channel may be described by.
+
+    Those of the lexicon, and the shown word units of the topics.
+    """
+    words = shown_units(members, settings).where("kind = 'word'")
+    return lexicon.select("server_id", "term").unionByName(words.select("server_id", "term")).distinct()
+
+
+def topic_mix(counts: DataFrame, members: DataFrame, key: str, observed: DataFrame, settings: Settings = DEFAULT, top: int | None = None) -> DataFrame:
+    """Mentions, share and lift of the topics in each subset, most mentioned first.
+
+    ``counts``: (server_id, ``key``, term, kind, uses) of surface units.  Shares
+    are of all topics the subset mentions; ``top`` limits what is returned.
+    """
+    shown = shown_units(members, settings).select("server_id", "topic", "label", "term", "kind", F.col("uses").alias("all_uses"))
     words = folded(counts.where("kind = 'word'"), observed).withColumn("term", F.col("canonical")).drop("canonical")
-    rows = words.unionByName(counts.where("kind = 'bigram'")).join(shown, ["server_id", "term", "kind"]).groupBy("server_id", key, "topic").agg(F.sum("uses").alias("mentions"))
-    whole = shown.groupBy("server_id", "topic").agg(F.sum("all_uses").alias("all_mentions"))
+    rows = words.unionByName(counts.where("kind = 'bigram'")).join(shown, ["server_id", "term", "kind"]).groupBy("server_id", key, "topic", "label").agg(F.sum("uses").alias("mentions"))
+    whole = shown.groupBy("server_id", "topic", "label").agg(F.sum("all_uses").alias("all_mentions"))
     w = Window.partitionBy("server_id", key)
-    rows = rows.join(whole, ["server_id", "topic"])
+    rows = rows.join(whole, ["server_id", "topic", "label"])
     share, all_share = F.col("mentions") / F.sum("mentions").over(w), F.col("all_mentions") / F.sum("all_mentions").over(w)
     rows = rows.withColumns({"share": share, "lift": F.round(share / F.greatest(all_share, F.lit(1e-9)), 2)}).withColumn("share", F.round("share", 3))
-    return rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("mentions"), "topic"))).drop("all_mentions")
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy(F.desc("mentions"), "label", "topic"))).drop("all_mentions")
+    return rows if top is None else rows.where(F.col("place") <= top)

@@ -2,58 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.config import DEFAULT, Settings
 from parlance.functions import text
+from parlance.functions.plans import small
 from parlance.functions.words import PLATFORM_WORDS, STOPWORDS
 
 
-def claimed_starts(tokens: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """(id, starts): where a bigram claims its two tokens, left to right.
-
-    In each run of neighbouring candidate places the claims are the first, the
-    third and so on, so no loop is needed.
-    """
-    t, b = F.col("tokens"), F.col("breaks")
-    starts = F.when(F.size(t) >= 2, F.sequence(F.lit(0), F.size(t) - 2)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(F.filter(starts, lambda i: ~F.get(b, i)), lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)).alias("term")))
-    places = tokens.select("id", "server_id", F.inline(pairs)).join(bigrams.select("server_id", "term"), ["server_id", "term"], "left_semi")
-    order = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    runs = places.withColumn("run", F.col("pos") - order)
-    within = F.row_number().over(Window.partitionBy("id", "run").orderBy("pos"))
-    return runs.withColumn("n", within).where("n % 2 = 1").groupBy("id").agg(F.collect_list("pos").alias("starts"))
+def listed(terms: DataFrame, name: str) -> DataFrame:
+    """(server_id, name): the few terms of each community as one array."""
+    return small(terms.groupBy("server_id").agg(F.collect_set("term").alias(name)))
 
 
 def unit_rows(tokens: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """Current messages with ``units``: (term, kind, start, end, content) by place."""
-    current = tokens.where("is_current")
-    joined = current.join(claimed_starts(current, bigrams), "id", "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
-    t = F.col("tokens")
-    taken = F.map_from_entries(F.flatten(F.transform("starts", lambda s: F.array(F.struct(s.alias("at"), F.lit("head").alias("role")), F.struct((s + 1).alias("at"), F.lit("tail").alias("role"))))))
-    joined = joined.withColumn("taken", taken)
-    role = lambda i: F.try_element_at(F.col("taken"), i)
+    """Current messages with ``units``: (term, kind, start, end, content) by place.
+
+    A qualified bigram claims its two tokens, left to right.  Candidate places
+    are written as a string of 0 and 1, in which the pattern ``1.`` finds exactly
+    these claims, since matches go left to right and do not overlap.  A message
+    never leaves its row; the bigrams, at most ``top_terms`` a community, come to it.
+    """
+    current = tokens.where("is_current").join(listed(bigrams, "_pairs"), "server_id", "left")
+    t, b = F.col("tokens"), F.col("breaks")
+    fits = lambda w, i: ~F.get(b, i) & F.array_contains("_pairs", F.concat_ws(" ", w, F.get(t, i + 1)))
+    places = F.when(F.col("_pairs").isNull(), F.transform(t, lambda w: F.lit("0"))).otherwise(F.transform(t, lambda w, i: F.when(fits(w, i), "1").otherwise("0")))
+    roles = F.split(F.regexp_replace(F.array_join(places, ""), "1.", "HT"), "")
+    told = current.withColumn("_roles", roles)
+    role = lambda i: F.get(F.col("_roles"), i)
 
     def unit(word: Column, i: Column) -> Column:
-        head = F.coalesce(role(i) == "head", F.lit(False))
+        head = role(i) == "H"
         return F.struct(
             F.when(head, F.concat_ws(" ", word, F.get(t, i + 1))).otherwise(word).alias("term"),
             F.when(head, "bigram").otherwise("word").alias("kind"),
             i.alias("start"), F.when(head, i + 1).otherwise(i).alias("end"),
             (head | ~text.among(word, STOPWORDS + PLATFORM_WORDS)).alias("content"),
-            F.coalesce(role(i) == "tail", F.lit(False)).alias("tail"),
+            (role(i) == "T").alias("tail"),
         )
 
     units = F.filter(F.transform(t, unit), lambda u: ~u["tail"])
-    return joined.select("id", "server_id", "speaker", "channel", "day", units.alias("units"))
+    return told.select("id", "server_id", "speaker", "channel", "day", units.alias("units"))
 
 
 def unit_facts(units: DataFrame) -> DataFrame:
-    """Uses and content documents of each unit by speaker, channel and day."""
-    one = units.select("id", "server_id", "speaker", "channel", "day", F.inline("units"))
-    message = one.groupBy("id", "server_id", "speaker", "channel", "day", "term", "kind").agg(F.count("*").alias("uses"), F.bool_or("content").alias("content"))
-    return message.groupBy("server_id", "term", "kind", "speaker", "channel", "day").agg(F.sum("uses").alias("uses"), F.count_if("content").alias("documents"))
+    """Uses and content documents of each unit by speaker, channel and day.
+
+    A message adds one use a unit and one document a distinct content unit, so
+    one shuffle, after partial sums, is all.
+    """
+    entry = lambda u, use, doc: F.struct(u["term"].alias("term"), u["kind"].alias("kind"), F.lit(use).alias("use"), F.lit(doc).alias("doc"))
+    content = F.array_distinct(F.transform(F.filter("units", lambda u: u["content"]), lambda u: F.struct(u["term"].alias("term"), u["kind"].alias("kind"))))
+    every = F.concat(F.transform("units", lambda u: entry(u, 1, 0)), F.transform(content, lambda u: entry(u, 0, 1)))
+    one = units.select("server_id", "speaker", "channel", "day", F.inline(every))
+    return one.groupBy("server_id", "term", "kind", "speaker", "channel", "day").agg(F.sum("use").alias("uses"), F.sum("doc").alias("documents"))
 
 
 def folded(terms: DataFrame, observed: DataFrame) -> DataFrame:
@@ -84,11 +87,12 @@ def unit_inventory(canonical: DataFrame, totals: DataFrame) -> DataFrame:
 def pair_documents(units: DataFrame, keep: DataFrame, distance: int = DEFAULT.pair_distance) -> DataFrame:
     """(server_id, day, l, r, documents): messages with both units within ``distance``.
 
-    ``keep`` lists the surface units (server_id, term) that can matter.  Pairing
-    looks at places only, so dropping all others first changes no kept pair.
+    ``keep`` lists the surface units (server_id, term) that can matter, forms of
+    at most 320 nodes a community.  Pairing looks at places only, so dropping all
+    others first changes no kept pair.
     """
-    one = units.select("id", "server_id", "day", F.inline("units")).where("content").join(keep.select("server_id", "term").distinct(), ["server_id", "term"], "left_semi")
-    lists = one.groupBy("id", "server_id", "day").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term"))).alias("u"))
+    kept = units.select("server_id", "day", "units").join(listed(keep, "_keep"), "server_id")
+    lists = kept.select("server_id", "day", F.filter("units", lambda u: u["content"] & F.array_contains("_keep", u["term"])).alias("u"))
     u = F.col("u")
 
     def mate(x: Column, y: Column) -> Column:

@@ -123,9 +123,51 @@ def feed_summary(feed: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A feed or snapshot file as (messages, servers)."""
+    """A feed or snapshot document as (messages, servers), each with ``generated``."""
     feed = spark.read.schema(schemas.FEED).option("multiLine", True).json(path)
-    return feed.select("generated", F.inline_outer("messages")), feed.select("generated", F.inline_outer("servers"))
+    return feed.select("generated", F.inline_outer("messages")), feed.select("generated", "channels_skipped_no_access", F.inline_outer("servers"))
+
+
+def write_feed(messages: DataFrame, servers: DataFrame, path: str, generated: str, window_hours: float, skipped: int = 0) -> None:
+    """A feed as a folder: ``messages`` in the order of their moments, and one ``feed`` row about them.
+
+    One document with all messages would pass through one task; a folder of
+    range-sorted JSON lines has the same rows in the same order.  The ``feed``
+    row comes last, so a folder with it is whole.
+    """
+    ordered = messages.repartitionByRange("timestamp", "id").sortWithinPartitions("timestamp", "id")
+    ordered.write.mode("overwrite").json(f"{path}/messages")
+    listed = servers.agg(F.collect_list(F.struct(*servers.columns)).alias("servers"))
+    count = messages.agg(F.count("*").alias("message_count"))
+    row = count.crossJoin(listed).select(  # one row each
+        F.lit(generated).alias("generated"), F.lit(float(window_hours)).alias("window_hours"), F.lit(False).alias("all_history"),
+        "message_count", F.lit(skipped).cast("long").alias("channels_skipped_no_access"), "servers",
+    )
+    row.write.mode("overwrite").json(f"{path}/feed")
+
+
+def write_snapshot(messages: DataFrame, servers: DataFrame, root: str, generated: str, window_hours: float, skipped: int = 0) -> str:
+    """A feed kept under the date it was generated on (first ten characters)."""
+    path = f"{root}/daily/{generated[:10]}"
+    write_feed(messages, servers, path, generated, window_hours, skipped)
+    return path
+
+
+def read_feed_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_feed`` wrote, as ``read_feed`` returns it."""
+    about = spark.read.schema(schemas.FEED).json(f"{path}/feed")
+    rows = spark.read.schema(schemas.MESSAGE).json(f"{path}/messages")
+    when = about.select("generated")
+    return when.crossJoin(rows), about.select("generated", "channels_skipped_no_access", F.inline_outer("servers"))  # one row about all
+
+
+def word_list(spark: SparkSession, path: str, most: int = 5000) -> tuple[str, ...]:
+    """Words of a text file, lowered, for a setting such as ``scaffolding``."""
+    words = spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("w")).where("w <> ''").distinct()
+    found = [r.w for r in words.limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{path} holds more than {most} words")
+    return tuple(sorted(found))
 
 
 def media_manifest(messages: DataFrame, most_mb: float = 50) -> DataFrame:

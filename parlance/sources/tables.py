@@ -37,6 +37,6 @@ def reference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     cleaned = table(spark, sf_dir, "benchmark").select(text.clean(F.col("text")).alias("c"))
     tokens = cleaned.select(text.word_tokens(F.col("c")).alias("t"), text.breaks(F.col("c")).alias("b"))
-    words = tokens.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("cnt"))
-    pairs = tokens.select(F.explode(text.ngrams(F.col("t"), F.col("b"), 2)["term"]).alias("term"))
-    return words, pairs.groupBy("term").agg(F.count("*").alias("cnt"))
+    rows = tokens.select(text.places(F.col("t"), F.col("b")))
+    count = lambda n: rows.select(text.gram(n).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("cnt"))
+    return count(1), count(2)

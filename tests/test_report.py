@@ -1,11 +1,12 @@
 import dataclasses
 
+import numpy as np
 import pytest
 
 from parlance.config import Settings
 from parlance.jobs.report import Report, validate
-from parlance.operators.community import assign
-from parlance.operators.movement import keep_diverse
+from parlance.operators.community import partition
+from parlance.operators.movement import one_row_an_event
 from parlance.operators.people import person_key
 from pyspark.sql import functions as F
 
@@ -56,17 +57,18 @@ def test_validator(spark):
 
 
 def test_communities_split_two_cliques():
-    links = {}
-    for a, b, w in (("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0), ("c", "x", 0.1)):
-        links.setdefault(a, {})[b] = w
-        links.setdefault(b, {})[a] = w
-    label = assign(links, 1.0)
-    assert len(set(label.values())) == 2 and label["a"] == label["c"] != label["x"]
+    links = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0), ("c", "x", 0.1)]
+    at = {n: k for k, n in enumerate("abcxyz")}
+    l, r, w = (np.array(v) for v in zip(*[(at[a], at[b], x) for a, b, x in links]))
+    assert partition(l, r, w, 6, 1.0).tolist() == [0, 0, 0, 3, 3, 3]
+    assert partition(l, r, w, 6, 0.0).tolist() == [0] * 6
 
 
-def test_diverse_movement_prefers_the_phrase():
+def test_one_row_an_event_prefers_the_phrase():
     rows = [("september",), ("september", "event"), ("event",), ("trip",)]
-    assert keep_diverse(rows) == [1, 3]
+    assert one_row_an_event(rows) == [1, 3]
+    assert one_row_an_event([("a",), ("b",), ("a", "b"), ("b", "c"), ("a", "b")]) == [2, 3]
+    assert one_row_an_event([(w,) for w in "abcd"], 2) == [0, 1]
 
 
 def test_person_key_is_short_and_stable(spark):
