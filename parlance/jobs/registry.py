@@ -271,7 +271,7 @@ def people_activity(spark: SparkSession, d: str) -> DataFrame:
   SELECT page_id % 50 AS speaker, page_id % 30 AS day, regexp_replace(regexp_extract(lower(rtrim(url, '.,;:!?)]}')), '^https?://([^/?#:]+)', 1), '^www\.', '') AS domain FROM pages) WHERE domain <> '' GROUP BY domain""", chain=False)
 def link_domains(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("page_id")
-    rows = tables.table(spark, d, "pages").select(F.lit("all").alias("server_id"), F.lit(True).alias("is_current"), (p % 50).alias("speaker"), (p % 30).alias("day"), F.concat(F.lit("see "), F.col("url"), F.lit(". <")).alias("message"))
+    rows = tables.table(spark, d, "pages").select(F.lit("all").alias("server_id"), F.lit(True).alias("is_current"), (p % 50).alias("speaker"), (p % 30).alias("day"), F.timestamp_seconds(p).alias("ts"), F.concat(F.lit("see "), F.col("url"), F.lit(". <")).alias("message"))
     return messages.link_domains(rows)
 
 

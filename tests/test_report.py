@@ -60,8 +60,11 @@ def test_communities_split_two_cliques():
     links = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0), ("y", "z", 1.0), ("x", "z", 1.0), ("c", "x", 0.1)]
     at = {n: k for k, n in enumerate("abcxyz")}
     l, r, w = (np.array(v) for v in zip(*[(at[a], at[b], x) for a, b, x in links]))
-    assert partition(l, r, w, 6, 1.0).tolist() == [0, 0, 0, 3, 3, 3]
-    assert partition(l, r, w, 6, 0.0).tolist() == [0] * 6
+    # A community is named by any one of its nodes.
+    groups = lambda found: [np.flatnonzero(found == x).tolist() for x in dict.fromkeys(found.tolist())]
+    assert groups(partition(l, r, w, 6, 1.0)) == [[0, 1, 2], [3, 4, 5]]
+    # Single nodes move, never whole groups: a weak bridge joins nothing even without the size term.
+    assert groups(partition(l, r, w, 6, 0.0)) == [[0, 1, 2], [3, 4, 5]]
 
 
 def test_one_row_an_event_prefers_the_phrase():
