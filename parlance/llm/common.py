@@ -16,23 +16,56 @@ from pyspark.sql import functions as F
 # needs no copy of this package on its own path.
 cloudpickle.register_pickle_by_value(importlib.import_module(__package__))
 
+#: Bytes of one Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of intermediate tables that all executors see.
 
-    ``spark.checkpoint.dir`` names the folder; only where it is unset (tests,
-    one machine) a temporary one is used.
+    ``spark.checkpoint.dir`` names it, or ``SparkContext.setCheckpointDir`` has.
+    Only a session on one machine may go without: it gets a temporary folder.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of the session exceed ``BATCH_BYTES`` of rows, however long the texts are.
+
+    It is a setting of memory alone; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def by_class(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row a ``key``; ``classes`` has ``n``, the rows of that key.
+
+    A key of many rows would meet in one task.  Those above a quarter of an even
+    share of ``total`` are at most ``4 x`` the shuffle width, so they are
+    broadcast and their rows stay where they are; the others are shuffled.
+    """
+    heavy = F.col("n") * (4 * shuffle_width(rows.sparkSession)) > total
+    hot = F.broadcast(classes.where(heavy).drop("n"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(classes.where(~heavy).drop("n"), key))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,7 +97,6 @@ def worker_cache() -> dict:
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="parlance-")
-    path = f"{base.rstrip('/')}/parlance-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/parlance-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import text_or_empty, worker_cache
+from parlance.llm.common import bounded_batches, text_or_empty, worker_cache
 from parlance.llm.tokenizer import Encoder
 
 CAPACITY, END_ID, VOCABULARY = 2048, 1, "byte_bpe_50k"
@@ -66,6 +66,7 @@ def token_pieces(
                     ["doc_id", "row", "start", "length", "doc_tokens", "ids"],
                 )
 
+    bounded_batches(docs.sparkSession)
     read = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
     return read.mapInArrow(cut, "doc_id long, row long, start long, length long, doc_tokens long, ids binary")
 

@@ -44,7 +44,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), round_trip=True)
     return coded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),

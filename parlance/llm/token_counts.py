@@ -24,8 +24,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import worker_cache
-from parlance.llm.unigram import KEPT, VOCABULARY, Pieces, kept_pieces, pretokens
+from parlance.llm.common import bounded_batches, worker_cache
+from parlance.llm.unigram import KEPT, LONG, VOCABULARY, Pieces, kept_pieces, pretokens
 
 
 def count_in_trie(distinct: list[str], pieces: Pieces) -> dict[str, int]:
@@ -68,8 +68,11 @@ def with_token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOC
             stored.update(count_in_trie(list(new), pieces))
             words += map(len, split)
             tokens += [sum(map(stored.__getitem__, w)) for w in split]
+            for w in [w for w in new if len(w) > LONG]:
+                del stored[w]
         return pd.DataFrame({"n_pretokens": words, "n_tokens": tokens})
 
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_pretokens", "n_tokens")]
     counted = F.pandas_udf(each, "n_pretokens long, n_tokens long")(text)
     return docs.select(*rest, counted.alias("_counted")).select(*rest, "_counted.n_pretokens", "_counted.n_tokens")

@@ -18,8 +18,8 @@ from collections.abc import Callable
 BLANK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 SPLIT = re.compile(rf"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-#: Pre-tokens one worker keeps; the store starts anew when full.
-KEPT = 250_000
+#: Pre-tokens one worker keeps, none longer than LONG; the store starts anew when full.
+KEPT, LONG = 200_000, 128
 
 
 class Pieces:
