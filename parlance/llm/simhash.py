@@ -12,14 +12,21 @@ whose shared bits differ in more than ``max_bits`` places rule out all pairs
 below them.  Upper nodes, over whole blocks, are compared level by level by
 joins on the parent node; lower nodes inside the task that gets two blocks.
 
-A task reports a spanning forest of the links it finds, never all pairs of a
-group, so a large group of near copies costs as many rows as it has texts.
+What two nodes share is mostly a prefix, so the search runs in two orders, one
+from each half of the bits.  A pair within ``max_bits`` differs in at most half
+as many places in one of the halves, and there the order of that half finds it:
+the differences allowed in the leading half are ``max_bits // 2``.  With 2**d
+runs that leaves 1 + d + d(d-1)/2 partners of each, for the usual four bits.
+
+Fingerprints themselves are the nodes of the graph; a task reports a spanning
+forest of the links it finds, never all pairs of a group, so a large group of
+near copies costs as many rows as it has fingerprints.
 
 Defined cases: a null or empty text has no word and the fingerprint zero, which
 links like any other; fewer than four words form one shingle; rows with a null
-doc_id are left out, having no identity; equal doc_ids are one document each but
-share their component; an empty table gives an empty result.  Extra columns are
-not read.
+doc_id are left out, having no identity; equal doc_ids are one document each and
+do not link texts that differ; an empty table gives an empty result.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,17 +37,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_rows, durable, shuffle_width
+from parlance.llm.common import arrow_rows, bounded_batches, by_class, durable, shuffle_width
 from parlance.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Fingerprints of one block: 8 bytes each, so a task holds a few MB.
 BLOCK = 32_768
-#: Blocks below one upper node.
+#: Blocks below a node of the first level (on average), and nodes below one of the next levels.
 FANOUT = 16
+#: Bits of a block's number within its range of the order.
+INNER = 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -68,6 +78,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     def each(s: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x, shingle, seed) for x in s], np.uint64).view(np.int64))
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("fp", F.pandas_udf(each, "long")(text))
 
 
@@ -82,6 +93,10 @@ def gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
 
+def halves_swapped(fp: Column) -> Column:
+    return F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32))
+
+
 # ---- nodes inside a task -------------------------------------------------
 
 
@@ -111,14 +126,16 @@ def close_pairs(a: np.ndarray, b: np.ndarray, same: bool, most: int = MAX_BITS,
     """Yield index pairs of two Gray-ordered blocks that differ in ``most`` bits or fewer.
 
     Both trees are walked together.  A pair of nodes whose shared bits differ in
-    more places is dropped with everything below it.
+    more places, or in over half as many in the leading half, is dropped with
+    everything below it; such pairs are the business of the other order.
     """
     ta, tb = tree(a), tree(b)
     stack = [(0, 0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
         (wa, ma, pa), (wb, mb, pb) = ta[la], tb[lb]
-        keep = popcount((pa[i] ^ pb[j]) & ma[i] & mb[j]) <= most
+        differ = (pa[i] ^ pb[j]) & ma[i] & mb[j]
+        keep = (popcount(differ) <= most) & (popcount(differ >> np.uint64(32)) <= most // 2)
         if same:
             keep &= i * wa <= j * wb + wb - 1
         i, j = i[keep], j[keep]
@@ -178,99 +195,91 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def links(classes: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(fp, rep) with distinct fp -> (a, b): a spanning forest of the links, as reps."""
+    """(fp), each once -> (a, b): a spanning forest of the links between fingerprints."""
     spark = classes.sparkSession
-    count = classes.count()
-    parts = max(1, -(-count // block))
+    parts = max(1, -(-2 * classes.count() // (block * FANOUT)))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fps, reps, held = [], [], 0
+        first = TaskContext.get().partitionId() << INNER
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        held, turn, k = np.zeros(0, np.int64), 0, 0
 
-        def flush() -> pd.DataFrame:
-            f, r = np.concatenate(fps).view(np.uint64), np.concatenate(reps)
-            mask, ones = (int(v[0]) for v in shared(f, len(f)))
-            to = lambda v: v - (1 << 64) if v >> 63 else v
-            return pd.DataFrame({"block": [int(r.min())], "mask": [to(mask)], "ones": [to(ones)], "fps": [f.tobytes()], "reps": [r.tobytes()], "rank": [to(int(f[0]))]})
+        def node(f: np.ndarray) -> pd.DataFrame:
+            mask, ones = (int(v[0]) for v in shared(f.view(np.uint64), len(f)))
+            return pd.DataFrame({"turn": [turn], "at": [first + k], "mask": [signed(mask)], "ones": [signed(ones)], "fps": [f.tobytes()]})
 
         for pdf in batches:
-            f, r = pdf["fp"].to_numpy(np.int64), pdf["rep"].to_numpy(np.int64)
-            for s in range(0, len(f), block):
-                if held and held + len(f[s : s + block]) > block:
-                    yield flush()
-                    fps, reps, held = [], [], 0
-                fps.append(f[s : s + block])
-                reps.append(r[s : s + block])
-                held += len(fps[-1])
-        if held:
-            yield flush()
-
-    ordered = classes.select("fp", "rep", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
-    blocks = durable(ordered.select("fp", "rep").mapInPandas(pack, "block long, mask long, ones long, fps binary, reps binary, rank long"))
-    nodes = blocks.select("block", "mask", "ones", gray_rank(F.col("rank")).alias("rank"))
-    pairs = node_pairs(nodes, most)
+            for t, rows in pdf.groupby("turn", sort=True):  # the order is by turn first
+                if t != turn and len(held):
+                    yield node(held)
+                    k, held = k + 1, held[:0]
+                turn, held = int(t), np.concatenate((held, rows["fp"].to_numpy(np.int64)))
+                while len(held) >= block:
+                    yield node(held[:block])
+                    k, held = k + 1, held[block:]
+        if len(held):
+            yield node(held)
+
+    both = classes.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp")), F.struct(F.lit(1).alias("turn"), halves_swapped(F.col("fp")).alias("fp")))).alias("x")).select("x.*")
+    ordered = both.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank")
+    blocks = durable(ordered.select("turn", "fp").mapInPandas(pack, "turn int, at long, mask long, ones long, fps binary"))
+    pairs = node_pairs(durable(blocks.drop("fps")), most, parts)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for x, y, fa, ra, fb, rb in zip(pdf["x"], pdf["y"], pdf["fa"], pdf["ra"], pdf["fb"], pdf["rb"], strict=True):
+            for turn, x, y, fa, fb in zip(pdf["turn"], pdf["x"], pdf["y"], pdf["fa"], pdf["fb"], strict=True):
                 a, b = np.frombuffer(fa, np.uint64), np.frombuffer(fb, np.uint64)
                 if x == y:
-                    reps = np.frombuffer(ra, np.int64)
-                    root = forest(len(a), close_pairs(a, a, True, most))
+                    fps, root = a, forest(len(a), close_pairs(a, a, True, most))
                 else:
-                    reps = np.concatenate((np.frombuffer(ra, np.int64), np.frombuffer(rb, np.int64)))
-                    root = forest(len(reps), ((i, j + len(a)) for i, j in close_pairs(a, b, False, most)))
+                    fps = np.concatenate((a, b))
+                    root = forest(len(fps), ((i, j + len(a)) for i, j in close_pairs(a, b, False, most)))
+                if turn:
+                    fps = fps << np.uint64(32) | fps >> np.uint64(32)
                 child = np.flatnonzero(root != np.arange(len(root)))
-                yield pd.DataFrame({"a": reps[child], "b": reps[root[child]]})
+                yield pd.DataFrame({"a": fps[child].view(np.int64), "b": fps[root[child]].view(np.int64)})
 
-    left = blocks.select(F.col("block").alias("x"), F.col("fps").alias("fa"), F.col("reps").alias("ra"))
-    right = blocks.select(F.col("block").alias("y"), F.col("fps").alias("fb"), F.col("reps").alias("rb"))
+    left = blocks.select("turn", F.col("at").alias("x"), F.col("fps").alias("fa"))
+    right = blocks.select("turn", F.col("at").alias("y"), F.col("fps").alias("fb"))
     with arrow_rows(spark, 8):
-        return durable(pairs.join(left, "x").join(right, "y").select("x", "y", "fa", "ra", "fb", "rb").repartition(shuffle_width(spark)).mapInPandas(search, "a long, b long"))
+        return durable(pairs.join(left, ["turn", "x"]).join(right, ["turn", "y"]).select("turn", "x", "y", "fa", "fb").repartition(shuffle_width(spark)).mapInPandas(search, "a long, b long"))
 
 
-def node_pairs(nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs of blocks (x <= y by rank) whose shared bits differ in ``most`` places or fewer.
+def node_pairs(nodes: DataFrame, most: int, parts: int) -> DataFrame:
+    """(turn, at, mask, ones) -> pairs (turn, x, y) of blocks, x <= y, whose shared bits differ little enough.
 
-    Upper nodes cover FANOUT neighbours of the level below.  From the root down,
-    a surviving pair of nodes is opened by joining both sides' children on their
-    parent, so no level compares all its nodes with each other.
+    A block's number starts with that of its range of the order, so the node above
+    it is the range, then FANOUT ranges, and so on up to one root a turn.  From the
+    root down, a surviving pair of nodes is opened by joining both sides' children
+    on their parents, so no level compares all its nodes with each other.
     """
-    ranked = nodes.withColumn("at", F.row_number().over(_by_rank()) - 1).select("block", "mask", "ones", F.col("at").cast("long"))
-    levels = [durable(ranked)]
-    while levels[-1].agg(F.max("at")).first()[0] not in (None, 0):
-        below = levels[-1]
-        up = below.groupBy(F.floor(F.col("at") / FANOUT).cast("long").alias("at")).agg(
-            F.bit_and("ones").alias("ones"), F.bit_or("ones").alias("some"), F.bit_and("mask").alias("mask")
-        )
-        # A bit is shared above if shared in every child with one value.
-        up = up.select(F.lit(None).cast("long").alias("block"), F.col("mask").bitwiseAND(F.bitwise_not(F.col("ones").bitwiseXOR(F.col("some")))).alias("mask"), "ones", "at")
-        levels.append(durable(up))
-    pairs = levels[-1].select(F.col("at").alias("i"), F.col("at").alias("j"))
-    for k, level in reversed(list(enumerate(levels))):
-        if k < len(levels) - 1:
-            kids = level.withColumn("parent", F.floor(F.col("at") / FANOUT).cast("long"))
-            x = kids.select(F.col("parent").alias("i"), F.col("at").alias("ci"), F.col("mask").alias("mi"), F.col("ones").alias("oi"), F.col("block").alias("x"))
-            y = kids.select(F.col("parent").alias("j"), F.col("at").alias("cj"), F.col("mask").alias("mj"), F.col("ones").alias("oj"), F.col("block").alias("y"))
-            differ = F.bit_count(F.col("oi").bitwiseXOR(F.col("oj")).bitwiseAND(F.col("mi")).bitwiseAND(F.col("mj")))
-            pairs = pairs.join(x, "i").join(y, "j").where((F.col("ci") <= F.col("cj")) & (differ <= most))
-            pairs = pairs.select(F.col("ci").alias("i"), F.col("cj").alias("j"), *(["x", "y"] if k == 0 else []))
-    if len(levels) == 1:
-        one = levels[0]
-        return one.select(F.col("block").alias("x"), F.col("block").alias("y"))
-    return pairs.select("x", "y")
-
-
-def _by_rank():
-    from pyspark.sql import Window
-
-    return Window.orderBy("rank")
+    shifts = [0, INNER]
+    while parts - 1 >> shifts[-1] - INNER:
+        shifts.append(shifts[-1] + FANOUT.bit_length() - 1)
+    pairs = None
+    for shift, above in reversed(list(zip(shifts, [*shifts[1:], None], strict=True))):
+        # A bit is shared above if all blocks below share it with one value.
+        level = nodes.groupBy("turn", F.shiftright("at", shift).alias("at")).agg(F.bit_and("mask").alias("mask"), F.bit_and("ones").alias("ones"), F.bit_or("ones").alias("some"))
+        level = level.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.col("ones").bitwiseXOR(F.col("some")))))
+        if pairs is None:
+            pairs = level.select("turn", F.col("at").alias("x"), F.col("at").alias("y"))
+            continue
+        side = lambda c: level.select("turn", F.col("at").alias(f"c{c}"), F.shiftright("at", above - shift).alias(c), F.col("mask").alias(f"m{c}"), F.col("ones").alias(f"o{c}"))  # noqa: E731, B023
+        differ = F.col("ox").bitwiseXOR(F.col("oy")).bitwiseAND(F.col("mx")).bitwiseAND(F.col("my"))
+        near = (F.bit_count(differ) <= most) & (F.bit_count(F.shiftrightunsigned(differ, 32)) <= most // 2)
+        pairs = pairs.join(side("x"), ["turn", "x"]).join(side("y"), ["turn", "y"]).where((F.col("cx") <= F.col("cy")) & near)
+        pairs = pairs.select("turn", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id for every row with an id."""
     with arrow_rows(docs.sparkSession, 1000):
         ids = durable(with_fingerprints(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "fp"))
-    classes = durable(ids.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(classes, most, block))
-    placed = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    return ids.join(placed, "fp").select("doc_id", "fp", "component_id")
+    classes = durable(ids.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    rows, distinct = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    found = connected_components(links(classes.select("fp"), most, block))
+    labelled = classes.join(found, classes.fp == found.node, "left").select("fp", "n", "rep", F.coalesce("label", "fp").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    placed = by_class(labelled.select("fp", F.col("n").alias("rows"), "label"), least, "label", distinct)
+    return by_class(ids, placed.select("fp", "component_id", F.col("rows").alias("n")), "fp", rows).select("doc_id", "fp", "component_id")

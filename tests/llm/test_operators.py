@@ -150,6 +150,15 @@ def test_simhash_against_brute_force(spark, odd, empty):
     assert [int(got.fp[k]) & (2**64 - 1) for k in range(len(texts))] == fps
     assert got.component_id.to_dict() == brute.components(list(range(len(texts))), fps, 8)
     assert got.component_id.nunique() < len(texts) - 60
+    # The same ids a second time, each under the next text: no link is lost, none is made by an id.
+    again = docs_frame(spark, texts).unionByName(docs_frame(spark, texts[1:] + texts[:1]))
+    rows = simhash.near_duplicates(again, most=8, block=16).toPandas()
+    group = brute.components(list(range(len(texts))), fps, 8)
+    least = {}
+    for k in range(len(texts)):  # text k stands under the ids k and k - 1
+        least[group[k]] = min(least.get(group[k], k), k, (k - 1) % len(texts))
+    at = {f: least[group[k]] for k, f in enumerate(fps)}
+    assert all(c == at[int(f) & (2**64 - 1)] for f, c in zip(rows.fp, rows.component_id)) and len(rows) == 2 * len(texts)
     found = simhash.near_duplicates(odd).toPandas()
     assert len(found) == 8 and found[found.doc_id == 3].component_id.iloc[0] == 0 and simhash.near_duplicates(empty).count() == 0
 
