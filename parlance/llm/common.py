@@ -24,6 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for the plans made inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """Plans made inside hand at most ``rows`` rows at once to a Python worker."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of intermediate tables that all executors see.
 
@@ -40,9 +56,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once: written as Parquet in the shared folder and read again.
+
+    Unlike a checkpoint, a file has a known size.  A checkpoint carries the size
+    the optimizer guessed, a product over joins, and in a loop those numbers get
+    so long that planning never ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/parlance-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -74,29 +97,9 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Plans made inside hand at most ``rows`` rows at once to a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def worker_cache() -> dict:
     """A dict that outlives a task in its Python worker."""
     import sys
     import types
 
     return sys.modules.setdefault("parlance_worker_cache", types.ModuleType("parlance_worker_cache")).__dict__
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/parlance-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
