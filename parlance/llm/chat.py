@@ -17,7 +17,9 @@ turns of their own; an empty table gives an empty result; columns other than
 the four named ones are ignored.
 
 One conversation is one output row, so its turns meet in one place by nature of
-the result; no other grouping takes place.
+the result; no other grouping takes place.  The places of the loss spans are sums
+of lengths before them; these are taken over chunks of about the root of the
+number of turns, so the work is the turns times that root, not their square.
 """
 
 from __future__ import annotations
@@ -57,49 +59,46 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     sorted_turns = rows.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
     )
-    # Each turn knows the role before and after it; equal neighbours share a block.
-    marked = sorted_turns.withColumn(
-        "t",
+    n, at = F.size("t"), lambda a, i: F.get(F.col(a), i)
+    # A block is a run of turns of one role: adjacent turns are merged into it.
+    split = sorted_turns.select(
+        "conv_id",
+        F.transform("t", lambda x: F.struct(x["role"].alias("role"), escape(x["text"]).alias("body"))).alias("t"),
+        F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at("t", i)["role"] != at("t", i - 1)["role"])).alias("first"),
+        F.ceil(F.sqrt(n)).cast("int").alias("chunk"),
+    )
+    head = lambda role: F.concat(F.lit(OPEN), escape_role(role), F.lit(BREAK))
+    merged = split.select(
+        "*",
         F.transform(
-            "t",
-            lambda x, i: F.struct(
-                x["role"].alias("role"),
-                escape(x["text"]).alias("body"),
-                F.when(
-                    (i > 0) & (F.get(F.col("t"), i - 1)["role"] == x["role"]), F.lit(CUT)
-                ).otherwise(F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit(BREAK))).alias("lead"),
-                F.when(
-                    F.get(F.col("t"), i + 1)["role"] == x["role"], F.lit("")
-                ).otherwise(F.lit(CLOSE)).alias("tail"),
+            "first",
+            lambda i, k: F.concat(
+                head(at("t", i)["role"]),
+                F.array_join(F.transform(F.slice("t", i + 1, F.coalesce(at("first", k + 1), n) - i), lambda x: x["body"]), CUT),
+                F.lit(CLOSE),
             ),
-        ),
-    )
-    pieces = marked.select(
-        "conv_id",
-        F.array_join(F.transform("t", lambda x: F.concat(x["lead"], x["body"], x["tail"])), "").alias("formatted"),
+        ).alias("blocks"),
+        # What stands before each text: the head of its block, after the end of the block before, or a cut.
         F.transform(
             "t",
-            lambda x: F.struct(
-                x["role"].alias("role"),
-                F.length(x["lead"]).alias("lead"),
-                F.length(x["body"]).alias("body"),
-                F.length(x["tail"]).alias("tail"),
-            ),
-        ).alias("sizes"),
+            lambda x, i: F.when(i == 0, F.length(head(x["role"])))
+            .when(at("t", i - 1)["role"] == x["role"], len(CUT))
+            .otherwise(len(CLOSE) + F.length(head(x["role"]))),
+        ).alias("lead"),
     )
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walked = F.aggregate(
-        "sizes",
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["lead"] + x["body"] + x["tail"]).alias("at"),
-            F.when(
-                x["role"] == trained_role,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["lead"]).alias("start"), x["body"].alias("length")))),
-            ).otherwise(acc["spans"]).alias("spans"),
+    total = lambda a, start, length: F.aggregate(F.slice(a, start, length), F.lit(0), lambda s, x: s + x)
+    chunks = F.sequence(F.lit(0), F.ceil(n / F.col("chunk")).cast("int") - 1)
+    sized = merged.withColumn("size", F.zip_with("t", "lead", lambda x, s: F.length(x["body"]) + s))
+    summed = sized.withColumn("sums", F.transform(chunks, lambda c: total("size", c * F.col("chunk") + 1, F.col("chunk"))))
+    based = summed.withColumn("base", F.transform(chunks, lambda c: total("sums", F.lit(1), c)))
+    spans = F.transform(
+        F.filter(F.sequence(F.lit(0), n - 1), lambda i: at("t", i)["role"] == trained_role),
+        lambda i: F.struct(
+            (at("base", (i / F.col("chunk")).cast("int")) + total("size", i - i % F.col("chunk") + 1, i % F.col("chunk")) + at("lead", i)).alias("start"),
+            F.length(at("t", i)["body"]).alias("length"),
         ),
     )
-    return pieces.select("conv_id", "formatted", walked["spans"].alias("loss_spans"))
+    return based.select("conv_id", F.array_join("blocks", "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

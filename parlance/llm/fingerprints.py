@@ -77,6 +77,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (agree - chance) / (1 - chance)))
 
 
+def bounds_below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are no more than ``value``: first among every root-th one, then between two of these."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    below = lambda array: F.size(F.filter(array, lambda x: x <= value))
+    fixed = lambda xs: F.array(*[F.lit(x) for x in xs])
+    coarse = below(fixed(bounds[step - 1 :: step])) * step
+    return (coarse + below(F.slice(fixed(bounds), coarse + 1, step))).cast("int")
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, text, fp, next_text, next_fp by ascending doc_id, the first after the last.
 
@@ -87,8 +98,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     width = shuffle_width(docs.sparkSession)
     parts = parts or 4 * width
     cuts = base.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    base = base.withColumn("part", F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
+    base = base.withColumn("part", bounds_below(F.col("doc_id"), sorted(set(cuts))))
 
     heads = base.groupBy("part").agg(F.min("doc_id").alias("doc_id"))
     ring = heads.select(

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from parlance.llm.common import bounded_batches, fresh
+
 BITS, ORDERS = 14, 3
 PER_LANGUAGE, MOST = 400, 4000
 LANDMARKS, RIDGE, SHARPNESS = 256, 1e-2, 6.0
@@ -65,8 +67,10 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int
     first = labelled.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))).where(F.col("n") <= per_language)
     chosen = first.orderBy("n", key, "doc_id").limit(most).select("doc_id").distinct()
     pack = F.pandas_udf(lambda s: s.map(lambda t: np.packbits(presence(t)).tobytes()), "binary")
-    rows = docs.join(F.broadcast(chosen), "doc_id").where("text is not null and lang is not null")
-    sample = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", pack("text").alias("bits")).toPandas()
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").where("text is not null and lang is not null")
+    # A doc_id that repeats gives one text a language, and all of them are ``2 * most`` at the most.
+    texts = rows.where(F.col("text").rlike(r"\p{L}")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    sample = texts.orderBy(key, "doc_id", "lang").limit(2 * most).select("lang", "doc_id", pack("text").alias("bits")).toPandas()
     return sample.sort_values(["lang", "doc_id", "bits"], ignore_index=True)
 
 
@@ -106,9 +110,11 @@ def classify(docs: DataFrame, langs: list[str], weights: np.ndarray, text: str =
                 pred[k], score[k] = langs[b], p
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
+    bounded_batches(docs.sparkSession)
     found = F.pandas_udf(predict, "lang_pred string, score double")(text)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*rest, found.alias("_found")).select(*rest, "_found.lang_pred", "_found.score")
+    (both,) = fresh(docs, "found")
+    return docs.select(*rest, found.alias(both)).select(*rest, f"{both}.lang_pred", f"{both}.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bounded_batches, worker_cache
+from parlance.llm.common import bounded_batches, fresh, worker_cache
 from parlance.llm.unigram import KEPT, LONG, VOCABULARY, Pieces, kept_pieces, pretokens
 
 
@@ -75,4 +75,5 @@ def with_token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOC
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_pretokens", "n_tokens")]
     counted = F.pandas_udf(each, "n_pretokens long, n_tokens long")(text)
-    return docs.select(*rest, counted.alias("_counted")).select(*rest, "_counted.n_pretokens", "_counted.n_tokens")
+    (both,) = fresh(docs, "counted")
+    return docs.select(*rest, counted.alias(both)).select(*rest, f"{both}.n_pretokens", f"{both}.n_tokens")

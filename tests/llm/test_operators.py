@@ -274,3 +274,9 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in got[2].turns] == [("", "x"), ("", "x")] and got[2].formatted.count(chat.OPEN) == 1
     assert got[None].turns[0].role == "a<b\\\nc" and [t.text for t in got[3].turns] == ["a", "b"]
     assert chat.format_conversations(frame.limit(0)).count() == 0
+    # One conversation of many turns, and very long texts; further columns named like the operator's own.
+    many = [(1, k, ("user", "assistant")[k // 3 % 2], "t<" * (k % 7)) for k in range(3000)] + [(2, 0, "user", "x" * 300_000), (2, 1, "assistant", "<" * 300_000)]
+    wide = spark.createDataFrame(many, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("z") for c in ("t", "formatted", "loss_spans", "blocks", "lead")})
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(wide)).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [(r, t) for c, _, r, t in many if c == 1]
+    assert got[1].loss_texts == [t for c, _, r, t in many if c == 1 and r == "assistant"] and got[2].loss_texts == ["<" * 300_000]
