@@ -13,17 +13,20 @@ bytes and no match crosses documents.
 3. Suffix arrays.  A maximal run of windows with one anchor is one string; runs
    with an anchor of several documents meet by anchor.  A bucket of runs is
    sorted in two stages: suffixes smaller than their successor directly, all
-   others induced by one scan over the buckets of first bytes.  Neighbours that
-   share ``span`` bytes are equal windows; the smallest doc_id among them keeps
-   its bytes.
+   others induced by one scan over the buckets of first bytes.  The common
+   prefixes of neighbours follow; neighbours that share ``span`` bytes are equal
+   windows, and the smallest doc_id among them keeps its bytes.
 4. Covered intervals return to their documents.
 
 Documents are dealt to groups of bounded size once; all passes read that one
 exchange.  Between passes travel packed rows (a group's part for a bucket), a
-few bytes an anchor.  What many documents share is reduced inside each group
-before the shuffle: of equal runs in one group all but the smallest document's
-are decided there and then, so a passage in a third of all documents costs one
-row a group.
+few bytes an anchor.
+
+Two reductions come before the shuffles, because they cost no shuffle and take
+what many documents share off the buckets; both are exact, since strings that are
+equal have equal windows: exact copies (1), and of equal runs inside one group all
+but the smallest document's.  What different groups share is left to the suffix
+arrays.  ``reduce`` turns both off; tests hold the results of both ways together.
 
 Defined cases: null text is empty; texts shorter than ``span`` bytes stay; rows
 with a null doc_id are left out, having no order; rows with equal doc_id are
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import shuffle_width, text_or_empty
+from parlance.llm.common import bounded_batches, by_class, shuffle_width, text_or_empty
 
 SPAN, GRAM = 50, 20
 #: Bytes of text in one group of documents, and in one bucket of runs.
@@ -120,14 +123,20 @@ def suffix_array(t: np.ndarray, w: np.ndarray, span: int = SPAN) -> np.ndarray:
     return np.concatenate(out)
 
 
-def share_prefix(a: np.ndarray, b: np.ndarray, w: np.ndarray, span: int) -> np.ndarray:
-    """Which pairs of suffixes share their first ``span`` bytes."""
+def common_prefixes(a: np.ndarray, b: np.ndarray, w: np.ndarray, span: int) -> np.ndarray:
+    """Length of the common prefix of each pair of suffixes, ``span`` at most."""
+    length = np.full(len(a), span)
     left = np.arange(len(a))
     for off in offsets(span):
-        left = left[w[a[left] + off] == w[b[left] + off]]
-    same = np.zeros(len(a), bool)
-    same[left] = True
-    return same
+        x = w[a[left] + off] ^ w[b[left] + off]
+        unlike = np.flatnonzero(x)
+        x = x[unlike]
+        high = x >> np.uint64(32)
+        # The exponent of a number below 2**32 is exact; it tells the first byte that differs.
+        bits = np.frexp(np.where(high > 0, high, x).astype(np.float64))[1]
+        length[left[unlike]] = off + (np.where(high > 0, 32, 64) - bits) // 8
+        left = np.delete(left, unlike)
+    return length
 
 
 def smallest_holder(texts: list[bytes], holder: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +152,7 @@ def smallest_holder(texts: list[bytes], holder: np.ndarray, span: int = SPAN) ->
     whole = np.arange(len(t)) - start[source] + span <= length[source]
     sa = suffix_array(t, w, span)
     sa = sa[whole[sa]]
-    same = share_prefix(sa[:-1], sa[1:], w, span)
+    same = common_prefixes(sa[:-1], sa[1:], w, span) >= span
     cut = np.flatnonzero(np.concatenate(([True], ~same)))
     least = np.minimum.reduceat(holder[source[sa]], cut)
     least = np.repeat(least, np.diff(np.concatenate((cut, [len(sa)]))))
@@ -262,7 +271,7 @@ def joined(notes: pa.Table, kind: int, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(picked.column(column).to_pylist()), dtype)
 
 
-def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, reduce: bool = True) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, spans (start, end), kept (binary), carry.
 
     With ``as_text``, kept is a string, and a character that lost a byte goes
@@ -270,13 +279,14 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     """
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select("doc_id", text_or_empty().cast("binary").alias("bytes"), F.struct(F.lit(None).cast("string").alias("_"), *carry).alias("carry"))
-    total = base.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    bounded_batches(spark)
+    total, rows = base.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)), F.count("*")).first()
     groups = max(shuffle_width(spark), -(-total // GROUP_BYTES))
     buckets = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     dealt = base.select("doc_id", F.unhex(F.md5("bytes")).alias("digest"), "bytes", "carry", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("g"))
 
-    least = dealt.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
-    copies = dealt.select("doc_id", "digest", "g").join(least, "digest").where("doc_id > least").select(
+    least = dealt.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1 if reduce else F.lit(False))
+    copies = by_class(dealt.select("doc_id", "digest", "g"), least, "digest", rows).where("doc_id > least").select(
         F.lit(COPY).alias("kind"), (F.col("g") + 0).alias("g"), F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("n"), F.col("digest").alias("a"),
         *[F.lit(None).cast("binary").alias(c) for c in "bcde"],
     )
@@ -353,7 +363,7 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
             hit = wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k
             for d, f, e, b in zip(doc[hit].tolist(), first[hit].tolist(), (last[hit] + SPAN).tolist(), bucket[hit].tolist(), strict=True):
                 text = group.blobs[d][f:e]
-                if group.ids[seen.setdefault(text, d)] < group.ids[d]:  # documents come in the order of their ids
+                if reduce and group.ids[seen.setdefault(text, d)] < group.ids[d]:  # documents come in the order of their ids
                     decided.append((d, f, e - f))
                 else:
                     kept.append((d, f, b, text))
@@ -370,36 +380,22 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
 
     def sort_strings(notes: pa.Table) -> pa.Table:
         """Covered intervals of one bucket's runs, sent back to their groups."""
-        source, doc, start, holder, text_of, decided = [], [], [], [], [], []
-        number: dict[bytes, int] = {}
+        source, doc, start, holder, texts, marks = [], [], [], [], [], []
         for kind, g, n, d, f, size, ids, text in zip(*[notes.column(c).to_pylist() for c in ("kind", "key", "n", "a", "b", "c", "d", "e")], strict=True):
             size = np.frombuffer(size, "<u4").astype(np.int64)
             if kind == DECIDED:
-                decided.append((np.full(n, g), np.frombuffer(d, "<u4"), np.frombuffer(f, "<u4"), size))
+                marks.append((np.full(n, g), np.frombuffer(d, "<u4"), np.frombuffer(f, "<u4"), size))
                 continue
             cut = np.concatenate(([0], np.cumsum(size))).tolist()
             source.append(np.full(n, g))
             doc.append(np.frombuffer(d, "<u4"))
             start.append(np.frombuffer(f, "<u4"))
             holder.append(np.frombuffer(ids, "<i8"))
-            text_of += [number.setdefault(text[s:e], len(number)) for s, e in zip(cut, cut[1:], strict=False)]
-        marks = decided
+            texts += [text[s:e] for s, e in zip(cut, cut[1:], strict=False)]
         if source:
             source, doc, start, holder = map(np.concatenate, (source, doc, start, holder))
-            text_of, texts = np.array(text_of), list(number)
-            length = np.fromiter(map(len, texts), np.int64, len(texts))
-            least = np.full(len(texts), np.iinfo(np.int64).max)
-            np.minimum.at(least, text_of, holder)
-            later = holder > least[text_of]
-            marks.append((source[later], doc[later], start[later], length[text_of[later]]))
-            s, first, last = smallest_holder(texts, least)
-            # Each document that holds a string first loses what an even earlier one has.
-            own = np.flatnonzero(~later)
-            own = own[np.argsort(text_of[own], kind="stable")]
-            lo, hi = np.searchsorted(text_of[own], s), np.searchsorted(text_of[own], s, side="right")
-            which = np.repeat(np.arange(len(s)), hi - lo)
-            entry = own[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]]
-            marks.append((source[entry], doc[entry], start[entry] + first[which], last[which] - first[which] + SPAN))
+            s, first, last = smallest_holder(texts, holder)
+            marks.append((source[s], doc[s], start[s] + first, last - first + SPAN))
         if not marks:
             return packed([])
         g, d, f, n = (np.concatenate([m[k] for m in marks]).astype(np.int64) for k in range(4))

@@ -214,11 +214,27 @@ def test_repeated_spans_against_brute_force(spark, odd, empty):
     texts += [texts[int(r.integers(40))][7:90] + "é" * 60 for _ in range(4)]
     got = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.repeated_spans(docs_frame(spark, texts)).collect()}
     assert got == brute.repeated(list(enumerate(texts)))
+    plain = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.repeated_spans(docs_frame(spark, texts), reduce=False).collect()}
+    assert plain == got  # suffix arrays alone
+    # One passage in every third document with other text on either side.
+    hot = [prose(k, 12) + (passage if k % 3 == 0 else "") + prose(1000 + k, 12) for k in range(300)]
+    got = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.repeated_spans(docs_frame(spark, hot)).collect()}
+    assert got == brute.repeated(list(enumerate(hot)))
     rows = suffix_dedup.repeated_spans(odd, ("lang", "g"), as_text=True).toPandas()
     assert len(rows) == 8 and rows.set_index("doc_id").n_removed[3] == rows.set_index("doc_id").n_bytes[3] and rows.carry.iloc[0]["g"] == "g"
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def test_common_prefixes_are_lengths():
+    r = np.random.default_rng(8)
+    t = np.concatenate((r.integers(97, 99, 4000), np.full(200, 97))).astype(np.uint8)
+    w, a, b = suffix_dedup.words(t), r.integers(0, 4100, 3000), r.integers(0, 4100, 3000)
+    found = suffix_dedup.common_prefixes(a, b, w, 50)
+    padded = bytes(t) + bytes(80)
+    for x, y, n in zip(a.tolist(), b.tolist(), found.tolist()):
+        assert n == next((k for k in range(50) if padded[x + k] != padded[y + k]), 50)
+
+
 # ---- fingerprints ----------------------------------------------------------
 
 
