@@ -22,11 +22,11 @@ Documents are dealt to groups of bounded size once; all passes read that one
 exchange.  Between passes travel packed rows (a group's part for a bucket), a
 few bytes an anchor.
 
-Two reductions come before the shuffles, because they cost no shuffle and take
-what many documents share off the buckets; both are exact, since strings that are
-equal have equal windows: exact copies (1), and of equal runs inside one group all
-but the smallest document's.  What different groups share is left to the suffix
-arrays.  ``reduce`` turns both off; tests hold the results of both ways together.
+Three reductions take what many documents share off the shuffles and the suffix
+arrays, whose direct sort is slow on long ties: exact copies (1); of equal runs
+inside one group, and then inside one bucket, all but the smallest document's.
+They are exact, since equal strings have equal windows.  ``reduce=False`` turns all
+three off, and suffix arrays decide every byte; tests hold both results together.
 
 Defined cases: null text is empty; texts shorter than ``span`` bytes stay; rows
 with a null doc_id are left out, having no order; rows with equal doc_id are
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bounded_batches, by_class, shuffle_width, text_or_empty
+from parlance.llm.common import bounded_batches, by_class, durable, shuffle_width, text_or_empty
 
 SPAN, GRAM = 50, 20
 #: Bytes of text in one group of documents, and in one bucket of runs.
@@ -285,8 +285,9 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     buckets = max(shuffle_width(spark), -(-total // BUCKET_BYTES))
     dealt = base.select("doc_id", F.unhex(F.md5("bytes")).alias("digest"), "bytes", "carry", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("g"))
 
-    least = dealt.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1 if reduce else F.lit(False))
-    copies = by_class(dealt.select("doc_id", "digest", "g"), least, "digest", rows).where("doc_id > least").select(
+    keys = durable(dealt.select("doc_id", "digest", "g"))
+    least = keys.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1 if reduce else F.lit(False))
+    copies = by_class(keys, least, "digest", rows).where("doc_id > least").select(
         F.lit(COPY).alias("kind"), (F.col("g") + 0).alias("g"), F.col("doc_id").alias("key"), F.lit(0).cast("long").alias("n"), F.col("digest").alias("a"),
         *[F.lit(None).cast("binary").alias(c) for c in "bcde"],
     )
@@ -380,7 +381,8 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
 
     def sort_strings(notes: pa.Table) -> pa.Table:
         """Covered intervals of one bucket's runs, sent back to their groups."""
-        source, doc, start, holder, texts, marks = [], [], [], [], [], []
+        source, doc, start, holder, texts, text_of, marks = [], [], [], [], [], [], []
+        number: dict[bytes, int] = {}
         for kind, g, n, d, f, size, ids, text in zip(*[notes.column(c).to_pylist() for c in ("kind", "key", "n", "a", "b", "c", "d", "e")], strict=True):
             size = np.frombuffer(size, "<u4").astype(np.int64)
             if kind == DECIDED:
@@ -391,11 +393,26 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
             doc.append(np.frombuffer(d, "<u4"))
             start.append(np.frombuffer(f, "<u4"))
             holder.append(np.frombuffer(ids, "<i8"))
-            texts += [text[s:e] for s, e in zip(cut, cut[1:], strict=False)]
+            for s, e in zip(cut, cut[1:], strict=False):
+                at = number.setdefault(text[s:e], len(texts)) if reduce else len(texts)
+                if at == len(texts):
+                    texts.append(text[s:e])
+                text_of.append(at)
         if source:
             source, doc, start, holder = map(np.concatenate, (source, doc, start, holder))
-            s, first, last = smallest_holder(texts, holder)
-            marks.append((source[s], doc[s], start[s] + first, last - first + SPAN))
+            text_of, length = np.array(text_of), np.fromiter(map(len, texts), np.int64, len(texts))
+            least = np.full(len(texts), np.iinfo(np.int64).max)
+            np.minimum.at(least, text_of, holder)
+            later = holder > least[text_of]
+            marks.append((source[later], doc[later], start[later], length[text_of[later]]))
+            s, first, last = smallest_holder(texts, least)
+            # Each document that holds a string first loses what an even earlier one has.
+            own = np.flatnonzero(~later)
+            own = own[np.argsort(text_of[own], kind="stable")]
+            lo, hi = np.searchsorted(text_of[own], s), np.searchsorted(text_of[own], s, side="right")
+            which = np.repeat(np.arange(len(s)), hi - lo)
+            entry = own[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]]
+            marks.append((source[entry], doc[entry], start[entry] + first[which], last[which] - first[which] + SPAN))
         if not marks:
             return packed([])
         g, d, f, n = (np.concatenate([m[k] for m in marks]).astype(np.int64) for k in range(4))
