@@ -168,15 +168,21 @@ def nearest_in_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     if len(queries) and len(rows):
         q, x = matrix(queries), matrix(rows)
         qid, xid = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
+        # Squares of huge components would leave the range of doubles; a power of two scales without rounding.
+        most = max(np.abs(q).max(), np.abs(x).max())
+        scale = 2.0 ** np.floor(np.log2(most)) if most > 1e100 else 1.0
+        q, x = q / scale, x / scale
+        far = float((x * x).sum(axis=1).max())
         for s in range(0, len(q), 256):
             d = squared(q[s : s + 256], x)
-            d[qid[s : s + 256, None] == xid[None]] = np.inf
+            own = qid[s : s + 256, None] == xid[None]
+            d[own] = np.inf
             cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
             # The quick form only sifts; what may be among the nearest is measured exactly.
-            slack = 1e-9 * (1 + (q[s : s + 256] ** 2).sum(axis=1))
+            slack = 1e-9 * ((q[s : s + 256] ** 2).sum(axis=1) + far)
             for i, near in enumerate(d <= (cut + slack)[:, None]):
-                j = np.flatnonzero(near & np.isfinite(d[i]))
-                exact = np.sqrt(((q[s + i] - x[j]) ** 2).sum(axis=1))
+                j = np.flatnonzero(near & ~own[i])
+                exact = scale * np.sqrt(((q[s + i] - x[j]) ** 2).sum(axis=1))
                 o = np.lexsort((xid[j], exact))[:k]
                 out[0].append(np.full(len(o), qid[s + i]))
                 out[1].append(xid[j[o]])

@@ -113,6 +113,12 @@ def test_search_is_exact_on_small_tables(spark):
     assert sorted(got.query_id.unique()) == [0, 50, 100, 150, 200, 250]
 
 
+def test_huge_and_far_vectors_are_found(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [0.0, 3e200]), (3, [1.0, 1.0]), (4, [1.0, 1.0 + 1e-9]), (5, [1.0, 1.0 + 2e-9])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, vector array<double>"), F.col("vec_id") % 3 == 0, k=2).toPandas().sort_values(["query_id", "rank"])
+    assert got[got.query_id == 0].score.tolist() == [1e200, 1e200] and got[got.query_id == 3].vec_id.tolist() == [4, 5]
+
+
 def test_recall_over_learned_partitions(spark, monkeypatch):
     monkeypatch.setattr(ann, "EXACT", 100)
     r = np.random.default_rng(3)
