@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, chat, fingerprints, language_id, line_dedup, packing, sentencepiece_codec, simhash, suffix_dedup, token_counts
+from parlance.llm import ann, chat, fill_in_middle, filter_audit, fingerprints, impact_index, language_id, line_dedup, packing, sentencepiece_codec, simhash, suffix_dedup, token_counts
 from parlance.llm.common import table
 
 #: Two added rows whose texts hold escapes and marks.
@@ -98,6 +98,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return impact_index.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 OP2_SQL = r"""
 WITH p AS (
   SELECT row_number() OVER () AS k, page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.\-]*://([^/?#:]+)', 1) AS site,
@@ -143,8 +158,63 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.z, c.z)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.n ORDER BY list_inner_product(q.z, c.z) DESC, c.vec_id)::INT AS rank
+  FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0
+) WHERE rank <= 5
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+known AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, first IS NOT NULL)] AS fails
+  FROM w LEFT JOIN known USING (doc_id)
+),
+f AS (SELECT unnest(range(1, 6)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS nth FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+s AS (SELECT array_to_string(list_transform(nth, lambda i: 'ABCDE'[i]), '') AS filter_order, step::INT AS step, nth[step] AS own, nth[:step - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE NOT fails[own] AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE fails[own] AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE fails[own] AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails[own] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE fails[own] AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails[own] AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM (SELECT g.*, s.*, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone FROM g, s) GROUP BY part, filter_order, step, own
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT *, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+y AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM x
+),
+z AS (SELECT *, substring(t, 1, lo) AS pre, substring(t, lo + 1, hi - lo) AS mid, substring(t, hi + 1, n - hi) AS suf FROM y)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM z
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_line_dedup, op3_ann, op4_simhash, op5_token_counts, op6_sentencepiece, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat)
+    for f in (op1_packing, op2_line_dedup, op3_ann, op4_simhash, op5_token_counts, op6_sentencepiece, op7_suffix_array, op8_fingerprints, op9_language_id, op10_chat, op11_exact_top_k, op12_filter_audit, op13_fill_in_middle)
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op10_chat": OP10_SQL, "op11_exact_top_k": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
