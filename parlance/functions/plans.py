@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.sources.files import remove
+
 #: Rows up to which a table of one row a community is sent to every executor.
 SMALL = 2000
 
@@ -12,3 +17,38 @@ SMALL = 2000
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` with a broadcast hint if it has ``rows`` rows or fewer; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of tables on the way that all executors see.
+
+    ``spark.checkpoint.dir`` names it, or ``SparkContext.setCheckpointDir`` has.
+    Only a local session may go without: it gets a temporary folder.
+    """
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute a table that many others read, once, and cut its plan off.
+
+    It is a Parquet table of the shared folder, so its size is known to the plans
+    that read it.  Without the cut, plans that read a table in several branches
+    multiply.  ``forget`` removes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/parlance-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables that ``keep`` wrote and nothing will read again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/parlance-kept-" in f}:
+            remove(spark, folder)

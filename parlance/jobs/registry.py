@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.config import DEFAULT
 from parlance.functions import text
-from parlance.jobs.oracle import CHAIN, fold, log2
+from parlance.functions.plans import shared_folder
+from parlance.jobs import sink
+from parlance.jobs.oracle import CHAIN, MOVE, fold, log2
+from parlance.jobs.oracle_graph import GRAPH
 from parlance.jobs.report import Report
-from parlance.operators import lexicon, messages, movement, people, topics, units
+from parlance.operators import community, lexicon, messages, movement, people, topics, units
 from parlance.sources import corpus, tables
+from parlance.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,11 +27,13 @@ ORACLE_SQL: dict[str, str] = {}
 SILENT = ("u1", "u2", "u3")
 
 
-def query(sql: str | None = None, chain: bool = True):
+def query(sql: str | None = None, chain: bool | str = True):
+    """Register a query and its SQL, which follows ``chain``: the common expressions, others, or none."""
+
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = (CHAIN if chain else "") + sql
+            ORACLE_SQL[f.__name__] = (chain if isinstance(chain, str) else CHAIN if chain else "") + sql
         return f
 
     return register
@@ -83,17 +91,47 @@ def month_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT strftime(ts, '%Y-%m') AS month, count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 = 0) AS added,
-  count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0) AS updated, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2) AS unchanged,
-  count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 = 0) + count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0) > 0 AS touched
+  count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0) AS updated, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2) + count(*) FILTER (WHERE doc_id % 10 = 0) AS unchanged,
+  count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 = 0) + count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0) > 0 AS touched,
+  count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0) AS with_file
 FROM msg GROUP BY 1 HAVING count(*) FILTER (WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0) > 0""")
 def corpus_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Receipt of an upsert: two thirds are stored, every second comes again, half of these changed."""
+    """Receipt of an upsert: two thirds are stored, every second comes again, half of these changed, every fifth of them twice.
+
+    Four of five stored messages have an attachment with a local file, which only the
+    stored version knows: one that comes again is unchanged if the file is carried on.
+    """
     n = F.substring_index("id", ":", -1).cast("long")
-    rows = tables.messages(spark, d).withColumn("attachments", F.array().cast("array<struct<name:string,url:string,bytes:bigint,file:string>>"))
-    stored = rows.where(n % 3 != 0).withColumn("month", corpus.month_of(F.col("timestamp")))
-    incoming = rows.where(n % 2 == 0).withColumn("message", F.when(n % 4 == 0, F.concat("message", F.lit(" edited"))).otherwise(F.col("message"))).withColumn("seq", n)
-    receipt = corpus.merge(stored, incoming)[1]
-    return receipt.select("month", *[F.col(c).cast("long").alias(c) for c in ("added", "updated", "unchanged")], "touched")
+    some = F.array().cast("array<struct<name:string,url:string,bytes:bigint,file:string>>")
+
+    def with_files(df: DataFrame, file: Column) -> DataFrame:
+        link = F.concat(F.lit("https://cdn.example.org/a/"), n, F.lit("/f.png?ex=1"))
+        one = F.array(F.struct(F.lit("f.png").alias("name"), link.alias("url"), F.lit(1).cast("long").alias("bytes"), file.cast("string").alias("file")))
+        return df.withColumn("attachments", F.when(n % 5 == 0, some).otherwise(one))
+
+    rows = tables.messages(spark, d)
+    stored = with_files(rows.where(n % 3 != 0), F.concat(F.lit("media/"), n)).withColumn("month", corpus.month_of(F.col("timestamp")))
+    incoming = with_files(rows.where(n % 2 == 0), F.lit(None)).withColumn("message", F.when(n % 4 == 0, F.concat(F.coalesce("message", F.lit("")), F.lit(" edited"))).otherwise(F.col("message")))
+    incoming = incoming.withColumn("seq", F.explode(F.when(n % 10 == 0, F.array(2 * n, 2 * n + 1)).otherwise(F.array(2 * n))))
+    merged, receipt = corpus.merge(stored, incoming)
+    held = merged.groupBy("month").agg(F.count_if(F.exists("attachments", lambda a: a["file"].isNotNull())).alias("with_file"))
+    return receipt.join(held, "month")
+
+
+@query("""SELECT batch::INT AS batch, month, added, updated, unchanged FROM (
+  SELECT 0 AS batch, strftime(ts, '%Y-%m') AS month, count(*) AS added, 0::BIGINT AS updated, 0::BIGINT AS unchanged FROM msg WHERE doc_id % 3 <> 0 GROUP BY 2
+  UNION ALL SELECT 1, strftime(ts, '%Y-%m'), count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 2 = 0), count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0), count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 = 2)
+  FROM msg GROUP BY 2 HAVING count(*) FILTER (WHERE doc_id % 2 = 0) > 0)""")
+def ingest_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger of a history after two batches: two thirds of all, then every second, half of these changed."""
+    n, rows = F.substring_index("id", ":", -1).cast("long"), tables.messages(spark, d)
+    place = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    changed = F.when(n % 4 == 0, F.concat(F.coalesce("message", F.lit("")), F.lit(" edited"))).otherwise(F.col("message"))
+    for batch in (rows.where(n % 3 != 0), rows.where(n % 2 == 0).withColumn("message", changed)):
+        batch.write.mode("append").json(f"{place}/incoming")
+        ingest(spark, f"{place}/incoming", f"{place}/history", f"{place}/checkpoint").awaitTermination()
+    told = corpus.receipts(spark, f"{place}/history")
+    return told.select(F.substring_index("batch", "-", -1).cast("int").alias("batch"), "month", "added", "updated", "unchanged")
 
 
 @query("""SELECT id, min(month) AS month, count(*) AS copies FROM (
@@ -370,12 +408,12 @@ def pruned_edges(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).graph()["pruned"].withColumns({"association": F.round("association", 6), "weight": F.round("weight", 6)})
 
 
-@query()
+@query("SELECT server_id, topic, label, voices, mentions, place FROM topic", chain=GRAPH)
 def topic_families(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).topics()[0]
 
 
-@query()
+@query("SELECT server_id, topic, label, term, kind, uses, voices, lift, rank, label_visible FROM member", chain=GRAPH)
 def topic_units(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).topics()[1]
 
@@ -384,20 +422,24 @@ def shares(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
     g = r.graph()
     series = topics.topic_series(r.topics()[1], g["canonical"], messages.daily_activity(r.tokens))
-    return topics.daily_share(topics.causal(series, ["server_id", "topic"]), "topic", ["server_id"])
+    shared = topics.daily_share(topics.causal(series, ["server_id", "topic"]), "topic", ["server_id"])
+    return shared.withColumns({"smooth": F.round("smooth", 6), "share": F.round("share", 6)})
 
 
-@query()
+@query("SELECT server_id, topic, day, value, round(smooth, 6) AS smooth, round(share, 6) AS share, day_rank FROM tshare", chain=GRAPH)
 def topic_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(spark, d)
 
 
-@query()
+@query("SELECT server_id, day, day_rank, topic, round(share, 6) AS share FROM tshare WHERE day_rank <= 5 AND share > 0", chain=GRAPH)
 def topics_of_day(spark: SparkSession, d: str) -> DataFrame:
     return shares(spark, d).where("day_rank <= 5 and share > 0").select("server_id", "day", "day_rank", "topic", "share")
 
 
-@query()
+@query("""SELECT server_id, day, topic, round(share, 6) AS share FROM (
+  SELECT *, row_number() OVER (PARTITION BY server_id, day ORDER BY label_visible DESC, round(share, 9) DESC, topic) AS k FROM (
+    SELECT u.*, v.label_visible, CASE WHEN sum(smooth) OVER (PARTITION BY u.server_id, day) > 0 THEN smooth / sum(smooth) OVER (PARTITION BY u.server_id, day) ELSE 0 END AS share
+    FROM uday u JOIN (SELECT DISTINCT server_id, kind || '|' || term AS topic, label_visible FROM shown) v ON v.server_id = u.server_id AND v.topic = u.topic) WHERE share > 0) WHERE k = 1""", chain=GRAPH)
 def dominant_units(spark: SparkSession, d: str) -> DataFrame:
     """The visible unit with the largest share of each day, or any unit if none is visible."""
     r = report(spark, d)
@@ -406,15 +448,16 @@ def dominant_units(spark: SparkSession, d: str) -> DataFrame:
     one = members.withColumn("topic", F.concat_ws("|", "kind", "term"))
     series = topics.daily_share(topics.topic_series(one, g["canonical"], messages.daily_activity(r.tokens)).withColumnRenamed("value", "smooth"), "topic", ["server_id"])
     seen = series.join(one.select("server_id", "topic", "label_visible").distinct(), ["server_id", "topic"]).where("share > 0")
-    return lexicon.ranked(seen, F.desc("label_visible"), F.desc(F.round("share", 9)), F.col("topic"), top=1, keys=("server_id", "day")).select("server_id", "day", "topic", "share")
+    return lexicon.ranked(seen, F.desc("label_visible"), F.desc(F.round("share", 9)), F.col("topic"), top=1, keys=("server_id", "day")).select("server_id", "day", "topic", F.round("share", 6).alias("share"))
 
 
-@query()
+@query("SELECT server_id, l, r, weight, documents, relation FROM vis", chain=GRAPH)
 def visible_edges(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).visible_edges()
 
 
-@query()
+@query("""SELECT v.server_id, v.l, v.r, a.day, round(coalesce(greatest(e.seen, e.made), 0) / greatest(a.messages, 1) * 1000, 3) AS value
+FROM vis v JOIN act a ON a.server_id = v.server_id LEFT JOIN eday e ON e.server_id = v.server_id AND e.l = v.l AND e.r = v.r AND e.day = a.day""", chain=GRAPH)
 def visible_edge_series(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
     return topics.edge_series(r.visible_edges(), r.graph()["days"], messages.daily_activity(r.tokens))
@@ -438,11 +481,6 @@ def channel_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.select("server_id", "channel", "day", F.round("value", 3).alias("value"), F.round("smooth", 6).alias("smooth"), F.round("share", 6).alias("share"))
 
 
-MOVE = """server_id, size::INT AS size, term, uses, voices, recent_uses, previous_uses, round(rr, 3) AS recent_rate, round(pr, 3) AS previous_rate,
-  CASE WHEN change_percent IS NULL THEN 'new' WHEN recent_uses = 0 AND previous_uses > 0 THEN 'not seen recently' WHEN change_percent >= 0 THEN change_percent || '% higher' ELSE -change_percent || '% lower' END AS change,
-  change_percent, momentum, round(association, 3) AS association, first_ts::DATE AS first_observed"""
-
-
 @query(f"SELECT {MOVE} FROM cand")
 def movement_candidates(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).moves()
@@ -454,7 +492,7 @@ def movement_directed(spark: SparkSession, d: str) -> DataFrame:
     return movement.directed(report(spark, d).moves())
 
 
-@query()
+@query("SELECT * FROM div", chain=GRAPH)
 def movement_diverse(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).movement()
 
@@ -475,16 +513,16 @@ def person_affinity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT server_id, l, r, round(weight, 6) AS weight FROM aff WHERE (server_id, l, r) IN (SELECT (server_id, l, r) FROM (
   SELECT *, row_number() OVER (PARTITION BY server_id, node ORDER BY round(weight, 9) DESC, other DESC) AS k FROM (SELECT *, l AS node, r AS other FROM aff UNION ALL SELECT *, r, l FROM aff)) WHERE k <= {DEFAULT.person_links})""")
 def pruned_affinity(spark: SparkSession, d: str) -> DataFrame:
-    found = people.affinity(people.participation(messages.tokenized(tables.messages(spark, d))))
-    return topics.strongest(found, DEFAULT.person_links).withColumn("weight", F.round("weight", 6))
+    found = people.strongest_links(people.participation(messages.tokenized(tables.messages(spark, d))), DEFAULT.person_links)
+    return found.withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query("SELECT server_id, circle, speaker, name, messages FROM circ", chain=GRAPH)
 def conversation_circles(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).circles()
 
 
-@query()
+@query("SELECT r.server_id, r.circle, r.place, r.channel, r.messages, l.label FROM croom r JOIN clabel l ON l.server_id = r.server_id AND l.circle = r.circle", chain=GRAPH)
 def circle_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Label and channels of each circle."""
     r = report(spark, d)
@@ -492,18 +530,18 @@ def circle_profiles(spark: SparkSession, d: str) -> DataFrame:
     return rooms.join(people.circle_labels(rooms, r.mix("circle", r.circles())), ["server_id", "circle"])
 
 
-@query()
+@query("SELECT * FROM cmix WHERE place <= 5", chain=GRAPH)
 def circle_topics(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
     return r.mix("circle", r.circles()).where("place <= 5")
 
 
-@query()
+@query("SELECT * FROM clang", chain=GRAPH)
 def circle_language(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).circle_language()
 
 
-@query()
+@query("SELECT * FROM rmix WHERE place <= 4", chain=GRAPH)
 def channel_topics(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).mix("channel").where("place <= 4")
 
@@ -523,7 +561,7 @@ def lexicon_channel_language(spark: SparkSession, d: str) -> DataFrame:
     return people.distinctive(counts, "channel", sizes, r.observed(), r.lexicon(), r.totals, voices=False)
 
 
-@query()
+@query("SELECT * FROM rlang", chain=GRAPH)
 def channel_language(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).channel_language()
 
@@ -537,10 +575,93 @@ def channel_profiles(spark: SparkSession, d: str) -> DataFrame:
     return people.channel_profiles(r.here, r.people()).withColumn("people", F.array_join(F.col("people.name"), ", "))
 
 
-@query()
+@query("SELECT * FROM pmix WHERE place <= 6", chain=GRAPH)
 def person_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Topic mix of each person under a pseudonym."""
-    return report(spark, d).mix("speaker").where("place <= 6").withColumn("key", people.person_key(F.col("speaker"))).drop("speaker")
+    """Topic mix of each person; a report shows it under a pseudonym."""
+    return report(spark, d).mix("speaker").where("place <= 6")
+
+
+# ---- what the clusterings are worth ----------------------------------------
+
+CERTIFICATE = "server_id, nodes, links, communities, modularity, best_move"
+MOVES = "server_id, term, community, own, round(gain, 9) + 0.0 AS gain"
+
+
+def rounded(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in names})
+
+
+@query(f"SELECT {CERTIFICATE} FROM tcom_cert", chain=GRAPH)
+def topic_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """Modularity of the topic graph's communities, and the best move that is left in it."""
+    r = report(spark, d)
+    return rounded(community.certificate(r.graph()["pruned"], r.topic_communities(), DEFAULT.topic_resolution), "modularity", "best_move")
+
+
+@query(f"SELECT {MOVES} FROM tcom_move", chain=GRAPH)
+def topic_moves(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    return rounded(community.moves(r.graph()["pruned"], r.topic_communities(), DEFAULT.topic_resolution), "gain")
+
+
+@query(f"SELECT {CERTIFICATE} FROM pcom_cert", chain=GRAPH)
+def circle_certificate(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    return rounded(community.certificate(r.links(), r.person_communities(), DEFAULT.circle_resolution), "modularity", "best_move")
+
+
+@query(f"SELECT {MOVES} FROM pcom_move", chain=GRAPH)
+def circle_moves(spark: SparkSession, d: str) -> DataFrame:
+    r = report(spark, d)
+    return rounded(community.moves(r.links(), r.person_communities(), DEFAULT.circle_resolution), "gain")
+
+
+# ---- nested tables, flattened ----------------------------------------------
+
+
+def flat(name: str, *fields: str) -> Column:
+    """An array of structs as text: fields by colons, items by bars."""
+    return F.coalesce(F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[x[f] for f in fields])), "|"), F.lit("")).alias(name)
+
+
+def flat_map(name: str) -> Column:
+    return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat_ws(":", e["key"], e["value"])), "|").alias(name)
+
+
+@query("""SELECT p.server_id, p.speaker, name, messages, tokens, active_days, channels AS n_channels, share, coalesce(rooms, '') AS top_channels, coalesce(about, '') AS topics, coalesce(words, '') AS words, coalesce(phrases, '') AS phrases
+FROM ppl p LEFT JOIN (SELECT server_id, speaker, string_agg(channel || ':' || messages, '|' ORDER BY k) AS rooms FROM proom GROUP BY 1, 2) r ON r.server_id = p.server_id AND r.speaker = p.speaker
+LEFT JOIN (SELECT server_id, speaker, string_agg(topic || ':' || label || ':' || mentions || ':' || share || ':' || lift, '|' ORDER BY place) AS about FROM pmix WHERE place <= 6 GROUP BY 1, 2) m ON m.server_id = p.server_id AND m.speaker = p.speaker
+LEFT JOIN (SELECT server_id, speaker, string_agg(term || ':' || uses, '|' ORDER BY term) FILTER (WHERE size = 1) AS words, string_agg(term || ':' || uses, '|' ORDER BY term) FILTER (WHERE size > 1) AS phrases FROM said GROUP BY 1, 2) s
+  ON s.server_id = p.server_id AND s.speaker = p.speaker""", chain=GRAPH)
+def people_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every person with channels, topics and uses of published terms."""
+    rows = report(spark, d).people_table()
+    plain = ("server_id", "speaker", "name", "messages", "tokens", "active_days", "n_channels", "share")
+    return rows.select(*plain, flat("top_channels", "channel", "messages"), flat("topics", "topic", "label", "mentions", "share", "lift"), flat_map("words"), flat_map("phrases"))
+
+
+@query("""SELECT c.server_id, c.circle, c.messages, round(c.messages / greatest(t.messages, 1), 3) AS share, l.label, members, r.channels, coalesce(topics, '') AS topics, coalesce(language, '') AS language FROM (
+  SELECT server_id, circle, sum(messages)::BIGINT AS messages, string_agg(name || ':' || messages, '|' ORDER BY messages DESC, name, speaker) AS members FROM circ GROUP BY 1, 2) c
+JOIN tot t ON t.server_id = c.server_id LEFT JOIN clabel l ON l.server_id = c.server_id AND l.circle = c.circle
+LEFT JOIN (SELECT server_id, circle, string_agg(channel || ':' || messages, '|' ORDER BY place) AS channels FROM croom GROUP BY 1, 2) r ON r.server_id = c.server_id AND r.circle = c.circle
+LEFT JOIN (SELECT server_id, circle, string_agg(topic || ':' || label || ':' || mentions || ':' || share || ':' || lift, '|' ORDER BY place) AS topics FROM cmix WHERE place <= 5 GROUP BY 1, 2) m ON m.server_id = c.server_id AND m.circle = c.circle
+LEFT JOIN (SELECT server_id, circle, string_agg(term || ':' || uses || ':' || voices || ':' || lift, '|' ORDER BY place) AS language FROM clang GROUP BY 1, 2) w ON w.server_id = c.server_id AND w.circle = c.circle""", chain=GRAPH)
+def circle_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every circle with members (names; pytest holds the keys), channels, topics and words."""
+    rows = report(spark, d).circle_table()
+    topic = flat("topics", "topic", "label", "mentions", "share", "lift")
+    return rows.select("server_id", "circle", "messages", "share", "label", flat("members", "name", "messages"), flat("channels", "channel", "messages"), topic, flat("language", "term", "uses", "voices", "lift"))
+
+
+@query("""SELECT r.server_id, r.channel, r.messages, r.voices, r.place, people, coalesce(topics, '') AS topics, coalesce(language, '') AS language FROM room r
+JOIN (SELECT server_id, channel, string_agg(name || ':' || messages, '|' ORDER BY k) AS people FROM roomp GROUP BY 1, 2) p ON p.server_id = r.server_id AND p.channel = r.channel
+LEFT JOIN (SELECT server_id, channel, string_agg(topic || ':' || label || ':' || mentions || ':' || share || ':' || lift, '|' ORDER BY place) AS topics FROM rmix WHERE place <= 4 GROUP BY 1, 2) m ON m.server_id = r.server_id AND m.channel = r.channel
+LEFT JOIN (SELECT server_id, channel, string_agg(term || ':' || uses || ':' || lift, '|' ORDER BY place) AS language FROM rlang GROUP BY 1, 2) w ON w.server_id = r.server_id AND w.channel = r.channel""", chain=GRAPH)
+def channel_table(spark: SparkSession, d: str) -> DataFrame:
+    """The busiest channels with people, topics and words."""
+    rows = report(spark, d).channel_table()
+    topic = flat("topics", "topic", "label", "mentions", "share", "lift")
+    return rows.select("server_id", "channel", "messages", "voices", "place", flat("people", "name", "messages"), topic, flat("language", "term", "uses", "lift"))
 
 
 @query("""SELECT f.server_id, f.speaker, f.size::INT AS size, f.term, sum(f.uses)::BIGINT AS uses FROM fact f JOIN (SELECT server_id, 1 AS size, term FROM lex UNION ALL SELECT server_id, size, term FROM phr) s
@@ -579,3 +700,39 @@ def phrase_lens(spark: SparkSession, d: str) -> DataFrame:
     r = report(spark, d)
     found = r.phrases()
     return lexicon.phrase_lens(found, lexicon.contributions(r.facts, r.lexicon(), found), silent(spark))
+
+
+# ---- the published report --------------------------------------------------
+
+#: Tables of a report, and what the SQL has for each.
+PUBLISHED = {
+    "stats": "tot",
+    "activity": "act",
+    "heat_map": "(SELECT server_id, unnest(range(0, 168)) AS c FROM (SELECT DISTINCT server_id FROM tok))",
+    "lexicon": "lex",
+    "phrases": "phr",
+    "topics": "topic",
+    "units": "member",
+    "series": "tday",
+    "edges": "vis",
+    "edge_series": "(SELECT vis.* FROM vis JOIN act USING (server_id))",
+    "movement": "div",
+    "people": "ppl",
+    "circles": "(SELECT DISTINCT server_id, circle FROM circ)",
+    "channels": "room",
+    "servers": "(SELECT DISTINCT server_id FROM elig)",
+    "coverage": "(SELECT DISTINCT server_id FROM msg WHERE server_id IS NOT NULL)",
+    "sources": "dom",
+    "source_series": "(SELECT dom.* FROM dom JOIN act USING (server_id))",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n_rows, count(*) AS n_read, count(DISTINCT server_id) AS servers FROM {rows}" for name, rows in PUBLISHED.items()), chain=GRAPH)
+def report_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A whole report written, published and read back: rows by the manifest and by the tables."""
+    place = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    with report(spark, d) as r:
+        r.write(place)
+    known = sink.manifest(spark, place).select("name", "n_rows")
+    back = [sink.read_table(spark, place, name).agg(F.lit(name).alias("name"), F.count("*").alias("n_read"), F.countDistinct("server_id").alias("servers")) for name in PUBLISHED]
+    return known.join(reduce(DataFrame.unionByName, back), "name", "left")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import time
-import uuid
 from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.config import DEFAULT, Settings
-from parlance.operators import lexicon, messages, movement, people, topics, units
+from parlance.functions.plans import forget, keep
+from parlance.jobs import sink
+from parlance.operators import community, lexicon, messages, movement, people, topics, units
 
 # Field names that no published table may hold.
-FORBIDDEN = frozenset(
-    "attachments author content member_alias_tokens message message_id message_url nickname reply_to url user_id username".split()
-)
+FORBIDDEN = frozenset({
+    "message",
+    "content",
+    "author",
+    "username",
+    "nickname",
+    "user_id",
+    "message_id",
+    "message_url",
+    "url",
+    "attachments",
+    "reply_to",
+    "member_alias_tokens",
+})
 
 
 def forbidden_fields(kind: T.DataType, path: str = "root") -> list[str]:
@@ -42,39 +52,30 @@ def validate(df: DataFrame) -> DataFrame:
     return df
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Compute a table that many others read, once, and cut its plan off.
-
-    It is checkpointed in the shared folder of ``spark.checkpoint.dir``.  Only a
-    local session may go without that setting: it gets a temporary folder.
-    Without the cut, plans that read a table in several branches multiply.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
-    return df.checkpoint(eager=True)
-
-
 class Report:
     """The tables of a report over canonical messages, each built on demand."""
 
     def __init__(self, stored: DataFrame, words: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, roster: DataFrame | None = None):
         self.settings, self.stored, self.roster = settings, stored, roster
         self._words, self._pairs = words, pairs
+        self.held: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Compute a table that many others read; ``close`` removes it."""
+        self.held.append(keep(df))
+        return self.held[-1]
 
     @cached_property
     def reference_words(self) -> DataFrame:
-        return keep(self._words)
+        return self.keep(self._words)
 
     @cached_property
     def reference_pairs(self) -> DataFrame:
-        return keep(self._pairs)
+        return self.keep(self._pairs)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return keep(messages.tokenized(self.stored, self.settings))
+        return self.keep(messages.tokenized(self.stored, self.settings))
 
     @cached_property
     def current(self) -> DataFrame:
@@ -82,16 +83,16 @@ class Report:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return keep(messages.member_aliases(self.stored, self.roster))
+        return self.keep(messages.member_aliases(self.stored, self.roster))
 
     @cached_property
     def facts(self) -> DataFrame:
         """Base facts of the current window."""
-        return keep(messages.term_facts(self.current))
+        return self.keep(messages.term_facts(self.current))
 
     @cached_property
     def window_words(self) -> DataFrame:
-        return keep(messages.inventory(messages.term_facts(self.current, (1,)), True))
+        return self.keep(messages.inventory(messages.term_facts(self.current, (1,)), True))
 
     @cached_property
     def window_phrases(self) -> DataFrame:
@@ -102,17 +103,17 @@ class Report:
     @cached_property
     def weekly(self) -> DataFrame:
         """Uses of every term by speaker and week, over the whole history."""
-        return keep(messages.weekly_facts(self.tokens))
+        return self.keep(messages.weekly_facts(self.tokens))
 
     @cached_property
     def history(self) -> DataFrame:
         least = F.least(F.lit(self.settings.min_phrase_uses), F.lit(self.settings.min_word_uses))
         found = messages.history_inventory(self.weekly)
-        return keep(found.where((F.col("size") == 1) | (F.col("uses") >= least)))
+        return self.keep(found.where((F.col("size") == 1) | (F.col("uses") >= least)))
 
     @cached_property
     def totals(self) -> DataFrame:
-        return keep(messages.totals(self.tokens))
+        return self.keep(messages.totals(self.tokens))
 
     @cached_property
     def all_totals(self) -> DataFrame:
@@ -123,7 +124,7 @@ class Report:
 
     @cache
     def vocabulary(self) -> DataFrame:
-        return keep(lexicon.vocabulary(self.window_words, self.totals, self.reference_words, self.aliases, self.settings))
+        return self.keep(lexicon.vocabulary(self.window_words, self.totals, self.reference_words, self.aliases, self.settings))
 
     @cache
     def lexicon(self) -> DataFrame:
@@ -132,7 +133,7 @@ class Report:
     @cache
     def phrases(self) -> DataFrame:
         gated = lexicon.gated_phrases(self.window_phrases, self.vocabulary(), self.totals, self.settings)
-        return keep(lexicon.phrases(gated, self.reference_pairs, self.settings))
+        return self.keep(lexicon.phrases(gated, self.reference_pairs, self.settings))
 
     def bigrams(self) -> DataFrame:
         return lexicon.qualified_bigrams(self.phrases(), self.settings)
@@ -144,34 +145,48 @@ class Report:
     def graph(self) -> dict[str, DataFrame]:
         """Units, nodes and edges; ``bigrams`` and ``units`` are read many times."""
         s, observed = self.settings, self.observed()
-        bigrams = keep(self.bigrams())
-        rows = keep(units.unit_rows(self.tokens, bigrams))
-        facts = keep(units.unit_facts(rows))
-        canonical = keep(units.canonical_facts(facts, observed))
-        inventory = keep(units.unit_inventory(canonical, self.totals))
-        nodes = keep(topics.nodes(inventory, self.totals, self.reference_words, self.aliases, bigrams, s))
+        bigrams = self.keep(self.bigrams())
+        rows = self.keep(units.unit_rows(self.tokens, bigrams))
+        facts = self.keep(units.unit_facts(rows))
+        canonical = self.keep(units.canonical_facts(facts, observed))
+        inventory = self.keep(units.unit_inventory(canonical, self.totals))
+        nodes = self.keep(topics.nodes(inventory, self.totals, self.reference_words, self.aliases, bigrams, s))
         surface = units.folded(facts.select("server_id", "term", "kind").distinct(), observed)
         canon = F.when(F.col("kind") == "word", F.col("canonical")).otherwise(F.col("term"))
         pairing = surface.select("server_id", "term", canon.alias("canonical")).join(nodes.select("server_id", F.col("term").alias("canonical")), ["server_id", "canonical"], "left_semi")
-        pairs = keep(units.canonical_pairs(units.pair_documents(rows, pairing, s.pair_distance), observed, bigrams))
+        pairs = self.keep(units.canonical_pairs(units.pair_documents(rows, pairing, s.pair_distance), observed, bigrams))
         days = topics.with_composition(pairs, facts, bigrams, nodes, observed)
-        days = keep(days)
-        edges = keep(topics.edges(days, nodes, self.totals, s))
+        days = self.keep(days)
+        edges = self.keep(topics.edges(days, nodes, self.totals, s))
         return {"days": days, "bigrams": bigrams, "rows": rows, "facts": facts, "canonical": canonical, "inventory": inventory, "nodes": nodes, "pairs": pairs, "edges": edges, "pruned": topics.strongest(edges, s.node_links)}
 
+    @cache
+    def topic_communities(self) -> DataFrame:
+        """Communities of the pruned graph, whose nodes are bounded, so a server is a group."""
+        return self.keep(community.communities(self.graph()["pruned"], self.settings.topic_resolution, split=False))
+
     @cache
     def topics(self) -> tuple[DataFrame, DataFrame]:
         g = self.graph()
-        found, members = topics.families(g["nodes"], g["pruned"], g["canonical"], self.observed(), self.settings)
-        return keep(found), keep(members)
+        found, members = topics.families(g["nodes"], g["pruned"], self.topic_communities(), g["canonical"], self.observed(), self.settings)
+        return self.keep(found), self.keep(members)
 
     @cached_property
     def here(self) -> DataFrame:
-        return keep(people.participation(self.tokens))
+        return self.keep(people.participation(self.tokens))
+
+    @cache
+    def links(self) -> DataFrame:
+        """The strongest links of each person."""
+        return people.strongest_links(self.here, self.settings.person_links)
+
+    @cache
+    def person_communities(self) -> DataFrame:
+        return self.keep(community.communities(self.links(), self.settings.circle_resolution))
 
     @cache
     def circles(self) -> DataFrame:
-        return keep(people.circles(people.affinity(self.here), self.people(), self.settings))
+        return self.keep(people.circles(self.person_communities(), self.people()))
 
     def allowed(self) -> DataFrame:
         return topics.allowed_words(self.lexicon(), self.topics()[1], self.settings)
@@ -224,8 +239,8 @@ class Report:
     def tables(self) -> dict[str, DataFrame]:
         g = self.graph()
         found, members = self.topics()
-        activity = keep(messages.daily_activity(self.tokens, self.settings))
-        shown = keep(self.visible_edges())
+        activity = self.keep(messages.daily_activity(self.tokens, self.settings))
+        shown = self.keep(self.visible_edges())
         raw = messages.eligible(self.stored, self.settings)
         out = {
             "stats": self.totals, "activity": activity, "heat_map": messages.heat_map(self.tokens), "lexicon": self.lexicon(),
@@ -240,22 +255,25 @@ class Report:
             out["symbols"] = messages.symbols(current, 20)
         return out
 
-    def write(self, path: str) -> str:
-        """Validate every table, write all to a folder of their own, then publish that folder.
+    def write(self, path: str, versions: int = 3) -> str:
+        """Validate every table, write all to a new version, then publish it; returns the version.
 
-        A failure on the way leaves the published report as it was.  Returns the
-        folder; ``read_report`` finds the one published last.
+        A failure on the way leaves the published report as it was.
         """
-        checked = {name: validate(df) for name, df in self.tables().items()}
-        spark, version = self.stored.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        for name, df in checked.items():
-            df.write.partitionBy("server_id").parquet(f"{path}/versions/{version}/{name}")
-        # One row in one file: it is there, or it is not.
-        spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{path}/published")
-        return f"{path}/versions/{version}"
+        return sink.publish(self.stored.sparkSession, {name: validate(df) for name, df in self.tables().items()}, path, versions)
+
+    def close(self) -> None:
+        """Remove the tables kept on the way; the report can not be used after."""
+        forget(self.stored.sparkSession, *self.held)
+        self.held.clear()
+
+    def __enter__(self) -> Report:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the report published last."""
-    version = spark.read.schema("version STRING").json(f"{path}/published").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/versions/{version}/{name}")
+    return sink.read_table(spark, path, name)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.config import DEFAULT, Settings
-from parlance.operators.community import communities
+from parlance.functions.plans import forget, keep
 from parlance.operators.lexicon import ln1, log2, ranked
-from parlance.operators.topics import strongest
 
 
 def person_key(speaker: Column) -> Column:
@@ -24,26 +23,96 @@ def participation(tokens: DataFrame) -> DataFrame:
     return tokens.where("is_current").groupBy("server_id", "speaker", "channel").agg(F.count("*").alias("messages"), F.min(F.struct("ts", "id")).alias("first"))
 
 
-def affinity(participation: DataFrame, least: int = 3, salts: int = 16) -> DataFrame:
-    """Weight of two people who share channels; broad rooms count less.
+def rooms_of_regulars(participation: DataFrame, least: int = 3) -> DataFrame:
+    """Participation of people with ``least`` messages, in rooms of two or more of them.
 
-    The join of a room with itself is dealt over ``salts`` keys, so a room of
-    any breadth is the work of many tasks.
+    With ``members`` of the room, and ``broad``, by which its breadth divides a link.
     """
     total = Window.partitionBy("server_id", "speaker")
     rows = participation.withColumn("all", F.sum("messages").over(total)).where(F.col("all") >= least)
     breadth = rows.groupBy("server_id", "channel").agg(F.count("*").alias("members")).where("members >= 2")
-    rows = rows.join(breadth, ["server_id", "channel"]).select("server_id", "channel", "speaker", "messages", "members")
-    left = rows.select("server_id", "channel", "members", F.col("speaker").alias("l"), F.col("messages").alias("a"), F.pmod(F.hash("speaker"), F.lit(salts)).alias("salt"))
-    right = rows.select("server_id", "channel", F.col("speaker").alias("r"), F.col("messages").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = left.join(right, ["server_id", "channel", "salt"]).where("l < r")
-    return met.groupBy("server_id", "l", "r").agg(F.sum(F.sqrt(F.col("a") * F.col("b")) / log2(2 + F.col("members"))).alias("weight"))
+    rows = rows.join(breadth, ["server_id", "channel"])
+    return rows.select("server_id", "channel", "speaker", "messages", "members", log2(2 + F.col("members")).alias("broad"))
+
+
+def salted(left: DataFrame, right: DataFrame, salts: int) -> DataFrame:
+    """Rows of the same room put together; a room of any breadth is the work of many tasks."""
+    left = left.withColumn("salt", F.pmod(F.hash("l"), F.lit(salts)))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["server_id", "channel", "salt"])
+
+
+def affinity(participation: DataFrame, least: int = 3, salts: int = 16) -> DataFrame:
+    """Weight of all two people who share channels; broad rooms count less.
+
+    Every pair of a room is a row here: ``strongest_links`` finds the links that a
+    graph of people keeps without them.
+    """
+    rows = rooms_of_regulars(participation, least)
+    left = rows.select("server_id", "channel", "broad", F.col("speaker").alias("l"), F.col("messages").alias("a"))
+    right = rows.select("server_id", "channel", F.col("speaker").alias("r"), F.col("messages").alias("b"))
+    met = salted(left, right, salts).where("l < r")
+    return met.groupBy("server_id", "l", "r").agg(F.sum(F.sqrt(F.col("a") * F.col("b")) / F.col("broad")).alias("weight"))
 
 
-def circles(affinity: DataFrame, people: DataFrame, settings: Settings = DEFAULT, top: int = 6) -> DataFrame:
-    """(server_id, circle, speaker, name, messages): the largest groups of people."""
-    found = communities(strongest(affinity, settings.person_links), settings.circle_resolution).withColumnRenamed("term", "speaker")
-    rows = found.join(people.select("server_id", "speaker", "name", "messages"), ["server_id", "speaker"])
+def heads(rooms: DataFrame, depth: int) -> DataFrame:
+    """The ``depth`` busiest people of each room; Spark drops the others before the shuffle."""
+    return ranked(rooms, F.desc("messages"), F.desc("speaker"), top=depth, keys=("server_id", "channel"))
+
+
+def candidates(asking: DataFrame, first: DataFrame, salts: int = 16) -> DataFrame:
+    """(server_id, l, r): people who ask, with everyone at the head of their rooms."""
+    left = asking.select("server_id", "channel", F.col("speaker").alias("l"))
+    right = first.select("server_id", "channel", F.col("speaker").alias("r"))
+    return salted(left, right, salts).where("l <> r").select("server_id", "l", "r").distinct()
+
+
+def strongest_links(participation: DataFrame, top: int = 8, least: int = 3, depth: int = 64, growth: int = 8) -> DataFrame:
+    """(server_id, l, r, weight): the links of ``affinity`` among the ``top`` of either end.
+
+    A threshold search: each person meets the ``depth`` busiest people of each of
+    their rooms, and the weight of these links is summed over all shared rooms.
+    Someone not met stands behind the last of the head in every shared room, so the
+    sum of the person's roots with these last ones bounds any other link.  Who has
+    ``top`` links beyond that bound is done; the others ask again, deeper.  Of links
+    of equal weight (to nine places) the larger name counts, and an equal one that
+    was not met has a smaller name than the last of each head.
+
+    A first round makes ``depth`` pairs a row of participation, however broad the
+    rooms; only people whose bound is too near go on.
+    """
+    spark = participation.sparkSession
+    rooms = keep(rooms_of_regulars(participation, least))
+    asking, out = rooms, []
+    while True:
+        first = keep(heads(rooms, depth).select("server_id", "channel", "speaker", "messages", "place"))
+        ends = lambda name, n: rooms.select("server_id", "channel", F.col("speaker").alias(name), F.col("messages").alias(n), "broad")
+        shared = candidates(asking, first).join(ends("l", "a"), ["server_id", "l"]).join(ends("r", "b").drop("broad"), ["server_id", "r", "channel"])
+        weighed = shared.groupBy("server_id", "l", "r").agg(F.sum(F.sqrt(F.col("a") * F.col("b")) / F.col("broad")).alias("weight"))
+        best = keep(ranked(weighed, F.desc(F.round("weight", 9)), F.desc("r"), top=top, keys=("server_id", "l")))
+        last = first.where(F.col("place") == depth).select("server_id", "channel", F.col("messages").alias("b"), F.col("speaker").alias("behind"))
+        beyond = asking.where(F.col("members") > depth).join(last, ["server_id", "channel"])
+        bound = beyond.groupBy("server_id", F.col("speaker").alias("l")).agg(F.sum(F.sqrt(F.col("messages") * F.col("b")) / F.col("broad")).alias("bound"), F.min("behind").alias("behind"))
+        worst = best.where(F.col("place") == top).select("server_id", "l", F.round("weight", 9).alias("weight"), "r")
+        limit = F.round("bound", 9)
+        proved = F.coalesce((F.col("weight") > limit) | ((F.col("weight") == limit) & (F.col("r") >= F.col("behind"))), F.lit(False))
+        open_ = keep(bound.join(worst, ["server_id", "l"], "left").where(~proved).select("server_id", F.col("l").alias("speaker")))
+        out.append(best.join(open_.withColumnRenamed("speaker", "l"), ["server_id", "l"], "left_anti"))
+        if open_.isEmpty():
+            break
+        asking, depth = rooms.join(open_, ["server_id", "speaker"], "left_semi"), depth * growth
+    every = reduce(DataFrame.unionByName, out)
+    found = keep(every.groupBy("server_id", F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).agg(F.max("weight").alias("weight")))
+    forget(spark, rooms)
+    return found
+
+
+def circles(found: DataFrame, people: DataFrame, top: int = 6) -> DataFrame:
+    """(server_id, circle, speaker, name, messages): the largest groups of people.
+
+    ``found``: the communities (server_id, term, community) of the graph of people.
+    """
+    rows = found.withColumnRenamed("term", "speaker").join(people.select("server_id", "speaker", "name", "messages"), ["server_id", "speaker"])
     groups = rows.groupBy("server_id", "community").agg(F.count("*").alias("n"), F.sum("messages").alias("m")).where("n >= 2")
     groups = ranked(groups, F.desc("m"), F.col("community"), top=top, name="circle")
     return rows.join(groups.select("server_id", "community", "circle"), ["server_id", "community"]).select("server_id", "circle", "speaker", "name", "messages")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parlance.config import DEFAULT, Settings
 from parlance.functions import text
-from parlance.operators.community import communities
 from parlance.operators.lexicon import ln1, log2, ranked, with_word_rate
 from parlance.operators.units import folded
 
@@ -78,13 +77,14 @@ def strongest(edges: DataFrame, top: int) -> DataFrame:
     return edges.join(kept, ["server_id", "l", "r"], "left_semi")
 
 
-def families(nodes: DataFrame, pruned: DataFrame, canonical: DataFrame, observed: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def families(nodes: DataFrame, pruned: DataFrame, found: DataFrame, canonical: DataFrame, observed: DataFrame, settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(topics, members): the strongest families, and their units with rank.
 
+    ``found``: the communities (server_id, term, community) of the pruned graph.
+
     Topics: server_id, topic, label, voices, mentions, place.  Members:
     server_id, topic, label, term, kind, uses, voices, lift, rank, label_visible.
     """
-    found = communities(pruned, settings.topic_resolution)
     degree = pruned.select("server_id", F.col("l").alias("term"), "weight").unionByName(pruned.select("server_id", F.col("r").alias("term"), "weight"))
     degree = degree.groupBy("server_id", "term").agg(F.sum("weight").alias("degree"))
     placed = nodes.join(found, ["server_id", "term"], "left").join(degree, ["server_id", "term"], "left")
@@ -146,7 +146,7 @@ def visible_edges(edges: DataFrame, members: DataFrame, settings: Settings = DEF
     both = edges.join(shown.withColumnRenamed("term", "l"), ["server_id", "l"], "left_semi").join(shown.withColumnRenamed("term", "r"), ["server_id", "r"], "left_semi")
     kept = strongest(both, settings.visible_links)
     top = F.max("weight").over(Window.partitionBy("server_id"))
-    return kept.select("server_id", "l", "r", F.round(F.col("weight") / top, 4).alias("weight"), "documents", "relation")
+    return kept.select("server_id", "l", "r", F.round(F.col("weight") / F.when(top > 0, top).otherwise(1.0), 4).alias("weight"), "documents", "relation")
 
 
 def edge_series(shown: DataFrame, days: DataFrame, activity: DataFrame) -> DataFrame:

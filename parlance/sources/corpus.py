@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance import schemas
 from parlance.functions import text
+from parlance.sources import files
 
 
 def month_of(timestamp: Column) -> Column:
@@ -67,49 +70,112 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
 
 
-def keep_files(attachments: Column, previous: Column) -> Column:
-    """Incoming attachments with the local files the previous row knew."""
-    known = F.filter(F.coalesce(previous, F.array()), lambda a: F.coalesce(a["file"] != "", F.lit(False)))
-    file_of = lambda a: F.element_at(F.filter(known, lambda k: url_path(k["url"]) == url_path(a["url"])), -1)["file"]
-    found = lambda a: F.when(F.exists(known, lambda k: url_path(k["url"]) == url_path(a["url"])), file_of(a))
-    return F.transform(attachments, lambda a: a.withField("file", F.coalesce(F.nullif(a["file"], F.lit("")), found(a))))
+def known_files(versions: DataFrame) -> DataFrame:
+    """(month, id, n, files): for each version, by path, the local files its predecessor knew.
+
+    ``versions``: (month, id, n, attachments).  A file goes on from version to version
+    as long as each has an attachment of that path: with a file of its own in the last
+    one of these a version names it anew, else it is the one known, or the last named.
+    """
+    item = versions.select("month", "id", "n", F.posexplode("attachments").alias("at", "a"))
+    file = F.nullif(F.col("a")["file"], F.lit(""))
+    item = item.select("month", "id", "n", "at", url_path(F.col("a")["url"]).alias("path"), file.alias("file"))
+    named = item.groupBy("month", "id", "n", "path").agg(F.max_by("file", "at").alias("last"), F.max_by("file", F.when(F.col("file").isNotNull(), F.col("at"))).alias("own"))
+    of = Window.partitionBy("month", "id", "path").orderBy("n")
+    named = named.withColumn("run", F.col("n") - F.row_number().over(of))
+    run = Window.partitionBy("month", "id", "path", "run").orderBy("n")
+    named = named.withColumn("since", F.count("last").over(run))
+    told = Window.partitionBy("month", "id", "path", "run", "since").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = named.withColumn("file", F.first(F.coalesce("last", "own"), ignorenulls=True).over(told))
+    before = named.withColumn("file", F.lag("file").over(run)).where("file is not null")
+    return before.groupBy("month", "id", "n").agg(F.map_from_entries(F.collect_list(F.struct("path", "file"))).alias("files"))
 
 
 def merge(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upsert a batch: (all rows after it with ``month``, receipt by month).
 
-    ``incoming`` has ``seq``, the order in the batch.  A repeat counts against
-    the version before it; the last one stays.  The versions of one id are
-    folded together, and ids spread evenly, so no month is the work of one task.
+    ``incoming`` has ``seq``, the order in the batch.  A repeat counts against the
+    version before it; the last one stays.  Attachments keep the local files that
+    the version before knew by their path.  Versions of an id are compared by
+    windows over sorted rows, so they are never one list in memory.
     """
     columns = [c for c in incoming.columns if c != "seq"]
     record = F.struct(*columns)
     new = require_ids(incoming).select(month_of(F.col("timestamp")).alias("month"), "id", "seq", record.alias("rec"))
-    new = new.groupBy("month", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rec"))), lambda x: x["rec"]).alias("batch"))
-    old = stored.select("month", "id", record.alias("old"))
-    both = old.join(new, ["month", "id"], "full_outer")
-
-    def step(acc: Column, rec: Column) -> Column:
-        now = rec.withField("attachments", keep_files(rec["attachments"], acc["rec"]["attachments"])) if "attachments" in columns else rec
-        same = now.eqNullSafe(acc["rec"])
-        count = lambda name, one: (acc[name] + one.cast("int")).alias(name)
-        return F.struct(now.alias("rec"), count("added", acc["rec"].isNull()), count("updated", acc["rec"].isNotNull() & ~same), count("unchanged", acc["rec"].isNotNull() & same))
-
-    start = F.struct(F.col("old").alias("rec"), *[F.lit(0).alias(n) for n in ("added", "updated", "unchanged")])
-    folded = both.select("month", F.aggregate(F.coalesce("batch", F.array()), start, step).alias("f"))
-    rows = folded.select("month", "f.rec.*")
-    receipt = folded.groupBy("month").agg(*[F.sum(f"f.{n}").alias(n) for n in ("added", "updated", "unchanged")])
+    old = stored.select("month", "id", F.lit(None).cast("long").alias("seq"), record.alias("rec"))
+    order = Window.partitionBy("month", "id").orderBy(F.col("seq").asc_nulls_first(), "rec")
+    every = old.unionByName(new).withColumn("n", F.row_number().over(order))
+    if "attachments" in columns:
+        files_of = known_files(every.select("month", "id", "n", "rec.attachments"))
+        every = every.join(files_of, ["month", "id", "n"], "left")
+        file = lambda a: F.coalesce(F.nullif(a["file"], F.lit("")), F.try_element_at("files", url_path(a["url"])))
+        filled = F.col("rec").withField("attachments", F.transform("rec.attachments", lambda a: a.withField("file", file(a))))
+        every = every.withColumn("rec", F.when(F.col("seq").isNull(), F.col("rec")).otherwise(filled))
+    by_number = Window.partitionBy("month", "id").orderBy("n")
+    every = every.withColumns({"before": F.lag("rec").over(by_number), "after": F.lead("n").over(by_number)})
+    rows = every.where("after is null").select("month", "rec.*")
+    came, same = F.col("seq").isNotNull(), F.col("rec").eqNullSafe(F.col("before"))
+    receipt = every.groupBy("month").agg(
+        F.count_if(came & (F.col("n") == 1)).alias("added"), F.count_if(came & (F.col("n") > 1) & ~same).alias("updated"), F.count_if(came & (F.col("n") > 1) & same).alias("unchanged")
+    )
     return rows, receipt.withColumn("touched", F.col("added") + F.col("updated") > 0)
 
 
-def write_months(rows: DataFrame, receipt: DataFrame, path: str) -> None:
-    """Write the touched months, each sorted by moment and id, over their old files."""
-    touched = receipt.where("touched").select("month")
-    kept = rows.join(touched, "month", "left_semi")
-    (
-        kept.repartitionByRange("month", "timestamp").sortWithinPartitions("month", "timestamp", "id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").json(path)
-    )
+# A batch of changes goes to the history in three steps: its months are written whole
+# to a folder of their own, a ledger row says so, and the folders take their places.
+# Before the ledger row nothing has changed; after it, whatever stopped can be finished.
+STAGED, REPLACED, LEDGER = "_staged", "_replaced", "_ledger"
+RECEIPT = "batch STRING, month STRING, added BIGINT, updated BIGINT, unchanged BIGINT, touched BOOLEAN"
+
+
+def stage_months(rows: DataFrame, receipt: DataFrame, path: str, batch: str) -> None:
+    """Write the touched months of a batch, each sorted by moment and id, beside the history."""
+    kept = rows.join(receipt.where("touched").select("month"), "month", "left_semi")
+    ordered = kept.repartitionByRange("month", "timestamp").sortWithinPartitions("month", "timestamp", "id")
+    ordered.write.mode("overwrite").partitionBy("month").json(f"{path}/{STAGED}/{batch}")
+
+
+def enter_ledger(receipt: DataFrame, path: str, batch: str) -> None:
+    """The receipt of a batch, in one file that is there or not: from here on the batch counts."""
+    receipt.select(F.lit(batch).alias("batch"), "month", "added", "updated", "unchanged", "touched").coalesce(1).write.mode("overwrite").json(f"{path}/{LEDGER}/{batch}")
+
+
+def in_ledger(spark: SparkSession, path: str, batch: str) -> bool:
+    return files.written(spark, f"{path}/{LEDGER}/{batch}")
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Finish what the ledger says and drop what it does not know.
+
+    Staged months take the place of the stored ones, which are put aside first and
+    removed when all have moved.  It can stop anywhere and be called again.  One
+    writer at a time may work on a history.
+    """
+    for batch in files.children(spark, f"{path}/{STAGED}"):
+        staged, aside = f"{path}/{STAGED}/{batch}", f"{path}/{REPLACED}/{batch}"
+        if in_ledger(spark, path, batch):
+            for month in files.children(spark, staged):
+                if month.startswith("month="):
+                    if files.exists(spark, f"{path}/{month}"):
+                        files.move(spark, f"{path}/{month}", f"{aside}/{month}")
+                    files.move(spark, f"{staged}/{month}", f"{path}/{month}")
+        files.remove(spark, staged)
+    files.remove(spark, f"{path}/{REPLACED}")
+
+
+def receipts(spark: SparkSession, path: str) -> DataFrame:
+    """What each batch did to each month, from the ledger."""
+    batches = [f"{path}/{LEDGER}/{b}" for b in files.children(spark, f"{path}/{LEDGER}")]
+    return spark.read.schema(RECEIPT).json(batches) if batches else spark.createDataFrame([], RECEIPT)
+
+
+def write_months(rows: DataFrame, receipt: DataFrame, path: str, batch: str | None = None) -> None:
+    """Put a merged batch into the history; a stop at any point loses neither old nor new months."""
+    spark, batch = rows.sparkSession, batch or uuid.uuid4().hex
+    settle(spark, path)
+    stage_months(rows, receipt, path, batch)
+    enter_ledger(receipt, path, batch)
+    settle(spark, path)
 
 
 def rolling_feed(messages: DataFrame, now: str, hours: float) -> DataFrame:

@@ -68,3 +68,38 @@ def test_ingest_is_idempotent(spark, tmp_path):
     ingest(spark, incoming, history, str(tmp_path / "cp2")).awaitTermination()
     assert {(r.id, r.message, r.month) for r in corpus.read_history(spark, history).collect()} == {("a", "z", "2026-06"), ("b", "y", "2026-07")}
     assert schemas.MESSAGE
+
+
+def plain_merge(old, new):
+    """(last version by id, receipt): versions folded one after another, as lists."""
+    path = lambda u: u.partition("?")[0]
+    rows, receipt = {i: (i, ts, t, a) for i, ts, t, a, _, _ in old}, [0, 0, 0]
+    for i, ts, t, a, _, _ in sorted(new, key=lambda m: m[5]):
+        before = rows.get(i)
+        known = [x for x in (before[3] or [] if before else []) if x[3]]
+        find = lambda u: next((k[3] for k in reversed(known) if path(k[1]) == path(u)), None)  # noqa: E731, B023
+        now = (i, ts, t, a and [(n, u, b, f or find(u)) for n, u, b, f in a])
+        receipt[0 if before is None else 2 if now == before else 1] += 1
+        rows[i] = now
+    return rows, tuple(receipt)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_is_the_fold_of_all_versions(spark, seed):
+    r = __import__("random").Random(seed)
+    some = lambda: [(f"https://c/{r.choice('pq')}.png?ex={r.randrange(2)}", r.choice([None, None, "", "m/1", "m/2"])) for _ in range(r.randrange(4))]
+    make = lambda i, seq: message(i, seq, files=some(), text=r.choice(["a", "b"]))
+    old, new = [make(f"i{k}", 0) for k in range(6)], [make(f"i{r.randrange(9)}", s) for s in range(80)]
+    old = [(*m[:3], [(n, u, b, f or None) for n, u, b, f in m[3]], *m[4:]) for m in old]
+    rows, receipt = merged(spark, old, new)
+    want, counts = plain_merge(old, new)
+    assert receipt == counts and {x.id: (x.message, [tuple(a) for a in x.attachments]) for x in rows} == {i: (m[2], m[3]) for i, m in want.items()}
+
+
+def test_an_id_of_very_many_versions_streams(spark):
+    n = 60_000
+    new = spark.range(n).select(F.lit("a").alias("id"), F.lit("2026-06-30T23:59:00Z").alias("timestamp"), (F.col("id") / 2).cast("long").cast("string").alias("message"), F.col("id").alias("seq"))
+    new = new.withColumn("attachments", F.array(F.struct(F.lit("n").alias("name"), F.lit("https://c/x").alias("url"), F.lit(1).cast("long").alias("bytes"), F.when(F.col("seq") == 5, "m/5").alias("file"))))
+    stored = new.limit(0).drop("seq").withColumn("month", F.lit(""))
+    rows, receipt = corpus.merge(stored, new)
+    assert tuple(receipt.first())[1:4] == (1, n // 2, n // 2 - 1) and rows.first().attachments[0]["file"] == "m/5"

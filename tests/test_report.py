@@ -6,8 +6,8 @@ import pytest
 from parlance.config import Settings
 from parlance.jobs.report import Report, validate
 from parlance.operators.community import partition
-from parlance.operators.movement import one_row_an_event
 from parlance.operators.people import person_key
+from plain import one_row_an_event
 from pyspark.sql import functions as F
 
 TWOS = Settings(min_word_uses=2, min_phrase_uses=2, min_voices=2, unit_min_uses=2, unit_min_voices=2, unit_min_days=2, min_association=0.0, topic_resolution=1.0)
