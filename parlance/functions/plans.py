@@ -19,6 +19,22 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes a task should have before a table is left as its files are cut.
+SHARE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is too small to be cut that far by itself.
+
+    A Parquet file is read by as many tasks as it has row groups, so a small table
+    often is one task's work.  A table of over ``SHARE`` bytes a core stays as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < size < cores * SHARE else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of tables on the way that all executors see.
 

@@ -152,6 +152,69 @@ def rolling_feed(spark: SparkSession, d: str) -> DataFrame:
     return corpus.feed_summary(corpus.rolling_feed(tables.messages(spark, d), "2024-07-29 00:00:00", 720))
 
 
+def feed_servers(spark: SparkSession, d: str) -> DataFrame:
+    """Languages as servers of a feed, sources as the places that were read."""
+    docs = tables.table(spark, d, "documents").where("lang is not null")
+    coverage = F.struct(
+        F.countDistinct("source").alias("targets"), F.count_if(F.col("doc_id") % 5 == 0).alias("public_archived_threads"),
+        F.count_if(F.col("doc_id") % 50 == 0).alias("private_archived_threads"), F.lit("joined").alias("private_archived_scope"),
+    )
+    return docs.groupBy(F.concat(F.lit("Server "), "lang").alias("name"), F.col("lang").alias("id")).agg(
+        F.lit(None).cast("string").alias("icon"), F.count("*").alias("member_count"), F.array(F.first("lang")).alias("member_aliases"), coverage.alias("coverage")
+    )
+
+
+@query("""SELECT server_id, count(*) AS message_count, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last, '2024-07-29T00:00:00Z' AS generated,
+  sum(('0x' || md5(coalesce(message, ''))[1:8])::BIGINT)::BIGINT AS texts_sum
+FROM msg WHERE ts >= TIMESTAMP '2024-07-29' - INTERVAL 240 HOUR GROUP BY 1""")
+def feed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A rolling feed written with its wrapper and read back, texts and all."""
+    place = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    corpus.write_feed(corpus.rolling_feed(tables.messages(spark, d), "2024-07-29 00:00:00", 240), feed_servers(spark, d), place, "2024-07-29T00:00:00Z", 240)
+    rows, _ = corpus.read_feed_folder(spark, place)
+    digest = F.conv(F.left(F.md5(F.coalesce("message", F.lit(""))), F.lit(8)), 16, 10).cast("long")
+    return rows.groupBy("server_id").agg(F.count("*").alias("message_count"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.max("generated").alias("generated"), F.sum(digest).alias("texts_sum"))
+
+
+@query("""SELECT '2024-05-01' AS snapshot, 'discord:' || server_id AS server_id, count(*) AS message_count, min(id) AS first_id, max(member_count) AS member_count FROM msg LEFT JOIN (SELECT lang, count(*) AS member_count FROM documents GROUP BY 1) n ON n.lang = server_id
+  WHERE ts >= TIMESTAMP '2024-05-01' - INTERVAL 240 HOUR AND ts < TIMESTAMP '2024-05-01' GROUP BY 2
+UNION ALL SELECT '2024-07-29', server_id, count(*), min(id), max(member_count) FROM msg LEFT JOIN (SELECT lang, count(*) AS member_count FROM documents GROUP BY 1) n ON n.lang = server_id WHERE ts >= TIMESTAMP '2024-07-29' - INTERVAL 240 HOUR GROUP BY 2""")
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Two dated snapshots read together; the older one's messages have no server id yet."""
+    root, rows = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", tables.messages(spark, d)
+    old = corpus.rolling_feed(rows, "2024-05-01 00:00:00", 240).where(F.to_timestamp("timestamp") < F.lit("2024-05-01").cast("timestamp"))
+    for part, day in ((old.drop("server_id", "type"), "2024-05-01"), (corpus.rolling_feed(rows, "2024-07-29 00:00:00", 240), "2024-07-29")):
+        corpus.write_snapshot(part, feed_servers(spark, d), root, f"{day}T00:00:00Z", 240)
+    found, servers = corpus.read_snapshots(spark, root)
+    members = servers.select("snapshot", F.col("id").alias("bare"), "member_count")
+    counted = found.groupBy("snapshot", "server_id").agg(F.count("*").alias("message_count"), F.min("id").alias("first_id"))
+    joined = counted.withColumn("bare", F.regexp_replace("server_id", "^discord:", "")).join(members, ["snapshot", "bare"], "left")
+    return joined.select("snapshot", "server_id", "message_count", "first_id", "member_count")
+
+
+@query("""SELECT m.server_id, stored, eligible, '2024-07-29T00:00:00Z' AS collector_generated, 3::BIGINT AS channels_skipped_no_access, member_count, targets, public_archived_threads, private_archived_threads, 'joined' AS private_archived_scope
+FROM (SELECT server_id, count(*) AS stored, count(*) FILTER (WHERE NOT is_bot) AS eligible FROM msg WHERE server_id IS NOT NULL GROUP BY 1) m
+JOIN (SELECT lang, count(*) AS member_count, count(DISTINCT source) AS targets, count(*) FILTER (WHERE doc_id % 5 = 0) AS public_archived_threads, count(*) FILTER (WHERE doc_id % 50 = 0) AS private_archived_threads FROM documents GROUP BY 1) s ON s.lang = m.server_id""")
+def collection_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Stored and eligible records beside what the last of two collections said."""
+    said = feed_servers(spark, d).withColumns({"generated": F.lit("2024-07-29T00:00:00Z"), "channels_skipped_no_access": F.lit(3).cast("long")})
+    older = said.withColumns({"generated": F.lit("2024-07-28T00:00:00Z"), "channels_skipped_no_access": F.lit(9).cast("long"), "member_count": F.lit(1).cast("long")})
+    return messages.collection_coverage(tables.messages(spark, d), said.unionByName(older))
+
+
+@query("""SELECT reason, count(*) AS records FROM (
+  SELECT CASE WHEN server_id IS NULL OR doc_id % 31 = 0 THEN 'no community' WHEN is_bot THEN 'bot' WHEN doc_id % 29 = 0 THEN 'no readable moment' WHEN doc_id % 13 = 0 THEN 'not a message or reply' END AS reason FROM msg) WHERE reason IS NOT NULL GROUP BY 1""")
+def skipped_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records no report can use, by the first reason that holds."""
+    n = F.substring_index("id", ":", -1).cast("long")
+    rows = tables.messages(spark, d).withColumns({
+        "server_id": F.when(n % 31 == 0, F.when(n % 2 == 0, "")).otherwise(F.col("server_id")),
+        "timestamp": F.when(n % 29 == 0, "some day").otherwise(F.col("timestamp")),
+        "type": F.when(n % 13 == 0, "7").otherwise(F.col("type")),
+    })
+    return messages.skipped_records(rows)
+
+
 @query(r"""SELECT id, url, local, CASE WHEN regexp_matches(lower(local), '\.(png|jpe?g|gif|webp)$') THEN 'image' WHEN regexp_matches(lower(local), '\.(mp4|webm|mov)$') THEN 'video' ELSE 'file' END AS kind, bytes <= 50 * 1e6 AS fits
 FROM (SELECT id, url, bytes, part[-2] || '-' || right(regexp_replace(part[-1], '[^A-Za-z0-9_.\-]', '_', 'g'), 80) AS local FROM (
   SELECT page_id::VARCHAR AS id, 'https://cdn.example.org/attachments/' || page_id || '/my file-' || (page_id % 7) || list_value('.png', '.MP4', '.txt')[page_id % 3 + 1] AS url, page_id * 100000 AS bytes,

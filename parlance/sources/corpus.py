@@ -220,13 +220,35 @@ def write_snapshot(messages: DataFrame, servers: DataFrame, root: str, generated
 
 
 def read_feed_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """What ``write_feed`` wrote, as ``read_feed`` returns it."""
+    """What ``write_feed`` wrote, as ``read_feed`` returns it; a folder with another number of ``feed`` rows than one fails."""
     about = spark.read.schema(schemas.FEED).json(f"{path}/feed")
     rows = spark.read.schema(schemas.MESSAGE).json(f"{path}/messages")
-    when = about.select("generated")
+    one = F.when(F.count("*") == 1, F.max("generated")).otherwise(F.raise_error(F.lit("a feed has one row about it")))
+    when = about.agg(one.alias("generated"))
     return when.crossJoin(rows), about.select("generated", "channels_skipped_no_access", F.inline_outer("servers"))  # one row about all
 
 
+def read_snapshots(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """All dated snapshots as (messages, servers), each with ``snapshot``, its date.
+
+    Fields that a snapshot of an earlier day did not have yet are null; messages
+    without a server id get the one their own snapshot lists under the name.
+    """
+    date = F.regexp_extract(F.input_file_name(), r"/daily/([^/]+)/(?:feed|messages)/[^/]*$", 1).alias("snapshot")
+    rows = spark.read.schema(schemas.MESSAGE).json(f"{root}/daily/*/messages").select(date, "*")
+    about = spark.read.schema(schemas.FEED).json(f"{root}/daily/*/feed").select(date, "*")
+    servers = about.select("snapshot", "generated", "channels_skipped_no_access", F.inline_outer("servers"))
+    return attributed(rows, servers), servers
+
+
+def attributed(messages: DataFrame, servers: DataFrame, platform: str = "discord") -> DataFrame:
+    """Messages with the server id of their name, where they have none and one server of the snapshot has that name."""
+    known = servers.where("id is not null").groupBy("snapshot", F.col("name").alias("server")).agg(F.count("*").alias("_n"), F.max("id").alias("_id")).where("_n = 1")
+    named = F.when(F.contains("_id", F.lit(":")), F.col("_id")).otherwise(F.concat(F.lit(f"{platform}:"), "_id"))
+    rows = messages.join(known, ["snapshot", "server"], "left").withColumn("server_id", F.coalesce("server_id", named))
+    return rows.select(*messages.columns)
+
+
 def word_list(spark: SparkSession, path: str, most: int = 5000) -> tuple[str, ...]:
     """Words of a text file, lowered, for a setting such as ``scaffolding``."""
     words = spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("w")).where("w <> ''").distinct()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions.plans import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id") * 7919
     ts = F.timestamp_add("MINUTE", (key % 302400).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select(
         F.concat(F.lit("doc:"), F.col("doc_id")).alias("id"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.col("lang").alias("server_id"),
