@@ -13,7 +13,7 @@ from parlance.config import DEFAULT
 from parlance.functions import text
 from parlance.functions.plans import shared_folder
 from parlance.jobs import sink
-from parlance.jobs.oracle import CHAIN, MOVE, fold, log2
+from parlance.jobs.oracle import CHAIN, MOVE, TALK, fold, log2
 from parlance.jobs.oracle_graph import GRAPH
 from parlance.jobs.report import Report
 from parlance.operators import community, lexicon, messages, movement, people, topics, units
@@ -560,6 +560,43 @@ def movement_diverse(spark: SparkSession, d: str) -> DataFrame:
     return report(spark, d).movement()
 
 
+# ---- with a file of scaffolding words --------------------------------------
+
+#: The same expressions with the benchmark's words as scaffolding.
+TALKING = CHAIN.replace(TALK, "(SELECT w FROM talk)").replace(
+    "WITH RECURSIVE", r"""WITH RECURSIVE
+talk AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z''\-]{2,}')) AS w FROM benchmark),""", 1
+)
+
+
+def scaffolded(spark: SparkSession, d: str) -> Report:
+    """A report whose scaffolding is read from a file, to which the benchmark's words were written."""
+    place = f"{shared_folder(spark)}/scaffolding-{uuid.uuid4().hex}"
+    words = tables.table(spark, d, "benchmark").select(F.explode(text.word_tokens(F.lower(F.coalesce("text", F.lit(""))))).alias("value"))
+    words.distinct().write.text(place)
+    return Report(tables.messages(spark, d), *tables.reference(spark, d), scaffolding=corpus.words_of(spark, place))
+
+
+@query(LEXICON, chain=TALKING)
+def lexicon_scaffolded(spark: SparkSession, d: str) -> DataFrame:
+    return scaffolded(spark, d).lexicon()
+
+
+@query("SELECT server_id, size::INT AS size, place::INT AS place, term, uses, voices, active_days, round(association, 3) AS association, round(reference_lift, 1) AS reference_lift FROM phr", chain=TALKING)
+def phrases_scaffolded(spark: SparkSession, d: str) -> DataFrame:
+    return scaffolded(spark, d).phrases()
+
+
+@query("SELECT server_id, term, kind, uses, voices, documents, round(lift, 4) AS lift FROM node", chain=TALKING)
+def topic_nodes_scaffolded(spark: SparkSession, d: str) -> DataFrame:
+    return scaffolded(spark, d).graph()["nodes"].withColumn("lift", F.round("lift", 4))
+
+
+@query(f"SELECT {MOVE} FROM cand", chain=TALKING)
+def movement_scaffolded(spark: SparkSession, d: str) -> DataFrame:
+    return scaffolded(spark, d).moves()
+
+
 # ---- people ----------------------------------------------------------------
 
 

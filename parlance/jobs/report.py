@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from parlance.config import DEFAULT, Settings
 from parlance.functions.plans import forget, keep
 from parlance.jobs import sink
-from parlance.operators import community, lexicon, messages, movement, people, topics, units
+from parlance.operators import classes, community, lexicon, messages, movement, people, topics, units
 
 # Field names that no published table may hold.
 FORBIDDEN = frozenset({
@@ -55,8 +55,8 @@ def validate(df: DataFrame) -> DataFrame:
 class Report:
     """The tables of a report over canonical messages, each built on demand."""
 
-    def __init__(self, stored: DataFrame, words: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, roster: DataFrame | None = None):
-        self.settings, self.stored, self.roster = settings, stored, roster
+    def __init__(self, stored: DataFrame, words: DataFrame, pairs: DataFrame, settings: Settings = DEFAULT, roster: DataFrame | None = None, scaffolding: DataFrame | None = None):
+        self.settings, self.stored, self.roster, self.scaffolding = settings, stored, roster, scaffolding
         self._words, self._pairs = words, pairs
         self.held: list[DataFrame] = []
 
@@ -85,6 +85,10 @@ class Report:
     def aliases(self) -> DataFrame:
         return self.keep(messages.member_aliases(self.stored, self.roster))
 
+    @cached_property
+    def classes(self) -> DataFrame:
+        return self.keep(classes.word_classes(self.stored.sparkSession, self.settings, self.scaffolding))
+
     @cached_property
     def facts(self) -> DataFrame:
         """Base facts of the current window."""
@@ -124,7 +128,7 @@ class Report:
 
     @cache
     def vocabulary(self) -> DataFrame:
-        return self.keep(lexicon.vocabulary(self.window_words, self.totals, self.reference_words, self.aliases, self.settings))
+        return self.keep(lexicon.vocabulary(self.window_words, self.totals, self.reference_words, self.classes, self.aliases, self.settings))
 
     @cache
     def lexicon(self) -> DataFrame:
@@ -150,7 +154,7 @@ class Report:
         facts = self.keep(units.unit_facts(rows))
         canonical = self.keep(units.canonical_facts(facts, observed))
         inventory = self.keep(units.unit_inventory(canonical, self.totals))
-        nodes = self.keep(topics.nodes(inventory, self.totals, self.reference_words, self.aliases, bigrams, s))
+        nodes = self.keep(topics.nodes(inventory, self.totals, self.reference_words, self.classes, self.aliases, bigrams, s))
         surface = units.folded(facts.select("server_id", "term", "kind").distinct(), observed)
         canon = F.when(F.col("kind") == "word", F.col("canonical")).otherwise(F.col("term"))
         pairing = surface.select("server_id", "term", canon.alias("canonical")).join(nodes.select("server_id", F.col("term").alias("canonical")), ["server_id", "canonical"], "left_semi")
@@ -226,12 +230,9 @@ class Report:
 
     def moves(self) -> DataFrame:
         """Movement candidates over the whole history."""
-        hidden = self.aliases.select("server_id", F.col("alias").alias("term"), F.lit(True).alias("_alias"))
-        words = self.history.where("size = 1").join(hidden, ["server_id", "term"], "left")
-        show = lexicon.text.reportable(F.col("term"), self.settings.excluded_words) & F.col("_alias").isNull()
-        words = words.select("server_id", "term", "uses", show.alias("reportable"), lexicon.text.among(F.col("term"), self.settings.scaffolding).alias("scaffolding"), F.lit(False).alias("about"))
-        gated = lexicon.gated_phrases(self.history, words, self.all_totals, self.settings)
-        return movement.candidates(self.weekly, self.history, movement.periods(self.tokens, self.settings), self.aliases, gated, self.settings)
+        words = self.keep(classes.classed(self.history.where("size = 1"), self.classes, self.aliases))
+        gated = lexicon.gated_phrases(self.history, words.withColumn("about", F.lit(False)), self.all_totals, self.settings)
+        return movement.candidates(self.weekly, words, movement.periods(self.tokens, self.settings), gated, self.settings)
 
     def movement(self) -> DataFrame:
         return movement.diverse(movement.directed(self.moves()), self.history.where("size = 1"))

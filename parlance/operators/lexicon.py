@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.config import DEFAULT, Settings
 from parlance.functions import text
-from parlance.functions.words import STOPWORDS
+from parlance.operators.classes import classed
 
 
 def ln1(c: Column) -> Column:
@@ -38,17 +38,16 @@ def with_word_rate(df: DataFrame, words: DataFrame) -> DataFrame:
     return joined.withColumn("rate", rate).select(*df.columns, "rate")
 
 
-def vocabulary(inventory: DataFrame, totals: DataFrame, words: DataFrame, aliases: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Window words with rate, lift, whether reportable, and whether about something."""
+def vocabulary(inventory: DataFrame, totals: DataFrame, words: DataFrame, classes: DataFrame, aliases: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Window words with rate, lift, whether reportable, and whether about something.
+
+    ``classes``: the table of ``word_classes``.
+    """
     n = totals.select("server_id", F.col("tokens").alias("n"))
-    rows = inventory.where("size = 1").join(n, "server_id")
-    hidden = aliases.select("server_id", F.col("alias").alias("term"), F.lit(True).alias("_alias"))
-    rows = with_word_rate(rows, words).join(hidden, ["server_id", "term"], "left")
-    lift = (F.col("uses") / F.greatest("n", F.lit(1))) / F.greatest("rate", F.lit(1e-8))
-    show = text.reportable(F.col("term"), settings.excluded_words) & F.col("_alias").isNull()
-    rows = rows.withColumns({"lift": lift, "reportable": show, "scaffolding": text.among(F.col("term"), settings.scaffolding)})
+    rows = classed(with_word_rate(inventory.where("size = 1").join(n, "server_id"), words), classes, aliases)
+    rows = rows.withColumn("lift", (F.col("uses") / F.greatest("n", F.lit(1))) / F.greatest("rate", F.lit(1e-8)))
     special = (F.col("rate") == 0) | ((F.col("rate") * 1e6 <= settings.max_reference_ppm) & (F.col("lift") >= settings.topic_min_lift))
-    return rows.withColumn("about", F.col("reportable") & ~F.col("scaffolding") & special).drop("_alias")
+    return rows.withColumn("about", F.col("reportable") & ~F.col("scaffolding") & special)
 
 
 def lexicon(vocabulary: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -74,7 +73,7 @@ def lexicon(vocabulary: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def gated_phrases(inventory: DataFrame, words: DataFrame, totals: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Repeated phrases with their association (normalised PMI), kept if above 0.
 
-    ``words`` lists (server_id, term, uses, reportable, scaffolding, about).
+    ``words`` lists (server_id, term, uses, stop, reportable, scaffolding, about).
     Gates on the phrase alone come first, so that only phrases that may pass
     meet their words.
     """
@@ -82,9 +81,9 @@ def gated_phrases(inventory: DataFrame, words: DataFrame, totals: DataFrame, set
         (F.col("size") > 1) & (F.col("uses") >= settings.min_phrase_uses) & (F.col("voices") >= settings.min_voices)
         & ~text.among(F.col("term"), settings.excluded_phrases)
     )
-    part = words.select("server_id", F.col("term").alias("word"), F.col("uses").alias("word_uses"), "reportable", "scaffolding", "about")
+    part = words.select("server_id", F.col("term").alias("word"), F.col("uses").alias("word_uses"), "stop", "reportable", "scaffolding", "about")
     parts = kept.select("server_id", "term", F.posexplode(F.split("term", " ")).alias("at", "word")).join(part, ["server_id", "word"])
-    stop = text.among(F.col("word"), STOPWORDS)
+    stop = F.col("stop")
     checked = parts.groupBy("server_id", "term").agg(
         F.max(F.when(F.col("at") == 0, F.col("word_uses"))).alias("u0"), F.max(F.when(F.col("at") == 1, F.col("word_uses"))).alias("u1"),
         F.max(F.when(F.col("at") == 2, F.col("word_uses"))).alias("u2"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.config import DEFAULT, Settings
 from parlance.functions import text
+from parlance.operators.classes import classed
 from parlance.operators.lexicon import ln1, log2, ranked, with_word_rate
 from parlance.operators.units import folded
 
@@ -15,16 +16,15 @@ def specificity(lift: Column) -> Column:
     return F.least(F.lit(8.0), F.greatest(F.lit(0.0), log2(F.greatest(F.lit(1.0), lift))))
 
 
-def nodes(inventory: DataFrame, totals: DataFrame, words: DataFrame, aliases: DataFrame, bigrams: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def nodes(inventory: DataFrame, totals: DataFrame, words: DataFrame, classes: DataFrame, aliases: DataFrame, bigrams: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The most interesting words about something, and all qualified bigrams."""
     n = totals.select("server_id", F.col("tokens").alias("n"))
-    hidden = aliases.select("server_id", F.col("alias").alias("term"))
-    rows = with_word_rate(inventory.where("kind = 'word'").join(n, "server_id"), words).join(hidden, ["server_id", "term"], "left_anti")
+    rows = classed(with_word_rate(inventory.where("kind = 'word'").join(n, "server_id"), words), classes, aliases)
     lift = (F.col("uses") / F.greatest("n", F.lit(1))) / F.greatest("rate", F.lit(1e-8))
     special = (F.col("rate") == 0) | ((F.col("rate") * 1e6 <= settings.max_reference_ppm) & (F.col("lift") >= settings.topic_min_lift))
     rows = rows.withColumn("lift", lift).where(
         (F.col("uses") >= settings.min_word_uses) & (F.col("voices") >= settings.min_voices)
-        & text.reportable(F.col("term"), settings.excluded_words) & ~text.among(F.col("term"), settings.scaffolding) & special
+        & F.col("reportable") & ~F.col("scaffolding") & special
     )
     interest = ln1(F.col("uses")) * ln1(F.col("voices")) * (1 + specificity(F.col("lift")))
     top = ranked(rows.withColumn("interest", F.round(interest, 9)), F.desc("interest"), F.desc("term"), top=settings.top_nodes)

@@ -249,10 +249,14 @@ def attributed(messages: DataFrame, servers: DataFrame, platform: str = "discord
     return rows.select(*messages.columns)
 
 
+def words_of(spark: SparkSession, path: str) -> DataFrame:
+    """(term): the words of a text file, lowered, once each; a report takes them as ``scaffolding``."""
+    return spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("term")).where("term <> ''").distinct()
+
+
 def word_list(spark: SparkSession, path: str, most: int = 5000) -> tuple[str, ...]:
-    """Words of a text file, lowered, for a setting such as ``scaffolding``."""
-    words = spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("w")).where("w <> ''").distinct()
-    found = [r.w for r in words.limit(most + 1).collect()]
+    """The same words for a setting, which holds few."""
+    found = [r.term for r in words_of(spark, path).limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"{path} holds more than {most} words")
     return tuple(sorted(found))
