@@ -9,16 +9,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance import schemas
 from parlance.config import DEFAULT
 from parlance.functions import text
 from parlance.functions.plans import shared_folder
-from parlance.jobs import sink
+from parlance.jobs import fact_store, sink
 from parlance.jobs.oracle import CHAIN, MOVE, TALK, fold, log2
 from parlance.jobs.oracle_graph import GRAPH
 from parlance.jobs.report import Report
 from parlance.operators import community, lexicon, messages, movement, people, topics, units
 from parlance.sources import corpus, tables
-from parlance.streaming.ingest import ingest
+from parlance.streaming.ingest import ingest, stored_months
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -342,6 +343,38 @@ def window_inventory(spark: SparkSession, d: str) -> DataFrame:
     return messages.inventory(facts(spark, d), True)
 
 
+def merged_in_three(spark: SparkSession, d: str) -> tuple[str, str]:
+    """(history, facts) after three merges, each with a refresh of the months it touched.
+
+    The first stores two thirds, an early quarter of them with other texts; the second
+    puts these right, the third adds the rest: in the end all messages stand as they are.
+    """
+    place, rows, n = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}", tables.messages(spark, d), F.substring_index("id", ":", -1).cast("long")
+    history, store = f"{place}/history", f"{place}/facts"
+    wrong = (n % 4 == 0) & (F.col("timestamp") < "2024-03-11")
+    first = rows.where(n % 3 != 0).withColumn("message", F.when(wrong, F.concat(F.lit("quantum wrong words "), F.coalesce("message", F.lit("")))).otherwise(F.col("message")))
+    shape = spark.createDataFrame([], schemas.MESSAGE)
+    for k, batch in enumerate((first, rows.where((n % 3 != 0) & wrong), rows.where(n % 3 == 0))):
+        incoming = shape.unionByName(batch, allowMissingColumns=True).withColumn("seq", F.substring_index("id", ":", -1).cast("long"))
+        touched = sorted({r[0] for r in incoming.select(corpus.month_of(F.col("timestamp"))).distinct().collect()})
+        corpus.write_months(*corpus.merge(stored_months(spark, history, touched), incoming), history, f"b{k}")
+        changed = corpus.receipts(spark, history).where(f"batch = 'b{k}' and touched").select("month").collect()
+        fact_store.refresh(spark, history, store, [r[0] for r in changed], batch=f"b{k}")
+    return history, store
+
+
+@query(f"SELECT {INVENTORY} FROM hist")
+def incremental_history(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory of the whole history from facts renewed by month."""
+    return fact_store.history_inventory(spark, merged_in_three(spark, d)[1])
+
+
+@query(f"SELECT {INVENTORY} FROM inv")
+def incremental_window(spark: SparkSession, d: str) -> DataFrame:
+    """The window's inventory from the same facts."""
+    return fact_store.window_inventory(spark, *merged_in_three(spark, d))
+
+
 @query("SELECT server_id, speaker, size::INT AS size, sum(uses)::BIGINT AS uses, count(DISTINCT term) AS terms FROM fact WHERE is_current GROUP BY 1, 2, 3")
 def person_terms(spark: SparkSession, d: str) -> DataFrame:
     return messages.roll_up(facts(spark, d), "speaker", "size", "term").groupBy("server_id", "speaker", "size").agg(F.sum("uses").alias("uses"), F.count("*").alias("terms"))

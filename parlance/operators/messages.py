@@ -43,9 +43,9 @@ def eligible(messages: DataFrame, settings: Settings = DEFAULT, more: tuple[str,
     )
 
 
-def tokenized(messages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Eligible messages with ``tokens`` and ``breaks`` in place of the text."""
-    cleaned = eligible(messages, settings).withColumn("message", text.clean(F.col("message")))
+def tokenized(messages: DataFrame, settings: Settings = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
+    """Eligible messages with ``tokens`` and ``breaks`` in place of the text; columns in ``more`` stay."""
+    cleaned = eligible(messages, settings, more).withColumn("message", text.clean(F.col("message")))
     return cleaned.withColumns({"tokens": text.word_tokens(F.col("message")), "breaks": text.breaks(F.col("message"))}).drop("message")
 
 
@@ -58,9 +58,9 @@ def member_aliases(messages: DataFrame, roster: DataFrame | None = None) -> Data
     return names.select("server_id", F.explode(text.aliases(F.col("name"))).alias("alias")).distinct()
 
 
-def occurrences(tokens: DataFrame, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """One row per word, valid bigram and valid trigram."""
-    keys = ["server_id", "speaker", "channel", "day", "week", "is_current", "ts"]
+def occurrences(tokens: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per word, valid bigram and valid trigram; columns in ``more`` stay."""
+    keys = ["server_id", "speaker", "channel", "day", "week", "is_current", "ts", *more]
     rows = tokens.select(*keys, text.places(F.col("tokens"), F.col("breaks")))
     terms = [F.struct(F.lit(n).alias("size"), text.gram(n).alias("term")) for n in sizes]
     return rows.select(*keys, F.inline(F.array(*terms))).where("term is not null")

@@ -26,6 +26,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """A folder, with its parents."""
+    fs, at = _at(spark, path)
+    fs.mkdirs(at)
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     """Rename a folder; its new parent is made, and ``to`` must not be there."""
     fs, at = _at(spark, path)
