@@ -260,7 +260,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, co
     asked = packed_queries(whole.where(queries))
     # A chunk keeps its own name in ``impact`` while ``block`` says where it goes.
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "kind", "at", F.col("block").cast("long").alias("impact"), "least", "ids", "lengths", "data")
-    together = index(whole, blocks).unionByName(sent).repartition(blocks, "block").sortWithinPartitions("block", "kind", "at", "impact")
+    together = index(whole, blocks).unionByName(sent).repartitionById(blocks, "block").sortWithinPartitions("block", "kind", "at", "impact")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ready, held, lists = None, None, [], []
