@@ -94,7 +94,7 @@ def known_files(versions: DataFrame) -> DataFrame:
 def merge(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upsert a batch: (all rows after it with ``month``, receipt by month).
 
-    ``incoming`` has ``seq``, the order in the batch.  A repeat counts against the
+    ``incoming`` has ``seq``, the order in the batch, unlike for each version of an id.  A repeat counts against the
     version before it; the last one stays.  Attachments keep the local files that
     the version before knew by their path.  Versions of an id are compared by
     windows over sorted rows, so they are never one list in memory.
@@ -103,20 +103,24 @@ def merge(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]
     record = F.struct(*columns)
     new = require_ids(incoming).select(month_of(F.col("timestamp")).alias("month"), "id", "seq", record.alias("rec"))
     old = stored.select("month", "id", F.lit(None).cast("long").alias("seq"), record.alias("rec"))
-    order = Window.partitionBy("month", "id").orderBy(F.col("seq").asc_nulls_first(), "rec")
-    every = old.unionByName(new).withColumn("n", F.row_number().over(order))
+    first = F.lit(-(2**63)).cast("long")
+    every = old.unionByName(new).withColumn("seq", F.coalesce("seq", first))
+    came = F.col("seq") > first
     if "attachments" in columns:
-        files_of = known_files(every.select("month", "id", "n", "rec.attachments"))
-        every = every.join(files_of, ["month", "id", "n"], "left")
+        # Numbers and files come from slim rows; whole records move once to meet them.
+        number = F.row_number().over(Window.partitionBy("month", "id").orderBy("seq")).alias("n")
+        slim = every.select("month", "id", "seq", "rec.attachments").select("*", number)
+        known = known_files(slim).join(slim.select("month", "id", "n", "seq"), ["month", "id", "n"]).groupBy("month", "id", "seq").agg(F.any_value("files").alias("files"))
+        every = every.join(known, ["month", "id", "seq"], "left")
         file = lambda a: F.coalesce(F.nullif(a["file"], F.lit("")), F.try_element_at("files", url_path(a["url"])))
         filled = F.col("rec").withField("attachments", F.transform("rec.attachments", lambda a: a.withField("file", file(a))))
-        every = every.withColumn("rec", F.when(F.col("seq").isNull(), F.col("rec")).otherwise(filled))
-    by_number = Window.partitionBy("month", "id").orderBy("n")
-    every = every.withColumns({"before": F.lag("rec").over(by_number), "after": F.lead("n").over(by_number)})
+        every = every.select("month", "id", "seq", F.when(came, filled).otherwise(F.col("rec")).alias("rec"))
+    order = Window.partitionBy("month", "id").orderBy("seq")
+    every = every.withColumns({"before": F.lag("rec").over(order), "after": F.lead("seq").over(order)})
+    same, again = F.col("rec").eqNullSafe(F.col("before")), came & F.col("before").isNotNull()
     rows = every.where("after is null").select("month", "rec.*")
-    came, same = F.col("seq").isNotNull(), F.col("rec").eqNullSafe(F.col("before"))
     receipt = every.groupBy("month").agg(
-        F.count_if(came & (F.col("n") == 1)).alias("added"), F.count_if(came & (F.col("n") > 1) & ~same).alias("updated"), F.count_if(came & (F.col("n") > 1) & same).alias("unchanged")
+        F.count_if(came & F.col("before").isNull()).alias("added"), F.count_if(again & ~same).alias("updated"), F.count_if(again & same).alias("unchanged")
     )
     return rows, receipt.withColumn("touched", F.col("added") + F.col("updated") > 0)
 
