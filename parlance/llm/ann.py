@@ -19,12 +19,16 @@ Equal vectors are one place in space: of each, the k + 1 smallest ids can be
 among anyone's nearest k, and only these are searched.  A vector that stands in
 a third of all rows therefore costs k + 1 rows, and no answer changes.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components,
-or do not have the table's most common length take no part, nor do rows with a
-null vec_id; rows that repeat both id and vector count once; a query does not
-find rows of its own vec_id; ties go to the smaller vec_id; with fewer than
-``EXACT`` vectors there is one part, so the search is exact; an empty table gives
-an empty result; extra columns are not read.
+The number of parts is a quarter of the root of the table's size, so a part is
+four times that root; the sample allows ``MOST_PARTS``, 32 of its vectors each,
+and beyond that parts grow with the table.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components
+take no part, nor do rows with a null vec_id; vectors of another length than the
+table's most common one are searched among those of their own length, all of them;
+rows that repeat both id and vector count once; a query does not find rows of its
+own vec_id; ties go to the smaller vec_id; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ from pyspark.sql import Window
 
 from parlance.llm.common import durable
 
-SAMPLE, BLOCK, EXACT, TARGET, MOST_PARTS = 8192, 2048, 2048, 0.96, 256
+SAMPLE, BLOCK, TARGET = 8192, 2048, 0.96
+MOST_PARTS = SAMPLE // 32
 HIDDEN, EPOCHS, RATE = 128, 24, 3e-3
 
 
@@ -195,12 +200,33 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """(vec_id, vector) -> query_id, rank, vec_id, score for rows where ``queries`` holds."""
     kept = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("vec_id", "vector")
     common = kept.agg(F.mode(F.size("vector"), True)).first()[0] or 0
-    kept = kept.where(F.size("vector") == common)
     asked = kept.where(queries).distinct()
     one_place = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("vec_id")
-    rows = durable(kept.withColumn("n", F.dense_rank().over(one_place)).where(F.col("n") <= k + 1).drop("n").distinct())
+    every = durable(kept.withColumn("n", F.dense_rank().over(one_place)).where(F.col("n") <= k + 1).drop("n").distinct())
+    usual = F.size("vector") == common
+    found = routed_search(every.where(usual), asked.where(usual), k).unionByName(search_by_length(every.where(~usual), asked.where(~usual), k))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_by_length(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest k of each block of the query's own length."""
+    long = lambda df: df.withColumn("length", F.size("vector"))
+    blocks = long(rows).groupBy("length").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = long(rows).join(blocks, "length").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    routed = long(asked).join(blocks, "length").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Both sides hold one column of `blocks`, which a cogroup calls ambiguous.
+    return nearest(routed.drop("blocks"), dealt.drop("blocks"), ["length", "block"], k)
+
+
+def nearest(routed: DataFrame, dealt: DataFrame, block: list[str], k: int) -> DataFrame:
+    return routed.groupBy(*block).cogroup(dealt.groupBy(*block)).applyInArrow(lambda q, x: nearest_in_block(q, x, k), "query_id long, vec_id long, score double")
+
+
+def routed_search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest k of each block of the parts a query is sent to."""
     total = rows.count()
-    parts = 1 if total < EXACT else max(2, min(MOST_PARTS, int(total**0.5) // 4))
+    parts = max(1, min(MOST_PARTS, int(total**0.5) // 4))
     router, probes = None, 1
     if parts > 1:
         sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
@@ -234,6 +260,4 @@ def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     schema = "vec_id long, vector array<float>, block long"
     dealt = hashed.mapInPandas(block, schema.replace("float", rows.schema["vector"].dataType.elementType.simpleString()))
     routed = asked.withColumn("block", F.explode(F.pandas_udf(targets, "array<long>")("vector")))
-    found = routed.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(lambda q, x: nearest_in_block(q, x, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return nearest(routed, dealt, ["block"], k)

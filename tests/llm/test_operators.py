@@ -119,8 +119,7 @@ def test_huge_and_far_vectors_are_found(spark):
     assert got[got.query_id == 0].score.tolist() == [1e200, 1e200] and got[got.query_id == 3].vec_id.tolist() == [4, 5]
 
 
-def test_recall_over_learned_partitions(spark, monkeypatch):
-    monkeypatch.setattr(ann, "EXACT", 100)
+def test_recall_over_learned_partitions(spark):
     r = np.random.default_rng(3)
     x = (r.normal(size=(12, 16))[r.integers(0, 12, 1500)] * 2 + r.normal(size=(1500, 16))).astype(np.float32)
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, vector array<float>")

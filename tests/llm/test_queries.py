@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -185,6 +187,30 @@ def test_a_repeated_doc_id_is_learned_from_once(spark):
     assert len(language_id.training_sample(spark.createDataFrame(rows, DOCS))) <= 60
 
 
+def test_op3_reads_little_of_a_table_with_structure(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(200, 64))[r.integers(0, 200, 20_000)] + 0.25 * r.normal(size=(20_000, 64))).astype(np.float32)
+    short = r.normal(size=(120, 5)).astype(np.float32)  # other lengths are searched among their own
+    made = pa.table({"vec_id": np.arange(20_120), "embedding": pa.array([*x, *short], pa.list_(pa.float32()))})
+    pq.write_table(made, f"{tmp_path}/embeddings.parquet")
+    fitted, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    got = queries.QUERIES["op3_ann"](spark, str(tmp_path)).toPandas().sort_values(["query_id", "rank"])
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        table, first = (x, 0) if q < 20_000 else (short, 20_000)
+        d = ((table.astype(float) - table[q - first]) ** 2).sum(1)
+        d[q - first] = np.inf
+        same = len(set(np.argsort(d)[:10] + first) & set(g.vec_id))
+        assert len(g) == 10 and (same == 10 or not first)
+        hits += same
+    assert got.query_id.nunique() == 202 and hits >= 0.9 * 2020
+    (router, probes), = fitted
+    order = np.argsort(-router(x.astype(float)), axis=1)
+    sizes = np.bincount(order[:, 0])
+    assert len(sizes) > 20 and sizes[order[::100, :probes]].sum(axis=1).mean() < 0.1 * len(x)
+
+
 def test_op3_and_op10(spark, tmp_path):
     r = np.random.default_rng(1)
     x = r.normal(size=(250, 6)).astype(np.float32)
