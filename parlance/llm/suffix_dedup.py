@@ -4,29 +4,28 @@ Every byte covered by a ``span``-byte string that also starts in a document with
 a smaller doc_id is removed; strings are compared on the input.  Texts are UTF-8
 bytes and no match crosses documents.
 
-1. Exact copies.  Of equal texts only the one with the smallest doc_id goes on;
-   every other is removed whole if it has ``span`` bytes.
-2. Anchors.  The smallest hash among the ``GRAM``-byte strings of a window of
+1. Anchors.  The smallest hash among the ``GRAM``-byte strings of a window of
    ``span`` bytes is its anchor, so equal windows have equal anchors.  Anchors
    meet by hash; those of one document only are dropped, which leaves only text
    that is likely repeated.  About one anchor stands for sixteen bytes.
-3. Suffix arrays.  A maximal run of windows with one anchor is one string; runs
-   with an anchor of several documents meet by anchor.  A bucket of runs is
-   sorted in two stages: suffixes smaller than their successor directly, all
-   others induced by one scan over the buckets of first bytes.  The common
-   prefixes of neighbours follow; neighbours that share ``span`` bytes are equal
-   windows, and the smallest doc_id among them keeps its bytes.
+2. Suffix arrays of groups.  What is left of a group's documents is sorted in two
+   stages: suffixes smaller than their successor directly, all others induced by
+   one scan over the buckets of first bytes.  The common prefixes of neighbours
+   follow; neighbours that share ``span`` bytes are equal windows, and the smallest
+   doc_id among them keeps its bytes.  The windows of all others are decided.
+3. Suffix arrays of buckets.  A maximal run of undecided windows with one anchor is
+   one string.  These strings meet by anchor and are sorted in the same way, so a
+   window costs one string a group here, however many documents hold it: copies
+   and hot passages of a third of all rows do not gather in one bucket.
 4. Covered intervals return to their documents.
 
 Documents are dealt to groups of bounded size once; all passes read that one
 exchange.  Between passes travel packed rows (a group's part for a bucket), a
 few bytes an anchor.
 
-Three reductions take what many documents share off the shuffles and the suffix
-arrays, whose direct sort is slow on long ties: exact copies (1); of equal runs
-inside one group, and then inside one bucket, all but the smallest document's.
-They are exact, since equal strings have equal windows.  ``reduce=False`` turns all
-three off, and suffix arrays decide every byte; tests hold both results together.
+Suffix arrays decide every byte.  With ``reduce=True`` exact copies go first: of
+equal texts only the one with the smallest doc_id is sorted, every other is removed
+whole if it has ``span`` bytes.  The result is the same, and tests hold both together.
 
 Defined cases: null text is empty; texts shorter than ``span`` bytes stay; rows
 with a null doc_id are left out, having no order; rows with equal doc_id are
@@ -129,13 +128,13 @@ def common_prefixes(a: np.ndarray, b: np.ndarray, w: np.ndarray, span: int) -> n
     left = np.arange(len(a))
     for off in offsets(span):
         x = w[a[left] + off] ^ w[b[left] + off]
-        unlike = np.flatnonzero(x)
+        unlike = x != 0
         x = x[unlike]
         high = x >> np.uint64(32)
         # The exponent of a number below 2**32 is exact; it tells the first byte that differs.
         bits = np.frexp(np.where(high > 0, high, x).astype(np.float64))[1]
         length[left[unlike]] = off + (np.where(high > 0, 32, 64) - bits) // 8
-        left = np.delete(left, unlike)
+        left = left[~unlike]
     return length
 
 
@@ -156,7 +155,9 @@ def smallest_holder(texts: list[bytes], holder: np.ndarray, span: int = SPAN) ->
     cut = np.flatnonzero(np.concatenate(([True], ~same)))
     least = np.minimum.reduceat(holder[source[sa]], cut)
     least = np.repeat(least, np.diff(np.concatenate((cut, [len(sa)]))))
-    hit = np.sort(sa[least < holder[source[sa]]])
+    mark = np.zeros(len(t), bool)
+    mark[sa[least < holder[source[sa]]]] = True
+    hit = np.flatnonzero(mark)
     if not len(hit):
         return (np.zeros(0, np.int64),) * 3
     edge = np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (source[hit[1:]] != source[hit[:-1]])))
@@ -248,6 +249,42 @@ class Group:
             yield index[i], first + base[i], last + base[i], h
 
 
+def decided_windows(group: Group, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those windows of the runs (in order) that a document of the same group with a smaller id has too.
+
+    Runs that follow each other form one stretch of text, so no byte is sorted twice.
+    """
+    edge = np.concatenate(([True], (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1) | (first[1:] // SLICE != first[:-1] // SLICE)))
+    i = np.flatnonzero(edge)
+    doc, first, end = doc[i], first[i], last[np.concatenate((i[1:] - 1, [len(edge) - 1]))] + SPAN
+    out = []
+    for lo, hi in slices((end - first).tolist(), GROUP_BYTES):
+        holder = group.ids[doc[lo:hi]]
+        if (holder != holder[0]).any():
+            texts = [group.blobs[d][f:e] for d, f, e in zip(doc[lo:hi].tolist(), first[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)]
+            k, a, b = smallest_holder(texts, holder)
+            out.append((doc[lo + k], first[lo + k] + a, first[lo + k] + b))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def undecided(doc: np.ndarray, first: np.ndarray, last: np.ndarray, gone_doc: np.ndarray, gone_first: np.ndarray, gone_last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is left of each run without the windows that are gone: (run, first, last)."""
+    n = last - first + 1
+    base = np.cumsum(n) - n
+    at = np.searchsorted(doc << 40 | first, gone_doc << 40 | gone_first, side="right") - 1
+    start = base[at] + gone_first - first[at]
+    step = np.zeros(n.sum() + 1, np.int32)
+    np.add.at(step, start, 1)
+    np.add.at(step, start + gone_last - gone_first + 1, -1)
+    left = np.flatnonzero(np.cumsum(step[:-1]) == 0)
+    run = np.repeat(np.arange(len(n)), n)[left]
+    edge = np.concatenate(([True], (left[1:] != left[:-1] + 1) | (run[1:] != run[:-1])))[: len(left)]
+    i = np.flatnonzero(edge)
+    run = run[i]
+    j = np.concatenate((i[1:] - 1, [len(left) - 1]))[: len(i)]
+    return run, first[run] + left[i] - base[run], first[run] + left[j] - base[run]
+
+
 def hash_parts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket, and 40 more bits of the hash in two arrays."""
     return (h >> np.uint64(44)).astype(np.int64) % buckets, (h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
@@ -271,7 +308,7 @@ def joined(notes: pa.Table, kind: int, column: str, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(picked.column(column).to_pylist()), dtype)
 
 
-def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, reduce: bool = True) -> DataFrame:
+def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, reduce: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, spans (start, end), kept (binary), carry.
 
     With ``as_text``, kept is a string, and a character that lost a byte goes
@@ -355,34 +392,28 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
             key(np.frombuffer(d, "<u4" if len(d) == 4 * n else "<u2"), np.frombuffer(b, "<u4"), np.frombuffer(low, "<u4"), np.frombuffer(high, np.uint8))
             for n, low, high, d, b in zip(*[listed.column(c).to_pylist() for c in ("n", "a", "b", "c", "d")], strict=True)
         ]))
-        seen: dict[bytes, int] = {}
-        kept: list[tuple[int, int, int, bytes]] = []
-        decided: list[tuple[int, int, int]] = []
+        found = []
         for doc, first, last, h in group.runs():
             bucket, low, high = hash_parts(h, buckets)
             k = key(doc, bucket, low, high)
             hit = wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k
-            for d, f, e, b in zip(doc[hit].tolist(), first[hit].tolist(), (last[hit] + SPAN).tolist(), bucket[hit].tolist(), strict=True):
-                text = group.blobs[d][f:e]
-                if reduce and group.ids[seen.setdefault(text, d)] < group.ids[d]:  # documents come in the order of their ids
-                    decided.append((d, f, e - f))
-                else:
-                    kept.append((d, f, b, text))
-        rows = []
-        if decided:
-            d, f, n = np.array(decided).T
-            spread = (np.arange(len(d)) // 4096 + g) % buckets
-            rows += [(DECIDED, b, g, len(i), d[i].astype("<u4").tobytes(), f[i].astype("<u4").tobytes(), n[i].astype("<u4").tobytes(), None, None) for b, i in by_key(spread)]
-        if kept:
-            d, f, b = (np.array([x[k] for x in kept]) for k in range(3))
-            size = np.array([len(x[3]) for x in kept])
-            rows += [(ENTRY, k, g, len(i), d[i].astype("<u4").tobytes(), f[i].astype("<u4").tobytes(), size[i].astype("<u4").tobytes(), group.ids[d[i]].astype("<i8").tobytes(), b"".join(kept[x][3] for x in i.tolist())) for k, i in by_key(b)]
+            found.append((doc[hit], first[hit], last[hit], bucket[hit]))
+        doc, first, last, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(doc):
+            return packed([])
+        gone = decided_windows(group, doc, first, last)
+        d, f, n = gone[0], gone[1], gone[2] - gone[1] + SPAN
+        spread = (np.arange(len(d)) // 4096 + g) % buckets
+        rows = [(DECIDED, b, g, len(i), d[i].astype("<u4").tobytes(), f[i].astype("<u4").tobytes(), n[i].astype("<u4").tobytes(), None, None) for b, i in by_key(spread)]
+        run, first, last = undecided(doc, first, last, *gone)
+        doc, bucket, size = doc[run], bucket[run], last - first + SPAN
+        texts = [group.blobs[d][f : f + n] for d, f, n in zip(doc.tolist(), first.tolist(), size.tolist(), strict=True)]
+        rows += [(ENTRY, k, g, len(i), doc[i].astype("<u4").tobytes(), first[i].astype("<u4").tobytes(), size[i].astype("<u4").tobytes(), group.ids[doc[i]].astype("<i8").tobytes(), b"".join([texts[x] for x in i.tolist()])) for k, i in by_key(bucket)]
         return packed(rows)
 
     def sort_strings(notes: pa.Table) -> pa.Table:
         """Covered intervals of one bucket's runs, sent back to their groups."""
-        source, doc, start, holder, texts, text_of, marks = [], [], [], [], [], [], []
-        number: dict[bytes, int] = {}
+        source, doc, start, holder, texts, marks = [], [], [], [], [], []
         for kind, g, n, d, f, size, ids, text in zip(*[notes.column(c).to_pylist() for c in ("kind", "key", "n", "a", "b", "c", "d", "e")], strict=True):
             size = np.frombuffer(size, "<u4").astype(np.int64)
             if kind == DECIDED:
@@ -393,26 +424,11 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
             doc.append(np.frombuffer(d, "<u4"))
             start.append(np.frombuffer(f, "<u4"))
             holder.append(np.frombuffer(ids, "<i8"))
-            for s, e in zip(cut, cut[1:], strict=False):
-                at = number.setdefault(text[s:e], len(texts)) if reduce else len(texts)
-                if at == len(texts):
-                    texts.append(text[s:e])
-                text_of.append(at)
+            texts += [text[s:e] for s, e in zip(cut, cut[1:], strict=False)]
         if source:
             source, doc, start, holder = map(np.concatenate, (source, doc, start, holder))
-            text_of, length = np.array(text_of), np.fromiter(map(len, texts), np.int64, len(texts))
-            least = np.full(len(texts), np.iinfo(np.int64).max)
-            np.minimum.at(least, text_of, holder)
-            later = holder > least[text_of]
-            marks.append((source[later], doc[later], start[later], length[text_of[later]]))
-            s, first, last = smallest_holder(texts, least)
-            # Each document that holds a string first loses what an even earlier one has.
-            own = np.flatnonzero(~later)
-            own = own[np.argsort(text_of[own], kind="stable")]
-            lo, hi = np.searchsorted(text_of[own], s), np.searchsorted(text_of[own], s, side="right")
-            which = np.repeat(np.arange(len(s)), hi - lo)
-            entry = own[np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]]
-            marks.append((source[entry], doc[entry], start[entry] + first[which], last[which] - first[which] + SPAN))
+            s, first, last = smallest_holder(texts, holder)
+            marks.append((source[s], doc[s], start[s] + first, last - first + SPAN))
         if not marks:
             return packed([])
         g, d, f, n = (np.concatenate([m[k] for m in marks]).astype(np.int64) for k in range(4))

@@ -221,6 +221,8 @@ def test_repeated_spans_against_brute_force(spark, odd, empty):
     assert got == brute.repeated(list(enumerate(texts)))
     plain = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.repeated_spans(docs_frame(spark, texts), reduce=False).collect()}
     assert plain == got  # suffix arrays alone
+    first = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.repeated_spans(docs_frame(spark, texts), reduce=True).collect()}
+    assert first == got  # exact copies before them
     # One passage in every third document with other text on either side.
     hot = [prose(k, 12) + (passage if k % 3 == 0 else "") + prose(1000 + k, 12) for k in range(300)]
     got = {x.doc_id: (x.n_removed, bytes(x.kept)) for x in suffix_dedup.repeated_spans(docs_frame(spark, hot)).collect()}
