@@ -71,21 +71,28 @@ def sort_directly(pos: np.ndarray, w: np.ndarray, span: int) -> np.ndarray:
     pos = pos[np.argsort(w[pos], kind="stable")]
     key = w[pos]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(pos) else np.zeros(0, bool)
-    for off in offsets(span)[1:]:
+    off = 8
+    while off < span:
         tied = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
         if not len(tied):
             break
-        sub, group = pos[tied], np.cumsum(new)[tied]
-        key = w[sub + off]
-        o = np.lexsort((key, group))
-        sub, key = sub[o], key[o]
-        pos[tied] = sub
-        new[tied[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        # One number holds the tie and as many of the next bytes as fit; it is nearly in order already.
+        sub, tie = pos[tied], np.cumsum(new[tied]).astype(np.uint64)
+        free = (64 - int(tie[-1]).bit_length()) // 8
+        key = tie << np.uint64(8 * free) | w[sub + off] >> np.uint64(64 - 8 * free)
+        o = np.argsort(key, kind="stable")
+        pos[tied], key = sub[o], key[o]
+        new[tied[1:]] |= key[1:] != key[:-1]
+        off += free
     return pos
 
 
-def suffix_array(t: np.ndarray, w: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """All suffixes of ``t`` in the order of their first ``span`` bytes, at least."""
+def suffix_array(t: np.ndarray, w: np.ndarray, span: int = SPAN, asked: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of ``t`` in the order of their first ``span`` bytes, at least.
+
+    With a mask ``asked``, only these suffixes and those that induce them: a suffix
+    larger than its successor needs all up to the next smaller one, no others.
+    """
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
@@ -95,17 +102,23 @@ def suffix_array(t: np.ndarray, w: np.ndarray, span: int = SPAN) -> np.ndarray:
     after = np.concatenate((t, [0]))[change + 1].astype(np.int16)
     after[change == n - 1] = -1
     smaller = t < after  # smaller than its successor
-    direct = sort_directly(np.flatnonzero(smaller), w, span)
+    if asked is None:
+        asked = np.ones(n, bool)
+    # Larger suffixes and the smaller one that ends them form a row; what follows an asked one there takes part.
+    row = np.maximum.accumulate(np.where(np.concatenate(([True], smaller[:-1])), np.arange(n), 0))
+    part = np.maximum.accumulate(np.where(asked, np.arange(n), -1)) >= row
+    direct = sort_directly(np.flatnonzero(smaller & part), w, span)
     ends = np.cumsum(np.bincount(t[direct], minlength=256))
     placed: dict[int, list[np.ndarray]] = defaultdict(list)
-    placed[int(t[n - 1])].append(np.array([n - 1]))
+    if part[n - 1]:
+        placed[int(t[n - 1])].append(np.array([n - 1]))
     out = []
     for c in range(256):
         larger = placed.pop(c, [])
         new = np.concatenate(larger) if larger else np.zeros(0, np.int64)
         while len(new):  # runs of one byte feed their own bucket
             new = new[new > 0] - 1
-            new = new[t[new] == c]
+            new = new[(t[new] == c) & part[new]]
             larger.append(new)
         bucket = np.concatenate([*larger, direct[ends[c - 1] if c else 0 : ends[c]]]).astype(np.int64)
         if not len(bucket):
@@ -113,13 +126,14 @@ def suffix_array(t: np.ndarray, w: np.ndarray, span: int = SPAN) -> np.ndarray:
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         first = t[before]
-        before, first = before[first > c], first[first > c]
+        larger = (first > c) & part[before]
+        before, first = before[larger], first[larger]
         o = np.argsort(first, kind="stable")
         before, first = before[o], first[o]
         cut = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))) if len(first) else []
         for s, e in zip(cut, [*cut[1:], len(first)], strict=True) if len(first) else ():
             placed[int(first[s])].append(before[s:e])
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(a: np.ndarray, b: np.ndarray, w: np.ndarray, span: int) -> np.ndarray:
@@ -149,7 +163,7 @@ def smallest_holder(texts: list[bytes], holder: np.ndarray, span: int = SPAN) ->
     source = np.repeat(np.arange(len(texts)), length)
     start = np.concatenate(([0], np.cumsum(length)[:-1]))
     whole = np.arange(len(t)) - start[source] + span <= length[source]
-    sa = suffix_array(t, w, span)
+    sa = suffix_array(t, w, span, whole)
     sa = sa[whole[sa]]
     same = common_prefixes(sa[:-1], sa[1:], w, span) >= span
     cut = np.flatnonzero(np.concatenate(([True], ~same)))

@@ -210,6 +210,11 @@ def test_suffix_array_sorts_all_suffixes(text):
     assert sorted(found) == list(range(len(text)))
     keys = [text[i : i + 50] for i in found]
     assert keys == sorted(keys)
+    asked = np.random.default_rng(len(text)).random(len(text)) < 0.2
+    some = suffix_dedup.suffix_array(t, suffix_dedup.words(t), asked=asked)
+    assert len(set(some.tolist())) == len(some) and set(np.flatnonzero(asked).tolist()) <= set(some.tolist())
+    keys = [text[i : i + 50] for i in some.tolist()]
+    assert keys == sorted(keys)
 
 
 def test_repeated_spans_against_brute_force(spark, odd, empty):
