@@ -28,7 +28,7 @@ equal texts only the one with the smallest doc_id is sorted, every other is remo
 whole if it has ``span`` bytes.  The result is the same, and tests hold both together.
 
 Defined cases: null text is empty; texts shorter than ``span`` bytes stay; rows
-with a null doc_id are left out, having no order; rows with equal doc_id are
+with a null doc_id, having no order, stay whole and take from no other; rows with equal doc_id are
 documents of their own that do not remove each other's bytes unless equal texts
 stand under a smaller doc_id; an empty table gives an empty result; extra
 columns are not read.
@@ -479,4 +479,10 @@ def repeated_spans(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     runs = texts.cogroup(several.unionByName(copies).groupBy("g")).applyInArrow(strings, KIND)
     marks = runs.groupBy("g").applyInArrow(sort_strings, KIND)
     out = f"doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept {"string" if as_text else "binary"}, carry {dealt.schema['carry'].dataType.simpleString()}"
-    return texts.cogroup(marks.unionByName(copies).groupBy("g")).applyInArrow(remove, out)
+    # Rows without an id have no place in the order; they stay whole.
+    kept = text_or_empty() if as_text else text_or_empty().cast("binary")
+    whole = docs.where("doc_id is null").select(
+        F.lit(None).cast("long").alias("doc_id"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast("array<struct<start:long,end:long>>").alias("spans"), kept.alias("kept"), F.struct(F.lit(None).cast("string").alias("_"), *carry).alias("carry"),
+    )
+    return texts.cogroup(marks.unionByName(copies).groupBy("g")).applyInArrow(remove, out).unionByName(whole)
