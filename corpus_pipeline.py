@@ -4,7 +4,8 @@ Each stage takes what its predecessor kept, as a table of documents; all but the
 last return the columns of documents.  ``n_chars`` follows the text.  Extra
 columns are dropped.  A document is a row: rows that share a doc_id and differ in
 text are documents of their own, and so are rows with a null doc_id, which come
-after all others where an order counts.
+after all others where an order counts.  The first stage writes what it told into
+``lang``; the next three hand it on, and the last packs each language apart.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no text, or no letter) go.
+    """``lang`` becomes the language told from the text; documents in none (no text, or no letter) go.
 
     ``und`` can also mean that no labelled row could be learned from; such texts stay.
     """
-    return language_id.identify(docs).where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    told = language_id.identify(docs).where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +57,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids in sequences of at most 2048."""
-    pieces = packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    placed = packing.place(pieces, docs.count())
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Every document's ids in sequences of at most 2048, each of one language."""
+    pieces = packing.token_pieces(docs, carry=("lang",)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    placed = packing.place_apart(pieces, docs, "lang")
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "lang")
 
 
 def with_text(df: DataFrame, text) -> DataFrame:

@@ -111,7 +111,8 @@ def classify(docs: DataFrame, langs: list[str], weights: np.ndarray, text: str =
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
     bounded_batches(docs.sparkSession)
-    found = F.pandas_udf(predict, "lang_pred string, score double")(text)
+    # So called that a filter on the result does not move below and predict every text once more.
+    found = F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()(text)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     (both,) = fresh(docs, "found")
     return docs.select(*rest, found.alias(both)).select(*rest, f"{both}.lang_pred", f"{both}.score")

@@ -22,8 +22,8 @@ are those of the SimHash operator.  Shingles are compared by 64-bit hashes.
 Defined cases: a null text is empty; texts without a word are copies of each other;
 fewer than five words form one shingle; rows with a null doc_id are documents like
 others, each behind all ids in the order; rows with equal doc_id and other texts are
-documents of their own; of rows with equal doc_id and text one stays; an empty table
-gives an empty result.
+documents of their own; of rows with equal doc_id and text one stays, that whose other
+columns are least; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> the rows of the smallest doc_id of each group, once."""
     bounded_batches(docs.sparkSession)
-    digest, key = fresh(docs, "digest", "key")
+    digest, key, row = fresh(docs, "digest", "key", "row")
     named = docs.withColumn(digest, F.md5(text_or_empty()))
     # One name for a document and its copies under the same id; never null, as ids may be.
     named = named.withColumn(key, F.concat_ws(" ", digest, F.col("doc_id").cast("string")))
@@ -264,4 +264,5 @@ def survivors(docs: DataFrame) -> DataFrame:
     classes = durable(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("key", F.col("at.key")))
     placed = classes.join(links(classes, texts.select("key", "text")), "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
     first = placed.agg(F.min("at").alias("at")).select(F.col("at.key").alias(key))
-    return named.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    least = F.min(F.struct(*[c for c in docs.columns if c != "text"], "text")).alias(row)
+    return named.join(first, key, "left_semi").groupBy(key).agg(least).select(f"{row}.*").select(*docs.columns)

@@ -8,12 +8,13 @@ tournament tree over the sequences' free room finds it in log time: an inner
 node holds the larger room of its two children.
 
 Only (length, key) rows need to meet in a group; ids can travel along or stay
-behind, as the caller selects.
+behind, as the caller selects.  Where a sequence must hold one kind of documents
+(one language), each kind has groups of its own, as many as its size asks for.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id is kept
 as null; repeated rows are documents of their own (rows are told apart by their
-place in the table); an empty table gives an empty result.  Extra columns are
-not read.
+place in the table); a null kind is a kind of its own; an empty table gives an
+empty result.  Extra columns are not read unless they are named in ``carry``.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import bounded_batches, text_or_empty, worker_cache
+from parlance.llm.common import bounded_batches, fresh, text_or_empty, worker_cache
 from parlance.llm.tokenizer import Encoder
 
 CAPACITY, END_ID, VOCABULARY = 2048, 1, "byte_bpe_50k"
@@ -40,8 +41,9 @@ def token_pieces(
     end_id: int = END_ID,
     vocabulary: str = VOCABULARY,
     path: Callable[[str], str] = public_tokenizers.path,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, text) -> doc_id, row, start, length, doc_tokens, ids (binary, little-endian uint32)."""
+    """(doc_id, text) -> doc_id, row, start, length, doc_tokens, ids (binary, little-endian uint32), the columns ``carry``."""
     pattern = public_tokenizers.PATTERN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,14 +63,16 @@ def token_pieces(
                         total.append(len(blob) // 4)
                         ids.append(blob[s : s + width])
                 length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                of = {c: batch.column(c).take(pa.array(source)) for c in ("doc_id", "row", *carry)}
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(source)), batch.column("row").take(pa.array(source)), pa.array(start, pa.int64()), pa.array(length), pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "row", "start", "length", "doc_tokens", "ids"],
+                    [of["doc_id"], of["row"], pa.array(start, pa.int64()), pa.array(length), pa.array(total, pa.int64()), pa.array(ids, pa.binary()), *(of[c] for c in carry)],
+                    ["doc_id", "row", "start", "length", "doc_tokens", "ids", *carry],
                 )
 
     bounded_batches(docs.sparkSession)
-    read = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"))
-    return read.mapInArrow(cut, "doc_id long, row long, start long, length long, doc_tokens long, ids binary")
+    read = docs.select("doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row"), *carry)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return read.mapInArrow(cut, "doc_id long, row long, start long, length long, doc_tokens long, ids binary" + kinds)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -107,13 +111,30 @@ def place(pieces: DataFrame, documents: int, capacity: int = CAPACITY, group: in
     ``documents``: how many documents there are, which sets the number of groups.
     """
     groups = max(1, -(-documents // group))
+    return fill(pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long")), capacity)
+
+
+def place_apart(pieces: DataFrame, docs: DataFrame, kind: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """As ``place``, but no sequence holds two values of the column ``kind`` of ``docs``, which pieces carry.
+
+    There is one row a kind; kinds are meant to be few enough to be broadcast.
+    """
+    other, groups, before = fresh(pieces, "other", "groups", "before")
+    sizes = docs.groupBy(F.col(kind).alias(other)).agg(F.ceil(F.count("*") / group).alias(groups))
+    # Groups are numbered through, so that sequences of two kinds never share a number.
+    sizes = sizes.withColumn(before, F.sum(groups).over(Window.orderBy(other)) - F.col(groups))
+    dealt = pieces.join(F.broadcast(sizes), F.col(kind).eqNullSafe(F.col(other)))
+    return fill(dealt.withColumn("group", F.col(before) + F.pmod(F.xxhash64("row"), F.col(groups))).drop(other, groups, before), capacity)
+
+
+def fill(keyed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pack each group on its own; ``group``, a long, goes into the numbers of its sequences."""
 
     def pack(data: pa.Table) -> pa.Table:
         data = data.sort_by([("row", "ascending"), ("start", "ascending")])
         bins, offsets, _ = first_fit_decreasing(data.column("length").to_numpy(), capacity)
         return data.append_column("sequence_id", pa.array((data.column("group")[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    keyed = pieces.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", sequence_id long, offset long"
     return keyed.groupBy("group").applyInArrow(pack, schema).drop("group")
 
