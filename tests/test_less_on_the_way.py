@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from parlance import schemas
+from parlance.functions import plans
 from parlance.functions.plans import keep
 from parlance.jobs import fact_store
 from parlance.operators import messages
@@ -60,9 +61,33 @@ def test_months_are_renewed_in_turn_and_terms_counted_in_pieces(spark, tmp_path,
     history, store = str(tmp_path / "history"), str(tmp_path / "facts")
     corpus.write_months(*corpus.merge(batch(spark, 0).drop("seq").withColumn("month", F.lit("")), batch(spark, 30)), history, "a")
     monkeypatch.setattr(fact_store, "PORTION", 1)
-    monkeypatch.setattr(fact_store, "PIECE", 1000)
+    monkeypatch.setattr(plans, "PIECE", 1000)
     assert fact_store.portions(spark, history, ["2026-04", "2026-05", "2026-06"]) == [["2026-04"], ["2026-05"], ["2026-06"]]
     fact_store.refresh(spark, history, store, ["2026-04", "2026-05", "2026-06"], batch="a")
     assert sum(files.size(spark, f"{store}/month={m}/facts") for m in fact_store.months(spark, store)) > 1000
     found = {(r.term, r.uses, r.voices, r.active_days) for r in fact_store.history_inventory(spark, store).collect()}
     assert found == {(t, 30, 5, 3) for t in ("grand", "words", "here", "grand words")}
+
+
+def spoken(spark, n=40):
+    words = ["alpha beta gamma", "beta gamma delta", "grand alpha beta"]
+    rows = [(f"m{k}", f"2026-{k % 6 + 1:02d}-{k % 20 + 1:02d}T10:00:00Z", "s", "S", "room", f"u{k % 5}", "x", False, words[k % 3], None) for k in range(n)]
+    return spark.createDataFrame(rows, "id string, timestamp string, server_id string, server string, channel string, user_id string, user string, is_bot boolean, message string, type string")
+
+
+def test_phrases_in_pieces_are_those_of_one_piece(spark, monkeypatch):
+    tokens = keep(messages.tokenized(spoken(spark)))
+    told = lambda: {tuple(r[c] for c in ("term", "uses", "voices", "active_days", "first_ts")) for r in messages.phrase_inventory(tokens, 3).collect()}
+    whole, one = told(), plan(messages.phrase_inventory(tokens, 3))
+    assert one.count("Exchange") == 1 and {t for t, *_ in whole} >= {"alpha beta", "alpha beta gamma"}
+    monkeypatch.setattr(plans, "PIECE", 1)
+    assert told() == whole and plan(messages.phrase_inventory(tokens, 3)).count("Exchange") == 0  # each piece is written
+
+
+def test_history_terms_in_pieces_have_both_periods(spark, monkeypatch):
+    tokens = keep(messages.tokenized(spoken(spark)))
+    told = lambda: {r.term: (r.size, r.uses, r.voices, r.recent_uses, r.previous_uses) for r in messages.history_terms(tokens).collect()}
+    whole = told()
+    assert whole["alpha beta"][1:3] == (27, 5) and sum(whole["alpha"][3:]) == 27 and whole["alpha"][3] != whole["alpha"][4]
+    monkeypatch.setattr(plans, "PIECE", 1)
+    assert told() == whole
