@@ -9,7 +9,7 @@ from parlance import schemas
 from parlance.functions import plans
 from parlance.functions.plans import keep
 from parlance.jobs import fact_store
-from parlance.operators import messages
+from parlance.operators import messages, units
 from parlance.sources import corpus, files
 
 
@@ -91,3 +91,19 @@ def test_history_terms_in_pieces_have_both_periods(spark, monkeypatch):
     assert whole["alpha beta"][1:3] == (27, 5) and sum(whole["alpha"][3:]) == 27 and whole["alpha"][3] != whole["alpha"][4]
     monkeypatch.setattr(plans, "PIECE", 1)
     assert told() == whole
+
+
+def test_a_long_message_is_not_compared_pair_by_pair(spark):
+    """Distinct units and pairs are strings, which Spark hashes; pairs and kinds are as before."""
+    unit = lambda term, at, kind="word": (term, kind, at, at + (kind == "bigram"), True)
+    said = [unit("alpha", 0), unit("beta gamma", 1, "bigram"), unit("alpha", 3), unit("delta", 30)]
+    rows = spark.createDataFrame([("m", "s", "u", "room", "2026-01-01", said)], "id string, server_id string, speaker string, channel string, day string, units array<struct<term:string,kind:string,start:int,end:int,content:boolean>>")
+    facts = units.unit_facts(rows)
+    assert {(r.term, r.kind, r.uses, r.documents) for r in facts.collect()} == {("alpha", "word", 2, 1), ("beta gamma", "bigram", 1, 1), ("delta", "word", 1, 1)}
+    keep_all = rows.select("server_id", F.explode("units.term").alias("term"))
+    pairs = units.pair_documents(rows, keep_all)
+    assert [tuple(r) for r in pairs.select("l", "r", "documents").collect()] == [("alpha", "beta gamma", 1)]
+    long = spark.range(1).select(F.lit("s").alias("server_id"), F.lit("u").alias("speaker"), F.lit("room").alias("channel"), F.lit("2026-01-01").alias("day"), F.transform(F.sequence(F.lit(0), F.lit(59_999)), lambda i: F.struct(
+        F.concat(F.lit("w"), i).alias("term"), F.lit("word").alias("kind"), i.alias("start"), i.alias("end"), F.lit(True).alias("content"))).alias("units"))
+    began = time.time()
+    assert units.unit_facts(long).count() == 60_000 and time.time() - began < 15
